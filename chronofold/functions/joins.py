@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronofold.functions.running import HotGroups
+
 BROADCAST_ROWS = 50_000
 SALTS = 64
 
@@ -32,3 +34,35 @@ def lookup_join(
     every = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
     copies = right.withColumn("_salt", F.explode(every))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+def skew_join(
+    left: DataFrame,
+    right: DataFrame,
+    key: Sequence[str],
+    *,
+    hot: HotGroups,
+    how: str = "left",
+) -> DataFrame:
+    """Join rows to a table on a group key whose groups may be huge on the left side.
+
+    Only the rows of counted large groups are split over SALTS parts, and only their
+    partners are repeated; everything else joins as written.
+    """
+    key = list(key)
+    if hot.keys is None:
+        return left.join(right, key, how)
+    none, every = F.lit(0).cast("bigint"), F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
+    hashed = [f.name for f in left.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    spread = F.pmod(F.xxhash64(*hashed), F.lit(SALTS))
+    if not hot.bounded:
+        salted = left.withColumn("_salt", spread)
+        return salted.join(right.withColumn("_salt", F.explode(every)), [*key, "_salt"], how).drop("_salt")
+    flags = F.broadcast(hot.keys.withColumn("_hot", F.lit(True)))
+    on = list(hot.key)
+    salted = left.join(flags, on, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(none))
+    copies = right.join(flags, on, "left").withColumn(
+        "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(none)))
+    )
+    joined = salted.drop("_hot").join(copies.drop("_hot"), [*key, "_salt"], how)
+    return joined.drop("_salt")

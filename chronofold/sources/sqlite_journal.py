@@ -1,0 +1,79 @@
+"""A SQLite journal file as a Spark source, split by ranges of sequence numbers."""
+
+from __future__ import annotations
+
+import sqlite3
+from collections.abc import Iterator
+from pathlib import Path
+
+from pyspark.sql import SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
+
+from chronofold.schemas import JOURNAL
+
+BATCH = 10_000
+
+
+def _open(path: str) -> sqlite3.Connection:
+    file = Path(path)
+    if not file.is_file():
+        raise FileNotFoundError(f"journal does not exist: {path}")
+    connection = sqlite3.connect(file.resolve().as_uri() + "?mode=ro", uri=True)
+    connection.execute("pragma query_only=on")
+    return connection
+
+
+class SeqRange(InputPartition):
+    def __init__(self, low: int, high: int) -> None:
+        self.low, self.high = low, high
+
+
+class SqliteJournalReader(DataSourceReader):
+    def __init__(self, path: str, parts: int) -> None:
+        self.path, self.parts = path, parts
+
+    def partitions(self) -> list[SeqRange]:
+        connection = _open(self.path)
+        try:
+            columns = {row[1] for row in connection.execute("pragma table_info(events)")}
+            missing = sorted(set(JOURNAL.fieldNames()) - columns)
+            if missing:
+                raise ValueError("journal is older than version 2; missing columns: " + ", ".join(missing))
+            low, high = connection.execute("select min(seq), max(seq) from events").fetchone()
+        finally:
+            connection.close()
+        if low is None:
+            return [SeqRange(0, 0)]
+        step = max(1, -(-(high - low + 1) // self.parts))
+        return [SeqRange(start, min(start + step, high + 1)) for start in range(low, high + 1, step)]
+
+    def read(self, partition: SeqRange) -> Iterator[tuple]:
+        connection = _open(self.path)
+        try:
+            cursor = connection.execute(
+                f"select {', '.join(JOURNAL.fieldNames())} from events where seq >= ? and seq < ? order by seq",
+                (partition.low, partition.high),
+            )
+            while rows := cursor.fetchmany(BATCH):
+                yield from rows
+        finally:
+            connection.close()
+
+
+class SqliteJournalSource(DataSource):
+    """``spark.read.format("sqlite_journal").load(path)``"""
+
+    @classmethod
+    def name(cls) -> str:
+        return "sqlite_journal"
+
+    def schema(self) -> StructType:
+        return JOURNAL
+
+    def reader(self, schema: StructType) -> SqliteJournalReader:
+        return SqliteJournalReader(self.options["path"], int(self.options.get("partitions", "8")))
+
+
+def register(spark: SparkSession) -> None:
+    spark.dataSource.register(SqliteJournalSource)
