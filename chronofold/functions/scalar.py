@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from chronofold.names import DEFAULT_NAMING, SpanNaming
 
 
+def strict_json(text: Column) -> Column:
+    """The value when the text is exactly one JSON value, else null.
+
+    The parser stops after the first value and ignores what follows. Inside brackets and
+    inside braces, left-over text is an error in at least one of the two.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    named = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    single = listed.isNotNull() & F.variant_get(listed, "$[1]", "variant").isNull()
+    return F.when(single, F.variant_get(named, "$.v", "variant"))
+
+
 def canonical_json(text: Column) -> Column:
     """Compact JSON with sorted keys. Numbers like ``1.0`` come out as ``1``."""
     return F.to_json(F.parse_json(text))

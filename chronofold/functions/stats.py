@@ -8,6 +8,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from chronofold.functions.joins import lookup_join
 
@@ -70,12 +71,12 @@ def exact_quantiles(values: DataFrame, group: str, value: str, probabilities: Se
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _normal_cdf(z: pd.Series) -> pd.Series:
     return z.map(NormalDist().cdf)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _normal_inverse(p: pd.Series) -> pd.Series:
     return p.map(NormalDist().inv_cdf)
 
@@ -153,7 +154,7 @@ def rate_intervals(
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _binomial(n: pd.Series, p: pd.Series, u: pd.Series) -> pd.Series:
     """Number of ones in n draws at rate p, from one uniform number per row."""
     import numpy as np

@@ -16,7 +16,7 @@ def admit_events(requests: DataFrame, runs: DataFrame) -> DataFrame:
     known = runs.select("run_id", F.col("schema_version").alias("run_version"))
     joined = skew_join(requests, known, ["run_id"], hot=hot_groups(requests, ["run_id"]))
     payload = F.coalesce(F.col("payload"), F.lit("{}"))
-    shape = F.schema_of_variant(F.try_parse_json(payload))
+    shape = F.schema_of_variant(X.strict_json(payload))
     reason = (
         F.when(F.col("run_version").isNull() & (F.coalesce("run_id", F.lit("")) != ""), "unregistered_run")
         .when(F.coalesce("run_id", F.lit("")) == "", "empty_run_id")

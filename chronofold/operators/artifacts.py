@@ -89,7 +89,7 @@ def control_files(files: DataFrame) -> DataFrame:
     """Each control file with ``verdict``: ok, bad UTF-8 or JSON, or not an object."""
     text = F.col("content").cast("string")
     body = F.when(F.is_valid_utf8(text), text)
-    shape = F.schema_of_variant(F.try_parse_json(body))
+    shape = F.schema_of_variant(X.strict_json(body))
     return files.withColumn(
         "verdict",
         F.when(shape.isNull(), "json_invalid").when(~shape.startswith("OBJECT"), "not_an_object").otherwise("ok"),

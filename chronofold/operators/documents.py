@@ -260,7 +260,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_documents(documents: DataFrame) -> DataFrame:
     """Parsed document ``d`` and ``readable``: the body is a JSON object."""
-    shape = F.schema_of_variant(F.try_parse_json("body"))
+    shape = F.schema_of_variant(X.strict_json(F.col("body")))
     readable = F.coalesce(shape.startswith("OBJECT"), F.lit(False))
     return documents.withColumn("readable", readable).withColumn(
         "d", F.when(readable, F.from_json("body", DOCUMENT))

@@ -4,15 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-JOURNAL = T.StructType.fromDDL(
+_TYPES = {"bigint": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "double": T.DoubleType()}
+
+
+def _table(columns: str) -> T.StructType:
+    """A flat schema from ``name type, ...``; needs no running session."""
+    pairs = [c.split() for c in columns.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
+JOURNAL = _table(
     "seq bigint, run_id string, type string, node string, activation_id string, "
     "attempt_id string, payload string, at double, at_ns bigint"
 )
-JOURNAL_V1 = T.StructType.fromDDL(
+JOURNAL_V1 = _table(
     "seq bigint, run_id string, type string, node string, payload string, at double"
 )
-RUNS = T.StructType.fromDDL("run_id string, schema_version int, created_at_ns bigint")
-TRACE_STORE = T.StructType.fromDDL(
+RUNS = _table("run_id string, schema_version int, created_at_ns bigint")
+TRACE_STORE = _table(
     "trace_id string, span_id string, parent_span_id string, name string, service_name string, "
     "operation_name string, effect_source string, ts_ms bigint, ingest_seq bigint"
 )

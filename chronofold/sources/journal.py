@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold import names as N
+from chronofold.functions import scalar as X
 from chronofold.schemas import JOURNAL, JOURNAL_V1, RUNS
 
 
@@ -60,7 +61,7 @@ def list_runs(events: DataFrame) -> DataFrame:
 def admit_rows(raw: DataFrame) -> DataFrame:
     """Rows with ``reason``: null when they decode, else why they are set aside."""
     known = F.col("type").isin(*N.LIVE_TYPES, *N.LEGACY_TYPES)
-    shape = F.schema_of_variant(F.try_parse_json("payload"))
+    shape = F.schema_of_variant(X.strict_json(F.col("payload")))
     reason = (
         F.when(F.col("seq").isNull(), "no_sequence")
         .when(~F.coalesce(known, F.lit(False)), "unknown_type")
