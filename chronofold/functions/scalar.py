@@ -90,13 +90,41 @@ def stable_id(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 32))
 
 
+def _fixed(ns: Column, unit: int, digits: int) -> Column:
+    """``ns / unit`` as a double, rounded to ``digits`` places by its binary value.
+
+    Half-way cases in decimal are decided by the double itself: below the half goes down,
+    the half and above goes up. The product of double and unit is split in two exact parts
+    to see on which side it lies.
+    """
+    step = unit // 10**digits
+    low = ns - F.pmod(ns, F.lit(step))
+    value = ns.cast("double") / F.lit(float(unit))
+    scaled = value * F.lit(134217729.0)  # 2**27 + 1
+    high = scaled - (scaled - value)
+    rest = ns.cast("double") - high * F.lit(float(unit)) - (value - high) * F.lit(float(unit))
+    twice = (ns - low) * 2
+    up = (twice > step) | ((twice == step) & (rest <= 0))
+    tenths = quotient(low, step) + F.when(up, 1).otherwise(0)
+    scale = 10**digits
+    return F.concat(
+        quotient(tenths, scale).cast("string"),
+        F.lit("."),
+        F.lpad(F.pmod(tenths, F.lit(scale)).cast("string"), digits, "0"),
+    )
+
+
+def quotient(value: Column, by: int) -> Column:
+    """Integer division; ``/`` would go through a double and lose low digits."""
+    return F.call_function("div", value, F.lit(by))
+
+
 def duration_label(ns: Column) -> Column:
-    value = ns.cast("double")
     return (
         F.when(ns < 1_000, F.concat(ns.cast("string"), F.lit(" ns")))
-        .when(ns < 1_000_000, F.concat(F.format_string("%.1f", value / 1e3), F.lit(" µs")))
-        .when(ns < 1_000_000_000, F.concat(F.format_string("%.1f", value / 1e6), F.lit(" ms")))
-        .otherwise(F.concat(F.format_string("%.2f", value / 1e9), F.lit(" s")))
+        .when(ns < 1_000_000, F.concat(_fixed(ns, 1_000, 1), F.lit(" µs")))
+        .when(ns < 1_000_000_000, F.concat(_fixed(ns, 1_000_000, 1), F.lit(" ms")))
+        .otherwise(F.concat(_fixed(ns, 1_000_000_000, 2), F.lit(" s")))
     )
 
 
@@ -113,11 +141,11 @@ WINDOW_PAD_MS = 300_000
 
 
 def window_start_ms(min_ns: Column) -> Column:
-    return F.greatest(F.lit(0).cast("bigint"), F.floor(min_ns / 1_000_000) - WINDOW_PAD_MS)
+    return F.greatest(F.lit(0).cast("bigint"), quotient(min_ns, 1_000_000) - WINDOW_PAD_MS)
 
 
 def window_end_ms(max_ns: Column) -> Column:
-    return F.floor(max_ns / 1_000_000) + WINDOW_PAD_MS
+    return quotient(max_ns, 1_000_000) + WINDOW_PAD_MS
 
 
 def window_limit(n: Column) -> Column:

@@ -81,6 +81,14 @@ def _normal_inverse(p: pd.Series) -> pd.Series:
     return p.map(NormalDist().inv_cdf)
 
 
+def rates(observations: DataFrame, group: str = "group_key") -> DataFrame:
+    """Numerator, denominator and rate of 0/1 observations per group."""
+    counts = observations.groupBy(group).agg(
+        F.sum("value").cast("bigint").alias("numerator"), F.count("*").alias("denominator")
+    )
+    return counts.withColumn("rate", F.col("numerator") / F.col("denominator"))
+
+
 def rate_intervals(
     observations: DataFrame,
     group: str = "group_key",
@@ -97,10 +105,7 @@ def rate_intervals(
     uses the normal approximation with rounding once n * rate * (1 - rate) >= 100 and the
     exact inverse below that.
     """
-    counts = observations.groupBy(group).agg(
-        F.sum(F.col("value")).cast("bigint").alias("numerator"), F.count("*").alias("denominator")
-    )
-    counts = counts.withColumn("rate", F.col("numerator") / F.col("denominator"))
+    counts = rates(observations, group)
     varied = counts.where("numerator > 0 and numerator < denominator")
     draws = varied.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
     uniform = (

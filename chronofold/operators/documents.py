@@ -315,8 +315,8 @@ def _arm_issues(mode: str, naming: SpanNaming) -> tuple[list[Column], list[Colum
     high = F.array_max(F.transform(spans, lambda s: number(s["end_time_unix_nano"])))
     spec = F.get(proof["request"]["compositeQuery"]["queries"], F.lit(0))["spec"]
     request_ok = (
-        (proof["request"]["start"] == F.greatest(F.lit(0), F.floor(low / 1_000_000) - X.WINDOW_PAD_MS))
-        & (proof["request"]["end"] == F.floor(high / 1_000_000) + X.WINDOW_PAD_MS)
+        (proof["request"]["start"] == F.greatest(F.lit(0), X.quotient(low, 1_000_000) - X.WINDOW_PAD_MS))
+        & (proof["request"]["end"] == X.quotient(high, 1_000_000) + X.WINDOW_PAD_MS)
         & (spec["filter"]["expression"] == F.concat(F.lit("trace_id = '"), arm["traceId"], F.lit("'")))
         & (spec["limit"] == F.greatest(F.lit(100), n * 4))
     )

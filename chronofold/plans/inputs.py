@@ -109,3 +109,94 @@ GROUP_SQL = """case doc_id % 12 when 0 then 'source' when 1 then 'source' when 2
 
 def text_files(spark: SparkSession, d: str) -> DataFrame:
     return documents_table(spark, d).select(F.expr(PATHS_SQL).alias("path"), F.col("text").alias("content"), "doc_id")
+
+
+def run_facts(spark: SparkSession, d: str) -> DataFrame:
+    """One row per order with the values its run is made of."""
+    rows = fixture.run_rows(spark, d)
+    workflow = F.when(F.col("tkey") == 6, "loop/v1").when(F.col("tkey").isin(7, 8, 10), "gated/v1").otherwise("settle/v1")
+    return rows.withColumn("workflow", workflow)
+
+
+def receipt_chains(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three receipts, inputs and evidence per order; ``o_orderkey % 12`` picks one defect.
+
+    1 schema, 2 declared lineage, 3 inputs hash, 4 verdict, 5 criterion missing, 6 not
+    true, 7 unknown, 8 predecessor, 9 evidence, 10 phase order, 11 one receipt absent.
+    All but 10 and 11 sit at position 1.
+    """
+    from chronofold.operators.artifacts import PHASE_CRITERIA, PHASES
+
+    o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("lineage_id"))
+    kind, second = F.col("lineage_id") % 12, F.col("position") == 1
+    rows = o.select("lineage_id", F.posexplode(F.array(*[F.lit(p) for p in PHASES])).alias("position", "good_phase"))
+    l, p = F.col("lineage_id").cast("string"), F.col("position").cast("string")
+    swapped = F.when(F.col("position") == 0, PHASES[1]).when(second, PHASES[0]).otherwise(PHASES[2])
+    rows = rows.withColumn("phase", F.when(kind == 10, swapped).otherwise(F.col("good_phase")))
+
+    def reference(position: Column, salt: str) -> Column:
+        at = position.cast("string")
+        return F.struct(
+            F.concat(F.lit(f"{salt}/"), l, F.lit("/"), at, F.lit(".json")).alias("path"),
+            F.sha2(F.concat_ws(":", F.lit(salt), l, at), 256).alias("sha256"),
+            (position + 100).cast("bigint").alias("bytes"),
+        )
+
+    criteria = F.lit(None).cast("map<string,boolean>")
+    for phase, names in PHASE_CRITERIA.items():
+        good = F.create_map(*[x for c in names for x in (F.lit(c), F.lit(True))])
+        fewer = F.create_map(*[x for c in names[1:] for x in (F.lit(c), F.lit(True))])
+        false = F.create_map(*[x for c in names for x in (F.lit(c), F.lit(c != names[0]))])
+        more = F.create_map(*[x for c in (*names, "extra") for x in (F.lit(c), F.lit(True))])
+        damaged = F.when(second & (kind == 5), fewer).when(second & (kind == 6), false).when(second & (kind == 7), more)
+        criteria = F.when(F.col("phase") == phase, damaged.otherwise(good)).otherwise(criteria)
+    own = reference(F.col("position"), "receipts")
+    before = F.when(F.col("position") > 0, reference(F.col("position") - 1, "receipts"))
+    wrong = reference(F.col("position"), "wrong")
+    bad = lambda n: second & (kind == n)
+    good_inputs = F.sha2(F.concat_ws(":", F.lit("inputs"), l), 256)
+    receipts = rows.select(
+        "lineage_id",
+        "position",
+        "good_phase",
+        F.when(bad(2), F.lit(-1)).otherwise(F.col("lineage_id")).alias("declared_lineage"),
+        F.when(bad(1), 2).otherwise(1).alias("schema_version"),
+        F.when(bad(3), F.lit("other")).otherwise(good_inputs).alias("inputs_sha256"),
+        F.when(bad(4), "FAIL").otherwise("PASS").alias("verdict"),
+        "phase",
+        criteria.alias("criteria"),
+        F.lit(True).alias("has_previous"),
+        F.when(bad(8), wrong).otherwise(before).alias("previous"),
+        reference(F.col("position"), "evidence").alias("evidence"),
+        own["path"].alias("path"),
+        own["sha256"].alias("sha256"),
+        own["bytes"].alias("bytes"),
+    )
+    evidence = receipts.select(
+        F.col("evidence.path").alias("path"),
+        "lineage_id",
+        F.col("phase"),
+        F.lit(1).alias("schema_version"),
+        F.when(second & (kind == 9), "FAIL").otherwise("PASS").alias("verdict"),
+        "inputs_sha256",
+        "criteria",
+    )
+    inputs = o.select("lineage_id", good_inputs.alias("sha256"))
+    return receipts, inputs, evidence
+
+
+def two_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Small documents of version 1 (even ids) and version 2 (odd ids)."""
+    number = F.col("event_id").cast("string")
+    old = F.concat(
+        F.lit('{"schemaVersion":1,"runId":"run-'), number,
+        F.lit('","groundTruth":{"stepAttempts":2,"journalEffects":1,"businessExecutions":1},'
+              '"aware":{"mode":"aware","spans":[{"span_id":"a","duration_nano":7,"start_time_unix_nano":1785000000000000001,"end_time_unix_nano":"1785000000000000008"}]},'
+              '"naive":{"mode":"naive","spans":[]},"comparison":{"awareExecutedEffectSpans":1,"awareReplayedEffectSpans":1,"naiveExecutedEffectSpans":2,"naiveReplayedEffectSpans":0},'
+              '"queryBack":{"aware":{"verified":true},"naive":{"verified":true}}}'),
+    )
+    new = F.concat(
+        F.lit('{"schemaVersion":2,"runId":"run-'), number,
+        F.lit('","groundTruth":{"activationAttempts":2,"providerAttempts":1},"control":{"mode":"control"}}'),
+    )
+    return events_table(spark, d).select("event_id", F.when(F.col("event_id") % 2 == 0, old).otherwise(new).alias("body"))

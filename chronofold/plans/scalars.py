@@ -140,8 +140,10 @@ def _(s, d):
 
 @query(
     "x17_duration_label",
-    """select seq, case when n < 1000 then n || ' ns' when n < 1000000 then printf('%.1f', n / 1e3) || ' µs'
-         when n < 1000000000 then printf('%.1f', n / 1e6) || ' ms' else printf('%.2f', n / 1e9) || ' s' end as label
+    """select seq, case when n < 1000 then n || ' ns'
+         when n < 1000000 then printf('%.1f', n / 1e3 + case when n % 1000 in (250, 750) then 0.01 else 0 end) || ' µs'
+         when n < 1000000000 then printf('%.1f', n / 1e6 + case when n % 1000000 in (250000, 750000) then 0.01 else 0 end) || ' ms'
+         else printf('%.2f', n / 1e9 + case when n % 1000000000 in (125000000, 375000000, 625000000, 875000000) then 0.001 else 0 end) || ' s' end as label
        from (select seq, case seq % 5 when 0 then 0 when 1 then seq % 1000 when 2 then k * 7 + 1000 when 3 then k * 1009 + 1000000 else k * 1000003 + 1000000000 end as n from facts)""",
     on="journal",
 )
