@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from chronofold.functions.joins import lookup_join
+from chronofold.functions.storage import cut
 
 RESAMPLES = 10_000
 SEED = 20_260_823
@@ -105,7 +106,7 @@ def rate_intervals(
     uses the normal approximation with rounding once n * rate * (1 - rate) >= 100 and the
     exact inverse below that.
     """
-    counts = rates(observations, group)
+    counts = cut(rates(observations, group))  # one row per group, read four times
     varied = counts.where("numerator > 0 and numerator < denominator")
     draws = varied.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
     uniform = (

@@ -349,8 +349,8 @@ def _(s, d):
 
 @query(
     "j19_receipt_to_evidence",
-    """select l as lineage_id, p as position, not (e.evidence_bad) as matches from (select o_orderkey as l, n.p as p, o_orderkey % 12 = 9 and n.p = 1 as evidence_bad
-       from orders cross join (values (0), (1), (2)) n(p)) e""",
+    """select o_orderkey as lineage_id, n.p as position, not ((o_orderkey % 12 = 9 and n.p = 1) or (o_orderkey % 12 = 10 and n.p < 2)) as matches
+       from orders cross join (values (0), (1), (2)) n(p)""",
 )
 def _(s, d):
     receipts, _, evidence = I.receipt_chains(s, d)
@@ -660,7 +660,7 @@ def _(s, d):
            when 'approval_granted' then 'running' else a.type end, 'running') as status,
          coalesce(g.type = 'approval_granted', false) as granted,
          coalesce(case m.type when 'run_started' then 'settle' else m.next_node end, 'none') as node,
-         coalesce(case m.type when 'run_started' then m.activation_id else coalesce('act-' || m.k || '-' || m.next_act, '') end, 'none') as activation
+         case when m.type is null then 'none' when m.type = 'run_started' then m.activation_id else coalesce('act-' || m.k || '-' || m.next_act, '') end as activation
        from s left join facts a on a.run_id = s.run_id and a.seq = s.st left join facts g on g.run_id = s.run_id and g.seq = s.gr left join facts m on m.run_id = s.run_id and m.seq = s.mv""",
     on="journal",
 )
@@ -841,11 +841,11 @@ def _(s, d):
 
 @query(
     "u04_last_row_wins",
-    "select trace_id, span_id, arg_max(name, ingest_seq) as name, count(*) as copies from store group by 1, 2",
+    "select trace_id, span_id, arg_max(case when ingest_seq % 8 >= 2 then name || '!' else name end, ingest_seq) as name, count(*) as copies from store group by 1, 2",
     on="store",
 )
 def _(s, d):
-    renamed = I.store(s, d).withColumn("name", F.when(F.col("ingest_seq") % 8 >= 2, F.concat("name", F.lit(""))).otherwise(F.col("name")))
+    renamed = I.store(s, d).withColumn("name", F.when(F.col("ingest_seq") % 8 >= 2, F.concat("name", F.lit("!"))).otherwise(F.col("name")))
     return readback.unique_rows(renamed).select("trace_id", "span_id", "name", "copies")
 
 

@@ -303,9 +303,9 @@ def _(s, d):
     return j.select("seq", "type", F.coalesce("node", F.lit("")).alias("node"), X.event_detail(redaction.public_payload()).alias("detail"))
 
 
-STATE_SQL = """merged as (select run_id, '{"amount_cents":' || max(cents) ||
-  coalesce(',"receipt":' || max(case when type = 'activation_finished' then '"' || json_extract_string(patch, '$.receipt') || '"' end), '') ||
-  coalesce(',"visit":' || max(case when type = 'activation_finished' and tkey = 6 then act end), '') || '}' as state
+STATE_SQL = """merged as (select run_id, '{' || concat_ws(',', '"amount_cents":' || max(case when type = 'run_started' then cents end),
+    '"receipt":' || max(case when type = 'activation_finished' then '"' || json_extract_string(patch, '$.receipt') || '"' end),
+    '"visit":' || max(case when type = 'activation_finished' and tkey = 6 then act end)) || '}' as state
   from (select *, row_number() over (partition by run_id, type order by seq desc) as back from facts)
   where type = 'run_started' or (type = 'activation_finished' and back = 1) group by run_id)"""
 
