@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from chronofold import names as N
 from chronofold.functions import scalar as X
+from chronofold.functions.storage import cut
 from chronofold.names import DEFAULT_NAMING, SpanNaming
 from chronofold.operators import readback as R
+from chronofold.operators.decode import event_time
 from chronofold.operators.projection import attributes_json
 from chronofold.operators.redaction import MASK, SENSITIVE_FIELDS, public_payload
 from chronofold.operators.registered import EVENT_COUNTS, EffectContract, check_registered
@@ -92,28 +94,27 @@ def build_documents(
     the arrays built here have a known small size.
     """
     tree = ["run_id"]
+    single = effects.where("provider_attempts = 1 and business_executions = 1")
     sound_events = check_registered(events, contract).where("broken is null").select("run_id")
-    trees = check_trees(spans, workflow=contract.workflow, node=contract.node, naming=naming)
-    sound_trees = (
-        trees.where("broken is null").groupBy("run_id").agg(F.count("*").alias("n")).where("n = 2").select("run_id")
-    )
+    # The cheap gates first; only runs that pass them reach the tree walk.
+    likely = cut(sound_events.join(single, tree))
+    candidates = cut(spans.join(likely.select("run_id"), tree, "left_semi"))
+    trees = check_trees(candidates, workflow=contract.workflow, node=contract.node, naming=naming)
+    sound_trees = trees.where("broken is null").groupBy("run_id").agg(F.count("*").alias("n")).where("n = 2").select("run_id")
     arms = compare_arms(
-        spans,
+        candidates,
         effect_id=contract.effect_id,
         label=contract.label,
         adapter_version=contract.adapter_version,
         naming=naming,
     ).where("broken is null")
-    proofs = proof_frame(spans, store, naming)
+    traces = candidates.select(F.lower("trace_id").alias("trace_id")).distinct()
+    returned = store.withColumn("trace_id", F.lower("trace_id")).join(traces, "trace_id", "left_semi")
+    proofs = cut(proof_frame(candidates, returned, naming))
     proven = proofs.groupBy("run_id").agg(F.count("*").alias("n")).where("n = 2").select("run_id")
-    single = effects.where("provider_attempts = 1 and business_executions = 1")
-    passed = (
-        sound_events.join(sound_trees, tree).join(arms.drop("broken"), tree).join(proven, tree).join(single, tree)
-    )
+    passed = cut(likely.join(sound_trees, tree).join(arms.drop("broken"), tree).join(proven, tree))
     kept_events = events.join(passed.select("run_id"), tree, "left_semi")
-    kept_spans = spans.join(passed.select("run_id"), tree, "left_semi")
-
-    from chronofold.operators.decode import event_time
+    kept_spans = candidates.join(passed.select("run_id"), tree, "left_semi")
 
     journal = kept_events.select(
         "run_id",
@@ -213,11 +214,12 @@ def build_documents(
             F.col("rows").alias("selectedRows"),
         ).alias("proof"),
     )
-    mode = lambda m, c: packed.where(F.col("mode") == m).select(
+    packed = cut(packed)
+    mode = lambda m: packed.where(F.col("mode") == m).select(
         "run_id", F.col("arm").alias(m), F.col("proof").alias(f"{m}_proof")
     )
     joined = (
-        passed.join(journal, tree).join(mode("aware", 0), tree).join(mode("control", 0), tree).join(provenance, tree)
+        passed.join(journal, tree).join(mode("aware"), tree).join(mode("control"), tree).join(provenance, tree)
     )
     document = F.struct(
         F.lit(2).alias("schemaVersion"),

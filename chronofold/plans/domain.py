@@ -345,8 +345,8 @@ GOOD_SQL = "good as (select k, run_id from (select distinct k, run_id, c, tkey f
 
 def built(s, d):
     """Evidence documents of the runs whose traces read back exactly."""
-    events = I.journal(s, d)
-    sent = cut(I.spans(s, d))
+    events = cut(I.journal(s, d))
+    sent = cut(project(events))
     a = I.attempts(s, d).groupBy("run_id").agg(
         F.count("*").alias("provider_attempts"), F.count_distinct("idempotency_key").alias("business_executions")
     )
