@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from chronofold.functions.joins import lookup_join
+from chronofold.functions.running import hot_groups, ordinal
 from chronofold.functions.storage import cut
 
 RESAMPLES = 10_000
@@ -113,7 +114,9 @@ def rate_intervals(
         F.pmod(F.xxhash64(F.lit(seed), F.col(group), F.col("draw")), F.lit(1 << 52)) + 0.5
     ) / float(1 << 52)
     draws = draws.withColumn("ones", _binomial(F.col("denominator"), F.col("rate"), uniform))
-    means = draws.groupBy(group, (F.col("ones") / F.col("denominator")).alias("value")).agg(F.count("*").alias("n"))
+    means = cut(
+        draws.groupBy(group, (F.col("ones") / F.col("denominator")).alias("value")).agg(F.count("*").alias("n"))
+    )
     shares = means.join(varied.select(group, "rate", "numerator", "denominator"), group).groupBy(group).agg(
         F.sum(F.when(F.col("value") < F.col("rate"), F.col("n")).otherwise(0)).alias("less"),
         F.sum(F.when(F.col("value") == F.col("rate"), F.col("n")).otherwise(0)).alias("equal"),
@@ -121,9 +124,6 @@ def rate_intervals(
         F.first("numerator").alias("k"),
         F.first("denominator").alias("m"),
     )
-    epsilon = 0.5 / resamples
-    proportion = (F.col("less") + 0.5 * F.col("equal")) / resamples
-    bias = _normal_inverse(F.least(F.lit(1 - epsilon), F.greatest(F.lit(epsilon), proportion)))
     # Leave-one-out means in closed form: dropping x leaves (sum - x) / (n - 1).
     zero = (F.lit(0.0) - F.col("rate")) / (F.col("m") - 1)
     one = (F.lit(1.0) - F.col("rate")) / (F.col("m") - 1)
@@ -131,23 +131,8 @@ def rate_intervals(
     cubes = k * F.pow(one, 3) + (m - k) * F.pow(zero, 3)
     squares = k * F.pow(one, 2) + (m - k) * F.pow(zero, 2)
     acceleration = F.when(squares > 0, cubes / (6 * F.pow(squares, 1.5))).otherwise(0.0)
-    tails = shares.select(group, bias.alias("bias"), acceleration.alias("acc"))
-    z = lambda p: NormalDist().inv_cdf(p)
-    corrected = lambda p: _normal_cdf(
-        F.col("bias") + (F.col("bias") + z(p)) / (1 - F.col("acc") * (F.col("bias") + z(p)))
-    )
-    tails = tails.select(group, corrected(alpha / 2).alias("p_low"), corrected(1 - alpha / 2).alias("p_high"))
-    order = Window.partitionBy(group).orderBy("value")  # at most ``resamples`` rows
-    ranked = means.withColumn("upto", F.sum("n").over(order)).join(tails, group)
-    bounds = []
-    for side in ("low", "high"):
-        position = F.col(f"p_{side}") * (resamples - 1)
-        lo, hi, start = F.floor(position), F.ceil(position), F.col("upto") - F.col("n")
-        hit = lambda r: F.max(F.when((r >= start) & (r < F.col("upto")), F.col("value")))  # noqa: E731,B023
-        bounds += [hit(lo).alias(f"{side}0"), hit(hi).alias(f"{side}1"), F.max(position - lo).alias(f"{side}w")]
-    limits = ranked.groupBy(group).agg(*bounds)
-    value = lambda s: F.col(f"{s}0") * (1 - F.col(f"{s}w")) + F.col(f"{s}1") * F.col(f"{s}w")
-    limits = limits.select(group, value("low").alias("low"), value("high").alias("high"))
+    tails = _tails(shares, group, acceleration, resamples, alpha)
+    limits = _bounds(means, tails, group, resamples)
     joined = counts.join(limits, group, "left")
     return joined.select(
         group,
@@ -160,6 +145,89 @@ def rate_intervals(
     )
 
 
+def mean_intervals(
+    observations: DataFrame,
+    group: str = "group_key",
+    order: str = "place",
+    *,
+    resamples: int = RESAMPLES,
+    seed: int = SEED,
+    alpha: float = 0.05,
+) -> DataFrame:
+    """Mean and BCa interval of any real observations per group.
+
+    Draw k of resample r takes the observation whose number is hash(seed, group, r, k)
+    modulo n. Draws are rows, spread over the cluster and joined to the numbered values;
+    the work is n * resamples by definition. For rates use ``rate_intervals``.
+    """
+    hot = hot_groups(observations, [group])
+    numbered = cut(ordinal(observations.select(group, order, "value"), [group], order, "at", hot=hot))
+    sizes = cut(
+        numbered.groupBy(group).agg(
+            F.count("*").alias("n"), F.avg("value").alias("mean"), (F.min("value") != F.max("value")).alias("varied")
+        )
+    )
+    varied = sizes.where("varied")
+    draws = varied.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn(
+        "k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n")))
+    )
+    at = F.pmod(F.xxhash64(F.lit(seed), F.col(group), F.col("r"), F.col("k")), F.col("n"))
+    drawn = draws.select(group, "r", at.alias("at")).join(numbered, [group, "at"])
+    means = cut(drawn.groupBy(group, "r").agg(F.avg("value").alias("value")))
+    # Leave-one-out means in closed form: (sum - x) / (n - 1).
+    gaps = lookup_join(numbered, varied, [group], "inner").withColumn(
+        "gap", F.col("mean") - (F.col("mean") * F.col("n") - F.col("value")) / (F.col("n") - 1)
+    )
+    curve = gaps.groupBy(group).agg(F.sum(F.pow("gap", F.lit(3))).alias("cubes"), F.sum(F.pow("gap", F.lit(2))).alias("squares"))
+    shares = lookup_join(means, varied.select(group, "mean"), [group], "inner").groupBy(group).agg(
+        F.count_if(F.col("value") < F.col("mean")).alias("less"), F.count_if(F.col("value") == F.col("mean")).alias("equal")
+    )
+    acceleration = F.when(F.col("squares") > 0, F.col("cubes") / (6 * F.pow("squares", F.lit(1.5)))).otherwise(0.0)
+    tails = _tails(shares.join(curve, group), group, acceleration, resamples, alpha)
+    limits = _bounds(means.groupBy(group, "value").agg(F.count("*").alias("n")), tails, group, resamples)
+    return sizes.join(limits, group, "left").select(
+        group, "n", "mean", F.coalesce("low", "mean").alias("low"), F.coalesce("high", "mean").alias("high"),
+        F.col("low").isNull().alias("degenerate"),
+    )
+
+
+def _tails(shares: DataFrame, group: str, acceleration: Column, resamples: int, alpha: float) -> DataFrame:
+    """Corrected tail probabilities from the share of resamples below the estimate."""
+    epsilon = 0.5 / resamples
+    proportion = (F.col("less") + 0.5 * F.col("equal")) / resamples
+    bias = _normal_inverse(F.least(F.lit(1 - epsilon), F.greatest(F.lit(epsilon), proportion)))
+    rows = shares.select(group, bias.alias("bias"), acceleration.alias("acc"))
+
+    def corrected(tail: float) -> Column:
+        z = F.col("bias") + NormalDist().inv_cdf(tail)
+        return _normal_cdf(F.col("bias") + z / (1 - F.col("acc") * z))
+
+    return rows.select(group, corrected(alpha / 2).alias("p_low"), corrected(1 - alpha / 2).alias("p_high"))
+
+
+def _bounds(counted: DataFrame, tails: DataFrame, group: str, resamples: int) -> DataFrame:
+    """Quantiles ``p_low`` and ``p_high`` of counted resample means, interpolated."""
+    order = Window.partitionBy(group).orderBy("value")  # at most ``resamples`` rows
+    ranked = counted.withColumn("upto", F.sum("n").over(order)).join(tails, group)
+    start = F.col("upto") - F.col("n")
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((rank >= start) & (rank < F.col("upto")), F.col("value")))
+
+    picks = []
+    for side in ("low", "high"):
+        position = F.col(f"p_{side}") * (resamples - 1)
+        low = F.floor(position)
+        picks += [
+            value_at(low).alias(f"{side}0"),
+            value_at(F.ceil(position)).alias(f"{side}1"),
+            F.max(position - low).alias(f"{side}w"),
+        ]
+    limits = ranked.groupBy(group).agg(*picks)
+    mixed = lambda s: F.col(f"{s}0") * (1 - F.col(f"{s}w")) + F.col(f"{s}1") * F.col(f"{s}w")
+    return limits.select(group, mixed("low").alias("low"), mixed("high").alias("high"))
+
+
 @F.pandas_udf(DoubleType())
 def _binomial(n: pd.Series, p: pd.Series, u: pd.Series) -> pd.Series:
     """Number of ones in n draws at rate p, from one uniform number per row."""

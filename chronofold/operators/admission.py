@@ -89,7 +89,7 @@ def judge_starts(requests: DataFrame, events: DataFrame) -> DataFrame:
         field("start_node", "string").alias("old_start"),
         F.sha2(F.to_json(F.variant_get("v", "$.input", "variant")), 256).alias("old_input"),
     )
-    joined = requests.join(recorded, "run_id", "left")
+    joined = skew_join(requests, recorded, ["run_id"], hot=hot_groups(requests, ["run_id"]))
     verdict = (
         F.when(F.col("exists").isNull(), "new")
         .when(~F.col("has_start"), "no_run_started")
@@ -130,7 +130,7 @@ def resume_plan(states: DataFrame, nodes: DataFrame) -> DataFrame:
 def judge_approvals(decisions: DataFrame, states: DataFrame) -> DataFrame:
     """Approval decisions against run states, with the facts an accepted one appends."""
     waiting = states.where("rule is null").select("run_id", "status", "next_node", "activation_id")
-    joined = decisions.join(waiting, "run_id", "left")
+    joined = skew_join(decisions, waiting, ["run_id"], hot=hot_groups(decisions, ["run_id"]))
     accepted = F.coalesce(
         (F.col("status") == "awaiting_approval") & F.col("activation_id").isNotNull(), F.lit(False)
     )

@@ -146,11 +146,12 @@ def audit_receipts(receipts: DataFrame, inputs: DataFrame, evidence: DataFrame)
     own path, sha256, bytes. ``inputs``: lineage_id, sha256. ``evidence``: path,
     lineage_id, phase, schema_version, verdict, inputs_sha256, criteria MAP.
 
-    The order test looks one receipt back. A chain holds one receipt per phase, so a
-    position beyond the known phases already fails and the window stays that small.
+    ``position`` is the place in the list, unique per lineage. The order test looks one
+    receipt back. A receipt after one per phase must repeat a phase or name an unknown
+    one, so no position beyond that can be the first failure and the window stays small.
     """
     reference = F.struct("path", "sha256", "bytes")
-    known = F.col("position") < len(PHASES)
+    known = F.col("position") <= len(PHASES)
     overflow = receipts.where(~known).groupBy("lineage_id").agg(F.lit(True).alias("too_long"))
     order = Window.partitionBy("lineage_id").orderBy("position")
     chain = receipts.where(known).withColumns(

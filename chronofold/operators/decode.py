@@ -32,6 +32,18 @@ def is_object(variant: str) -> Column:
     return F.coalesce(F.schema_of_variant(variant).startswith("OBJECT"), F.lit(False))
 
 
+def shown(variant: str) -> Column:
+    """Any JSON value as plain text: text as it is, ``None``, ``True`` and ``False`` for
+    null and booleans, and the JSON form of everything else."""
+    kind = F.schema_of_variant(variant)
+    return (
+        F.when(kind == "STRING", F.variant_get(variant, "$", "string"))
+        .when(kind == "VOID", "None")
+        .when(kind == "BOOLEAN", F.initcap(F.to_json(F.col(variant))))
+        .otherwise(F.to_json(F.col(variant)))
+    )
+
+
 def decode(events: DataFrame) -> DataFrame:
     """Typed facts of each event; ``result`` and other bulky fields are left behind."""
     parsed = events.withColumn("p", F.from_json("payload", PAYLOAD))
@@ -73,10 +85,10 @@ def decode(events: DataFrame) -> DataFrame:
         text_of("p.next_activation_id").alias("next_activation"),
         F.when(
             F.col("type") == N.ATTEMPT_FAILED,
-            F.coalesce(F.variant_get("p.error", "$", "string"), F.lit("attempt failed")),
+            F.coalesce(shown("p.error"), F.lit("attempt failed")),
         )
         .when(F.col("type") == N.APPROVAL_DENIED, "approval denied")
-        .when(F.col("type") == N.RUN_FAILED, F.variant_get("p.reason", "$", "string"))
+        .when(F.col("type") == N.RUN_FAILED, shown("p.reason"))
         .alias("failure"),
     )
     return flat

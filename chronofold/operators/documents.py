@@ -256,7 +256,7 @@ def build_documents(
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Document files as ``(path, body)``; a broken file is a row, not a failure."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from chronofold import names as N
 from chronofold.functions import scalar as X
-from chronofold.functions.running import GROUP_ROWS, HotGroups, hot_groups, ordinal
+from chronofold.functions.joins import skew_join
+from chronofold.functions.running import GROUP_ROWS, hot_groups, ordinal
 
 SCOPE = ("run_id", "activation_id")
 
@@ -119,7 +120,9 @@ def plan_calls(calls: DataFrame, decoded: DataFrame) -> DataFrame:
     keyed = calls.withColumn("id_key", F.concat(F.lit("id "), "effect_id")).withColumn(
         "index_key", F.concat(F.lit("index "), F.col("index").cast("string"))
     )
-    met = keyed.join(by_id, [*SCOPE, "id_key"], "left").join(by_index, [*SCOPE, "index_key"], "left")
+    hot = hot_groups(calls, list(SCOPE))  # many calls may name one effect
+    met = skew_join(keyed, by_id, [*SCOPE, "id_key"], hot=hot)
+    met = skew_join(met, by_index, [*SCOPE, "index_key"], hot=hot)
     collision = F.coalesce("id_fact", "index_fact")
     met = met.withColumn("met", collision)
     differs = [
@@ -187,9 +190,7 @@ def apply_once(attempts: DataFrame, stored: DataFrame | None = None) -> tuple[Da
     kept = first.where("is_new").select(
         "idempotency_key", X.receipt_token(F.col("idempotency_key")).alias("receipt"), "amount_cents"
     )
-    hot: HotGroups = hot_groups(attempts, ["idempotency_key"])
-    from chronofold.functions.joins import skew_join
-
+    hot = hot_groups(attempts, ["idempotency_key"])
     owner = first.select("idempotency_key", F.col("amount_cents").alias("kept_cents"))
     judged = skew_join(attempts, owner, ["idempotency_key"], hot=hot).withColumn(
         "verdict",

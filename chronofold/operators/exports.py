@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.functions import scalar as X
+from chronofold.functions.joins import lookup_join, skew_join
 from chronofold.functions.running import GROUP_ROWS, HotGroups, hot_groups, ordinal
 from chronofold.names import DEFAULT_NAMING, SpanNaming
 from chronofold.operators.decode import event_time
@@ -66,10 +67,9 @@ def export_runs(events: DataFrame, states: DataFrame, nodes: DataFrame, **sizes:
             ).alias("nodes"),
         ).alias("graph")
     )
-    from chronofold.functions.joins import lookup_join
-
     packed = public_events(events, **sizes)
-    joined = packed.join(states.where("rule is null"), "run_id").join(
+    hot = hot_groups(packed, ["run_id"])
+    joined = skew_join(packed, states.where("rule is null"), ["run_id"], hot=hot, how="inner").join(
         completed_nodes(events, **sizes), ["run_id", "part"], "left"
     )
     joined = lookup_join(joined, graph, ["workflow_version"])
@@ -137,16 +137,15 @@ def envelopes(
     """
     key = ["run_id", "mode"]
     identity = planned_identities(spans)
-    good = identity.where("distinct_ids = span_count and not several_traces")
+    good = identity.where("distinct_ids = span_count and not several_traces").join(digests, "run_id", "left")
     # Families follow each other; sequence numbers order inside a family.
-    ranked = spans.join(good.select(*key, "span_count"), key)
+    hot = hot_groups(spans, key, width)
     place = F.col("family") * F.lit(1 << 58) + F.col("seq")
     item = F.struct("identity", "span_id", span_document(naming).alias("body"))
-    hot = hot_groups(ranked, key, width)
     packed = in_parts(
-        ranked.withColumn("_place", place), key, "_place", item, "spans", hot=hot, part_rows=part_rows
+        spans.withColumn("_place", place), key, "_place", item, "spans", hot=hot, part_rows=part_rows
     )
-    return packed.join(good, key).join(digests, "run_id", "left").select(
+    return skew_join(packed, good, key, hot=hot, how="inner").select(
         F.lit(1).alias("schema_version"),
         *key,
         "part",

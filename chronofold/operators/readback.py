@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofold.functions import scalar as X
+from chronofold.functions.joins import SALTS, skew_join
+from chronofold.functions.running import hot_groups
 from chronofold.names import DEFAULT_NAMING, SpanNaming
 
 FIELDS = (
@@ -93,14 +95,25 @@ def scan_trace(store: DataFrame, trace_id: str, start_ms: int, end_ms: int, limi
 def scan_traces(store: DataFrame, windows: DataFrame, limit: int = ROW_LIMIT) -> DataFrame:
     """The same scan for many traces at once.
 
-    A constant row_number bound lets Spark drop all but ``limit`` rows of a trace before
-    the exchange, so a trace with very many rows does not pile up in one task.
+    A constant row_number bound up to 1,000 lets Spark drop all but ``limit`` rows of a
+    trace before the exchange. For a larger bound a first ranking inside hashed shares of
+    a trace does that, so a trace with very many rows does not pile up in one task.
     """
+    if not 1 <= limit <= MAX_ROW_LIMIT:
+        raise ValueError("limit must be between 1 and 10000")
+    rows = store.withColumn("trace_id", F.lower("trace_id"))
     wanted = windows.select("trace_id", "start_ms", "end_ms")
-    hits = store.withColumn("trace_id", F.lower("trace_id")).join(wanted, "trace_id")
+    hits = skew_join(rows, wanted, ["trace_id"], hot=hot_groups(rows, ["trace_id"]), how="inner")
     hits = hits.where("ts_ms between start_ms and end_ms")
-    order = Window.partitionBy("trace_id").orderBy("ts_ms", "ingest_seq")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    order = ("ts_ms", "ingest_seq")
+    if limit > ROW_LIMIT:
+        share = F.pmod(F.xxhash64("span_id", "ingest_seq"), F.lit(SALTS))
+        hits = hits.withColumn("_share", share)
+        inside = Window.partitionBy("trace_id", "_share").orderBy(*order)
+        hits = hits.withColumn("_in", F.row_number().over(inside)).where(F.col("_in") <= limit)
+        hits = hits.drop("_share", "_in")
+    ranked = F.row_number().over(Window.partitionBy("trace_id").orderBy(*order))
+    return hits.withColumn("rank", ranked).where(F.col("rank") <= limit)
 
 
 RESPONSE = (
