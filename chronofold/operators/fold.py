@@ -188,7 +188,7 @@ def _lookup_rule() -> Column:
         & F.col("src.source_intent_seq").eqNullSafe(F.col("source_intent_seq"))
     )
     return F.when(
-        F.col("names"),
+        F.col("names") & F.col("key").isNotNull(),
         F.when((kind == N.EFFECT_INTENT) & ~retry, 20)
         .when((kind == N.EFFECT_COMPLETED) & ~completion, 21)
         .when((kind == N.EFFECT_RESOLVED) & ~resolution, 22)
@@ -229,14 +229,10 @@ def fold(
         F.when(F.col("segment_end"), final).alias("final"),
     )
     checked = L.with_named_facts(judged, hot)
-    first_entry = F.coalesce(F.col("names"), F.lit(True))  # effects appear once per key
-    counted = first_entry | (
-        (F.col("type") == N.EFFECT_INTENT) & F.col("retry_of_intent_seq").isNull()
-    ) | ((F.col("type") == N.EFFECT_COMPLETED) & F.col("source_intent_seq").isNull())
     per_run = checked.groupBy("run_id").agg(
         F.min(F.least(pack(F.col("state_rule")), pack(_lookup_rule()))).alias("packed"),
         F.max_by("final", F.when(F.col("final").isNotNull(), F.col("seq"))).alias("final"),
-        F.count_if(counted).alias("n_events"),
+        F.count_if("names").alias("n_events"),
         F.count_if(F.col("type") == N.ACTIVATION_FINISHED).alias("n_completed"),
     )
     ok = F.col("packed").isNull()

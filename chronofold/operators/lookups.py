@@ -38,35 +38,34 @@ def named_key() -> Column:
 
 
 def with_named_facts(events: DataFrame, hot: HotGroups) -> DataFrame:
-    """One row per (event, key); an event that touches no key stays as one row.
+    """One row with ``names`` per event, for the key it names (null when it names none),
+    and one more without for each fact others may name.
 
-    Adds ``names`` (this row names the key), ``src`` (the source effect, if it came
-    before), ``used`` (an earlier completion used that source) and ``seen`` (an id was
-    used before).
+    Adds ``src`` (the source effect, if it came before), ``used`` (an earlier completion
+    used that source) and ``seen`` (an id was used before).
     """
     kind = F.col("type")
     naming = F.struct(named_key().alias("key"), F.lit(True).alias("names"))
-    providing = F.struct(
-        F.when(kind.isin(N.EFFECT_INTENT, N.EFFECT_COMPLETED), _key("s", F.col("seq"))).alias("key"),
-        F.lit(False).alias("names"),
-    )
-    touches = F.filter(F.array(naming, providing), lambda t: t["key"].isNotNull())
-    entries = events.select("*", F.explode_outer(touches).alias("t")).select(
+    providing = F.struct(_key("s", F.col("seq")).alias("key"), F.lit(False).alias("names"))
+    provides = kind.isin(N.EFFECT_INTENT, N.EFFECT_COMPLETED)
+    # Plain arrays: a filter with a lambda would leave generated code.
+    touches = F.when(provides, F.array(naming, providing)).otherwise(F.array(naming))
+    entries = events.select("*", F.explode(touches).alias("t")).select(
         *events.columns, F.col("t.key").alias("key"), F.col("t.names").alias("names")
     )
+    named = F.col("names") & F.col("key").isNotNull()
     source = F.struct(*[F.col(c) for c in SOURCE_FIELDS])
-    found = running_values(
+    return running_values(
         entries,
         ["run_id", "key"],
         "seq",
         hot=hot,
         last={"src": F.when(~F.col("names"), source)},
         peak={
-            "used": F.when(F.col("names") & (kind == N.EFFECT_COMPLETED), True),
-            "seen": F.when(F.col("names"), True),
+            "used": F.when(named & (kind == N.EFFECT_COMPLETED), True),
+            "seen": F.when(named, True),
         },
     )
-    return found
 
 
 def same_effect() -> Column:

@@ -90,7 +90,7 @@ def _lookup_rule() -> Column:
         & F.col("src.source_intent_seq").eqNullSafe(F.col("source_intent_seq"))
     )
     return F.when(
-        F.col("names"),
+        F.col("names") & F.col("key").isNotNull(),
         F.when((kind == N.ATTEMPT_STARTED) & L.seen(), 6)
         .when((kind == N.EFFECT_INTENT) & ~same_intent, 9)
         .when((kind == N.EFFECT_COMPLETED) & ~completion, 10)

@@ -27,7 +27,7 @@ def _named(s, d):
     """Events with the source effect they name."""
     rows = I.decoded(s, d)
     hot = hot_groups(rows, ["run_id"])
-    return L.with_named_facts(rows, hot).where("names")
+    return L.with_named_facts(rows, hot).where("names and key is not null")
 
 
 @query(
