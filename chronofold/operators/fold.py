@@ -68,9 +68,8 @@ def with_prior_state(decoded: DataFrame, hot: HotGroups) -> DataFrame:
     state = running_values(
         decoded, ["run_id"], "seq", hot=hot, last=setters, peak=peaks, end_flag="segment_end"
     )
-    for name, column in setters.items():
-        state = state.withColumn(name.replace("b_", "a_", 1), F.coalesce(column, F.col(name)))
-    return state
+    after = {n.replace("b_", "a_", 1): F.coalesce(c, F.col(n)) for n, c in setters.items()}
+    return state.withColumns(after)
 
 
 def _state_rule() -> Column:
