@@ -37,10 +37,9 @@ def shown(variant: str) -> Column:
     null and booleans, and the JSON form of everything else."""
     kind = F.schema_of_variant(variant)
     return (
-        F.when(kind == "STRING", F.variant_get(variant, "$", "string"))
-        .when(kind == "VOID", "None")
-        .when(kind == "BOOLEAN", F.initcap(F.to_json(F.col(variant))))
-        .otherwise(F.to_json(F.col(variant)))
+        F.when(kind == "VOID", "None")
+        .when(kind == "BOOLEAN", F.when(F.variant_get(variant, "$", "boolean"), "True").otherwise("False"))
+        .otherwise(F.variant_get(variant, "$", "string"))
     )
 
 
