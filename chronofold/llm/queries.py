@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import binary_output, packing
+from chronofold.llm import binary_output, near_dedup, packing
 from chronofold.llm.scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +34,11 @@ def _(s, d):
     return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query("op8_minhash_near_dedup")
+def _(s, d):
+    return near_dedup.near_duplicates(table(s, d, "documents"), k=3, threshold=Fraction(85, 100))
+
+
 @query("op9_token_files")
 def _(s, d):
     scratch = Scratch(s)
