@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import binary_output, near_dedup, packing
+from chronofold.llm import binary_output, exact_search, near_dedup, packing, secrets, url_filter
 from chronofold.llm.scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,12 +28,84 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query(
+    "op1_url_filter",
+    """
+    with rest as (
+      select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+    parts as (
+      select page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from rest),
+    rules as (
+      select * from (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) r(h, p, a)),
+    best as (
+      select page_id, host, path, max_by(h || p, length(h || p)) as rule, max_by(a, length(h || p)) as verdict
+      from parts join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by all)
+    select q.page_id, q.host, q.path, b.rule, coalesce(b.verdict, 'allow') as verdict
+    from parts q left join best b on q.page_id = b.page_id and q.host = b.host and q.path = b.path
+    """,
+)
+def _(s, d):
+    rules = url_filter.rule_table(s, url_filter.RULES)
+    judged = url_filter.judge_urls(table(s, d, "pages").select("page_id", "url"), rules)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def _secret_sql() -> str:
+    steps = [
+        f"""select doc_id, {i} as n, '{r.kind}' as kind, {r.least} as least,
+              regexp_extract_all(text, '{r.pattern.replace("'", "''")}', 0) as hits,
+              regexp_extract_all(text, '{r.pattern.replace("'", "''")}', {r.group}) as held,
+              string_split_regex(text, '{r.pattern.replace("'", "''")}') as gaps from texts"""
+        for i, r in enumerate(secrets.RULES)
+    ]
+    return f"""
+    with texts as (select doc_id, coalesce(text, '') as text from documents),
+    found as ({" union all ".join(steps)}),
+    rows as (
+      select doc_id, n, kind, least, i, length(hits[i]) as width, length(held[i]) as held, length(gaps[i]) as gap
+      from (select *, unnest(range(1, len(hits) + 1)) as i from found)),
+    ends as (select *, sum(gap + width) over (partition by doc_id, n order by i) as e from rows),
+    spans as (select doc_id, n, kind, e - width as s, e from ends where held >= least),
+    docs as (
+      select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access,
+        count(*) filter (kind = 'hex') as n_hex,
+        string_agg(kind || ':' || cast(s as bigint) || ':' || cast(e as bigint), ',' order by s, n) as spans from spans group by doc_id)
+    select t.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+      sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans
+    from texts t left join docs d on t.doc_id = d.doc_id
+    """
+
+
+@query("op3_secret_scan", _secret_sql())
+def _(s, d):
+    found = secrets.scan_documents(table(s, d, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 @query("op4_best_fit_packing")
 def _(s, d):
     rows = packing.best_fit_packing(table(s, d, "documents"))
     return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query(
+    "op7_exact_top_k",
+    """
+    with v as (
+      select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as items from embeddings
+      where len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    scored as (
+      select q.vec_id as query_id, x.vec_id, cast(list_inner_product(q.items, x.items) as bigint) as score
+      from v q join v x on q.vec_id <> x.vec_id where q.vec_id % 50 = 0),
+    ranked as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from scored)
+    select query_id, rank, vec_id, score from ranked where rank <= 5
+    """,
+)
+def _(s, d):
+    return exact_search.exact_top_k(table(s, d, "embeddings"))
+
+
 @query("op8_minhash_near_dedup")
 def _(s, d):
     return near_dedup.near_duplicates(table(s, d, "documents"), k=3, threshold=Fraction(85, 100))
