@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import binary_output, exact_search, near_dedup, packing, secrets, url_filter
+from chronofold.llm import binary_output, exact_search, near_dedup, packing, quality, secrets, url_filter
 from chronofold.llm.scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,11 @@ def _(s, d):
     return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query("op5_quality_classifier")
+def _(s, d):
+    return quality.classify(table(s, d, "documents"), table(s, d, "labels"))
+
+
 @query(
     "op7_exact_top_k",
     """
