@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import binary_output, exact_search, near_dedup, packing, quality, secrets, url_filter
+from chronofold.llm import binary_output, decontaminate, exact_search, near_dedup, packing, quality, secrets, url_filter
 from chronofold.llm.scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,8 @@ def _(s, d):
     path = scratch.path("ids")
     binary_output.write_token_files(table(s, d, "documents"), path)
     return binary_output.read_token_files(s, path)
+
+
+@query("op10_benchmark_decontamination")
+def _(s, d):
+    return decontaminate.find_copies(table(s, d, "documents"), table(s, d, "benchmark"))

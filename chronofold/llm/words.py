@@ -22,6 +22,12 @@ INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 
+MARKS = np.ones(256, bool)
+"""ASCII characters that are neither letter nor digit: white space and marks."""
+MARKS[128:] = False
+for _lo, _hi in ((48, 58), (65, 91), (97, 123)):
+    MARKS[_lo:_hi] = False
+
 LETTERS = np.zeros(256, bool)
 LETTERS[65:91] = True
 LETTERS[97:123] = True
@@ -120,14 +126,16 @@ def _pieces(buf: np.ndarray, offsets: np.ndarray, keep: int) -> Iterator[tuple[i
         lo = hi
 
 
-def word_edges(buf: np.ndarray, offsets: np.ndarray, cut_after_letters: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs without ASCII white space, within texts.
+def word_edges(
+    buf: np.ndarray, offsets: np.ndarray, cut_after_letters: bool = False, between: np.ndarray = SPACES
+) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs without bytes of ``between``, within texts.
 
     ``cut_after_letters`` ends a run also where an ASCII or Latin-1 letter is followed by
     an ASCII character that is neither letter nor digit.
     """
     n = len(buf)
-    word = ~SPACES[buf]
+    word = ~between[buf]
     fresh = np.zeros(n + 1, bool)
     fresh[offsets] = True
     begin = word.copy()
@@ -147,14 +155,18 @@ def word_edges(buf: np.ndarray, offsets: np.ndarray, cut_after_letters: bool = F
 
 
 def word_hashes(
-    buf: np.ndarray, offsets: np.ndarray, table: np.ndarray = FOLDED, cut_after_letters: bool = False
+    buf: np.ndarray,
+    offsets: np.ndarray,
+    table: np.ndarray = FOLDED,
+    cut_after_letters: bool = False,
+    between: np.ndarray = SPACES,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end) of every word and the index of each text's first word."""
     hashes, starts, ends = [], [], []
     for lo, hi in _pieces(buf, offsets, SLICE):
         part = buf[lo:hi]
         inside = offsets[(offsets >= lo) & (offsets < hi)] - lo
-        s, e = word_edges(part, inside, cut_after_letters)
+        s, e = word_edges(part, inside, cut_after_letters, between)
         hashes.append(range_hash(prefix(part, table), s, e))
         starts.append(s + lo)
         ends.append(e + lo)
