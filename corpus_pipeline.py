@@ -1,16 +1,71 @@
-"""A training corpus from raw documents, stage by stage."""
+"""A training corpus from raw documents, stage by stage.
+
+Each stage works on all documents its predecessor kept. The first four return the columns
+of ``documents``; the last one returns the packed pieces.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronofold.llm import decontaminate, near_dedup, packing, quality, secrets
+from chronofold.llm.scratch import Scratch
 
 ORACLE_SQL = None
-STAGES: list = []
+"""Tokens, trained scores and signatures have no SQL; tests/llm compares with brute force."""
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the classifier takes; word vectors and labels are those of these documents."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality.score_texts(docs, model)
+    return scored.where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group: five-word shingles, similarity 0.8."""
+    found = near_dedup.near_duplicates(docs, k=5, threshold=Fraction(4, 5))
+    copies = found.where("not kept").select("doc_id").distinct()
+    nulls = docs.where("doc_id is null")
+    once = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    return once.join(copies, "doc_id", "left_anti").select(*docs.columns).unionByName(nulls)
+
+
+def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage that copies a benchmark item."""
+    tests = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaks = Scratch(spark).keep(decontaminate.find_copies(docs, tests).select("doc_id").distinct(), "leaks")
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, found secrets masked in their texts; n_chars follows the text."""
+    masked = secrets.redact_documents(docs)
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
+
+
+def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their sequence and place."""
+    return packing.best_fit_packing(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", keep_quality),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_benchmark_copies),
+    ("secrets", mask_secrets),
+    ("packing", pack_documents),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the documents table."""
+    """Apply the stages to ``documents``; each is written and read again before the next."""
+    scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
