@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import binary_output, decontaminate, exact_search, near_dedup, packing, quality, secrets, url_filter
+from chronofold.llm import binary_output, decontaminate, exact_search, html_text, near_dedup, packing, quality, secrets, url_filter
 from chronofold.llm.scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +94,11 @@ def _(s, d):
     return quality.classify(table(s, d, "documents"), table(s, d, "labels"))
 
 
+@query("op6_html_extraction")
+def _(s, d):
+    return html_text.extract_pages(table(s, d, "pages"))
+
+
 @query(
     "op7_exact_top_k",
     """

@@ -27,12 +27,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group: five-word shingles, similarity 0.8."""
+    """The document of the smallest id of each group: five-word shingles, similarity 0.8.
+
+    Rows that repeat another's id and text go as well.
+    """
     found = near_dedup.near_duplicates(docs, k=5, threshold=Fraction(4, 5))
     copies = found.where("not kept").select("doc_id").distinct()
-    nulls = docs.where("doc_id is null")
-    once = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return once.join(copies, "doc_id", "left_anti").select(*docs.columns).unionByName(nulls)
+    left = docs.join(copies, "doc_id", "left_anti").withColumn("_text", secrets.blob_id(F.col("text")))
+    return left.dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +47,9 @@ def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, found secrets masked in their texts; n_chars follows the text."""
     masked = secrets.redact_documents(docs)
-    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
+    if "n_chars" not in docs.columns:
+        return masked
+    return masked.withColumn("n_chars", F.coalesce(F.length("text"), "n_chars").cast(docs.schema["n_chars"].dataType))
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
