@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import binary_output, decontaminate, exact_search, html_text, near_dedup, packing, quality, secrets, url_filter
+from chronofold.llm import binary_output, decontaminate, exact_search, html_text, near_dedup, packing, quality, secrets, substring_dedup, url_filter
 from chronofold.llm.scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,11 @@ def _(s, d):
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+@query("op2_repeated_strings")
+def _(s, d):
+    return substring_dedup.remove_repeats(table(s, d, "documents"))
+
+
 def _secret_sql() -> str:
     steps = [
         f"""select doc_id, {i} as n, '{r.kind}' as kind, {r.least} as least,
