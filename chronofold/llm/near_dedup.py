@@ -5,10 +5,11 @@ permutation of its own, so a document of n shingles fills n places a turn and th
 as soon as no later value could win. Signatures are banded; documents that share a band
 are compared on their full shingle sets; confirmed links are grouped by union-find.
 
-Equal sets are one node. Inside a bucket the nodes are first compared with its smallest and
-largest only, best estimates first. What the links found so far leave in different groups
-is then compared with every bucket partner in another group whose signature allows the
-similarity, so that a large group of copies never needs all its pairs.
+Equal sets are one node. Inside a bucket the nodes are first compared with four of its
+nodes only, best estimates first. What the links found so far leave in different groups is
+then compared with every bucket partner in another group whose signature, and whose number
+of shingles that any other such document holds, allow the similarity. So a large group of
+copies never needs all its pairs, and no pair that may be a link is left out.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ REGISTERS, ROWS, BANDS = 256, 6, 42
 """A pair of similarity 0.8 shares none of 42 bands of 6 registers with probability 3e-6,
 one of 0.85 with 3e-9."""
 
-BITS = 4
-"""Longs that hold one bit of each register."""
+PLANES = 4
+LONGS = REGISTERS // 64
+BITS = PLANES * LONGS
+"""Longs that hold PLANES bits of each register."""
 
 TURN_ELEMENTS = 1 << 16
 
@@ -109,7 +112,7 @@ def _fill(flat: np.ndarray, sets: list[np.ndarray], lo: int, hi: int) -> None:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, one bit of each register, band hashes."""
+    """doc_id, number of shingles, digest of the set, PLANES bits of each register, band hashes."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,7 +122,12 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 sets = list(shingle_sets(buf[part[0] : part[-1]], part - part[0], k))
                 full = [i for i, s in enumerate(sets) if len(s)]
                 regs = superminhash([sets[i] for i in full]).view(np.uint64)
-                bits = np.packbits((W.mix(regs) & np.uint64(1)).astype(np.uint8), axis=1, bitorder="little").view(np.int64)
+                mixed = W.mix(regs)
+                bits = [
+                    np.packbits((mixed >> np.uint64(i) & np.uint64(1)).astype(np.uint8), axis=1, bitorder="little").view(np.int64)
+                    for i in range(PLANES)
+                ]
+                bits = np.concatenate(bits, axis=1)
                 bands = np.zeros((len(full), BANDS), np.uint64)
                 for i in range(ROWS):
                     bands = W.mix(bands * W.BASE + regs[:, i : BANDS * ROWS : ROWS])
@@ -187,19 +195,46 @@ def _confirm(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFram
 
 
 def _possible(threshold: Fraction):
-    """A column: the sizes and the signature bits of p and q allow the similarity.
+    """Columns: the sizes and signatures of p and q allow the similarity; how they differ.
 
-    Two registers agree with probability J, so a bit agrees with (1 + J) / 2. Six standard
-    deviations below the expected count leave out one in a thousand million true links.
+    Two registers agree in PLANES bits with probability J + (1 - J) / 2**PLANES. Four
+    and a half standard deviations below the expected count leave out three of a million links
+    that just reach the threshold, as many as the bands do.
     """
     t = float(threshold)
-    agree = (1 + t) / 2
-    least = int(REGISTERS * agree - 6 * (REGISTERS * agree * (1 - agree)) ** 0.5)
-    differ = " + ".join(f"bit_count(p.s{i} ^ q.s{i})" for i in range(BITS))
+    agree = t + (1 - t) / (1 << PLANES)
+    least = int(REGISTERS * agree - 4.5 * (REGISTERS * agree * (1 - agree)) ** 0.5)
+    differ = " + ".join(
+        "bit_count(" + " | ".join(f"(p.s{j * LONGS + i} ^ q.s{j * LONGS + i})" for j in range(PLANES)) + ")"
+        for i in range(LONGS)
+    )
     sizes = f"{threshold.denominator} * least(p.n, q.n) >= {threshold.numerator} * greatest(p.n, q.n)"
     return F.expr(f"{sizes} and {differ} <= {REGISTERS - least}"), F.expr(differ)
 
 
+def _shared_items(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, common): how many items of each node's set another of the nodes holds too.
+
+    No pair of these nodes has more items in common than the smaller of the two counts.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+            node = np.repeat(batch.column(0).to_numpy(), [len(x) for x in parts])
+            items = np.concatenate(parts or [np.zeros(0, np.int64)])
+            for lo in range(0, len(items), 1 << 16):
+                hi = lo + (1 << 16)
+                yield pa.RecordBatch.from_arrays([pa.array(node[lo:hi]), pa.array(items[lo:hi])], ["node", "item"])
+
+    own = sets.select("node", "items").join(nodes, "node")
+    rows = own.mapInArrow(spread, "node bigint, item bigint")
+    lone = rows.groupBy("item").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+    lone = lone.groupBy("node").agg(F.count("*").alias("lone"))
+    sizes = own.select("node", (F.octet_length("items") / 8).cast("bigint").alias("n"))
+    return sizes.join(lone, "node", "left").select("node", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("common"))
+
+
 def near_duplicates(
     docs: DataFrame, *, k: int = 5, threshold: Fraction = Fraction(4, 5), scratch: Scratch | None = None
 ) -> DataFrame:
@@ -219,8 +254,12 @@ def near_duplicates(
     found = sound.join(nodes.withColumnRenamed("node", "doc_id"), ["doc_id", "digest"])
     unique = scratch.keep(found.withColumnRenamed("doc_id", "node").dropDuplicates(["node", "digest"]), "nodes")
 
-    banded = unique.select("node", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    banded = unique.select("node", F.posexplode("bands").alias("place", "band"))
+    order = F.struct(F.xxhash64("node").alias("hash"), F.col("node").alias("node"))
+    buckets = banded.groupBy("band").agg(
+        F.min("node").alias("low"), F.max("node").alias("high"), F.min(order).alias("first"), F.max(order).alias("last")
+    )
+    buckets = buckets.where("low < high").select("band", F.array("low", "high", "first.node", "last.node").alias("hubs"))
     shared = scratch.keep(banded.join(buckets, "band"), "buckets")
     facts = unique.select("node", "n", *[f"s{i}" for i in range(BITS)])
     members = shared.select("node").distinct()
@@ -233,21 +272,30 @@ def near_duplicates(
     )
 
     possible, differ = _possible(threshold)
-    hubs = shared.select("node", F.explode(F.array("low", "high")).alias("hub")).where("node <> hub").distinct()
+    hubs = shared.select("node", F.explode("hubs").alias("hub")).where("node <> hub").distinct()
     rated = hubs.join(facts.alias("p"), hubs.node == F.col("p.node")).join(facts.alias("q"), hubs.hub == F.col("q.node"))
     rated = rated.where(possible).select(hubs.node, "hub", differ.alias("differ"))
-    best = rated.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("differ", "hub"))).where("r <= 2")
+    best = rated.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("differ", "hub"))).where("r <= 3")
     first = best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     links = scratch.keep(_confirm(first, sets, threshold), "links")
     grouped = scratch.keep(components(links, scratch), "grouped")
 
-    known = unique.select("node", "n", *[f"s{i}" for i in range(BITS)])
+    known = unique.select("node", "n", "bands", *[f"s{i}" for i in range(BITS)])
     known = known.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    held = shared.select("node", "band").join(known, "node")
+    held = shared.select("node", "band", "place").join(known.select("node", "component"), "node")
     mixed = held.groupBy("band").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l < h").select("band")
-    open_ = scratch.keep(held.join(mixed, "band"), "open")
+    at_odds = scratch.keep(held.join(mixed, "band").select("node", "band", "place"), "mixed")
+    common = _shared_items(sets, at_odds.select("node").distinct())
+    places = F.expr("transform(bands, x -> cast(shiftright(x, 32) as int)) as bands")
+    facing = known.select("node", "n", "component", *[f"s{i}" for i in range(BITS)], places).join(common, "node")
+    open_ = scratch.keep(at_odds.join(facing, "node"), "open")
+    # The last condition takes a pair at the first band it shares, not once for each band.
+    within = "least(p.common, q.common)"
+    allowed = f"{threshold.denominator} * {within} >= {threshold.numerator} * (p.n + q.n - {within})"
+    once = F.expr("array_position(zip_with(p.bands, q.bands, (x, y) -> x = y), true) = p.place + 1")
     more = open_.alias("p").join(
-        open_.alias("q"), F.expr("p.band = q.band and p.node < q.node and p.component <> q.component") & possible
+        open_.alias("q"),
+        F.expr(f"p.band = q.band and p.node < q.node and p.component <> q.component and {allowed}") & possible & once,
     )
     more = more.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
     rest = scratch.keep(_confirm(more, sets, threshold), "links")
@@ -260,5 +308,5 @@ def near_duplicates(
     result = labelled.select("doc_id", "n_shingles", own.alias("component_id"))
     result = result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     result = scratch.keep(result, "result")
-    scratch.drop(signed, unique, shared, sets, links, grouped, open_, rest)
+    scratch.drop(signed, unique, shared, sets, links, grouped, at_odds, open_, rest)
     return result
