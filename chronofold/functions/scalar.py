@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from chronofold.names import DEFAULT_NAMING, SpanNaming
 
@@ -20,9 +24,30 @@ def strict_json(text: Column) -> Column:
     return F.when(single, F.variant_get(named, "$.v", "variant"))
 
 
+# A number with a fraction, an exponent or more digits than a long, an escape, or a constant.
+UNUSUAL_JSON = r"[0-9][.eE][0-9+-]|[0-9]{18}|\\|NaN|Infinity"
+
+
+@F.pandas_udf(StringType())
+def _canonical_text(texts: pd.Series) -> pd.Series:
+    def one(text: str | None) -> str | None:
+        try:
+            return json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+        except (TypeError, ValueError, RecursionError):
+            return None
+
+    return texts.map(one)
+
+
 def canonical_json(text: Column) -> Column:
-    """Compact JSON with sorted keys. Numbers like ``1.0`` come out as ``1``."""
-    return F.to_json(F.parse_json(text))
+    """Compact JSON with sorted keys; null when the text is no JSON value.
+
+    Numbers keep their kind: ``1.0`` stays, long integers stay whole, exponents are
+    written in one way. Texts that hold such a number, an escape or something the parser
+    of variants does not take go through a small helper; all others stay in built-ins.
+    """
+    usual = F.when(~text.rlike(UNUSUAL_JSON), F.to_json(strict_json(text)))
+    return F.coalesce(usual, _canonical_text(F.when(usual.isNull(), text)))
 
 
 def fingerprint(text: Column) -> Column:
@@ -53,16 +78,29 @@ def span_id(
 
 
 def trace_hex(value: Column) -> Column:
-    """A numeric trace id, given as decimal text, in 32 hex digits.
+    """A numeric trace id of up to 128 bits, given as decimal text, in 32 hex digits.
 
-    Two limbs of 64 bits, because no integer type holds 128: divide by 2**64 in decimal
-    arithmetic is exact up to 38 digits, which covers 2**126.
+    No integer type holds 128 bits. The digits come in groups of eight; each step
+    multiplies four limbs of 32 bits by 10**8, adds a group and carries. Text that is no
+    number below 2**128 gives null.
     """
-    number = value.cast("decimal(38,0)")
-    limb = F.lit("18446744073709551616").cast("decimal(20,0)")
-    high = F.floor(number / limb).cast("decimal(38,0)")
-    low = number - high * limb
-    return F.concat(_hex64(high.cast("decimal(20,0)")), _hex64(low.cast("decimal(20,0)")))
+    text = value.cast("string")
+    digits = F.lpad(F.regexp_replace(text, "^0+(?=[0-9])", ""), 40, "0")
+    groups = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.substr(digits, i * 8 + 1, F.lit(8)).cast("bigint"))
+    step, limb, zero = F.lit(100_000_000).cast("bigint"), F.lit(1 << 32), F.lit(0).cast("bigint")
+
+    def add(limbs: Column, group: Column) -> Column:
+        out, carry = [], group
+        for i in range(5):
+            now = limbs[f"l{i}"] * step + carry
+            out.append(F.pmod(now, limb).alias(f"l{i}"))
+            carry = quotient(now, 1 << 32)
+        return F.struct(*out)
+
+    start = F.struct(*[zero.alias(f"l{i}") for i in range(5)])
+    parts = lambda s: [F.lower(F.lpad(F.hex(s[f"l{i}"]), 8, "0")) for i in (3, 2, 1, 0)]
+    shown = F.aggregate(groups, start, add, lambda s: F.when(s["l4"] == 0, F.concat(*parts(s))))
+    return F.when(text.rlike("^0*[0-9]{1,39}$"), shown)
 
 
 def span_hex(value: Column) -> Column:
@@ -70,13 +108,6 @@ def span_hex(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))
 
 
-def _hex64(number: Column) -> Column:
-    half = F.lit(4294967296).cast("decimal(20,0)")
-    high = F.floor(number / half).cast("bigint")
-    low = (number - high.cast("decimal(20,0)") * half).cast("bigint")
-    return F.lower(F.concat(F.lpad(F.hex(high), 8, "0"), F.lpad(F.hex(low), 8, "0")))
-
-
 def effect_key(run_id: Column, activation_id: Column, effect: str) -> Column:
     return F.concat_ws(":", run_id, activation_id, F.lit(effect))
 

@@ -23,51 +23,40 @@ def quantile(column: str | Column, probability: float) -> Column:
     return F.percentile(column, min(1.0, max(0.0, probability)))
 
 
-BUCKETS = 1 << 14
-
-
 def exact_quantiles(values: DataFrame, group: str, value: str, probabilities: Sequence[float]) -> DataFrame:
-    """The same quantiles per group as columns ``q0``, ``q1``, ...
+    """The same quantiles per group as columns ``q0``, ``q1``, ...; null and NaN are left out.
 
     The ``percentile`` aggregate keeps all distinct values of a group in one buffer. Here
-    values are first counted in at most BUCKETS ordered buckets per group; only the
-    buckets that hold a wanted rank are then looked at value by value.
+    distinct values are counted and written once in ranges of (group, value) of sampled,
+    hence about equal, size. Running counts inside a range and a total for each range give
+    every value its ranks, so no outlier and no large group ends up in one task.
     """
-    spread = values.groupBy(group).agg(
-        F.min(value).alias("_min"), F.max(value).alias("_max"), F.count(value).alias("_n")
-    )
     v = F.col(value).cast("double")
-    share = (v - F.col("_min")) / (F.col("_max") - F.col("_min"))
-    bucket = F.when(F.col("_max") > F.col("_min"), F.floor(share * (BUCKETS - 1))).otherwise(0)
-    placed = lookup_join(values.select(group, v.alias(value)), spread, [group], "inner").select(
-        group, value, bucket.cast("bigint").alias("_bucket")
-    )
-    counted = placed.groupBy(group, "_bucket").agg(F.count("*").alias("n"))
-    order = Window.partitionBy(group).orderBy("_bucket")  # at most BUCKETS rows
-    ranges = counted.withColumn("_upto", F.sum("n").over(order)).withColumn("_start", F.col("_upto") - F.col("n"))
+    sound = values.select(group, v.alias(value)).where(v.isNotNull() & ~F.isnan(v))
+    counted = sound.groupBy(group, value).agg(F.count("*").alias("n")).repartitionByRange(group, value)
+    counted = cut(counted.withColumn("_range", F.spark_partition_id()))
+    totals = counted.groupBy(group, "_range").agg(F.sum("n").alias("in_range"))  # one row per range and group
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.withColumn("_start", F.coalesce(F.sum("in_range").over(before), F.lit(0)))
+    last = F.lit(-1) + F.col("_n")
     ranks = []
     for i, p in enumerate(probabilities):
-        position = F.lit(min(1.0, max(0.0, float(p)))) * (F.col("_n") - 1)
+        position = F.lit(min(1.0, max(0.0, float(p)))) * last
         low, weight = F.floor(position), position - F.floor(position)
         ranks += [
             F.struct(F.lit(i).alias("i"), low.alias("rank"), (1 - weight).alias("weight")),
             F.struct(F.lit(i).alias("i"), F.ceil(position).alias("rank"), weight.alias("weight")),
         ]
-    wanted = spread.select(group, F.explode(F.array(*ranks)).alias("w")).select(group, "w.*")
-    targets = wanted.join(ranges, group).where("rank >= _start and rank < _upto").select(
-        group, "_bucket", "_start", "i", "rank", "weight"
-    )
-    few = targets.select(group, "_bucket", "_start").distinct()
-    inside = lookup_join(placed, few, [group, "_bucket"], "inner")
-    per_value = inside.groupBy(group, "_bucket", "_start", value).agg(F.count("*").alias("n"))
-    fine = Window.partitionBy(group, "_bucket").orderBy(value)
-    located = per_value.withColumn("_to", F.col("_start") + F.sum("n").over(fine)).withColumn(
-        "_from", F.col("_to") - F.col("n")
+    wanted = starts.withColumn("_n", F.sum("in_range").over(Window.partitionBy(group))).select(
+        group, "_range", "_start", F.array(*ranks).alias("ranks")
     )
-    hit = located.drop("_start").join(targets, [group, "_bucket"]).where("rank >= _from and rank < _to")
-    return hit.groupBy(group).agg(
+    inside = Window.partitionBy(group, "_range").orderBy(value)
+    located = counted.withColumn("_upto", F.sum("n").over(inside)).join(wanted, [group, "_range"])
+    end = F.col("_start") + F.col("_upto")
+    hit = F.filter("ranks", lambda r: (r["rank"] >= end - F.col("n")) & (r["rank"] < end))
+    return located.select(group, value, F.explode(hit).alias("w")).groupBy(group).agg(
         *[
-            F.sum(F.when(F.col("i") == i, F.col(value) * F.col("weight"))).alias(f"q{i}")
+            F.sum(F.when(F.col("w.i") == i, F.col(value) * F.col("w.weight"))).alias(f"q{i}")
             for i in range(len(probabilities))
         ]
     )
@@ -104,8 +93,7 @@ def rate_intervals(
     A resample of n observations of which k are 1 has a binomial number of ones, so a
     group needs its two counts and no copy of its rows: each of the ``resamples`` draws
     is one row whose uniform number comes from a hash of (seed, group, draw). The draw
-    uses the normal approximation with rounding once n * rate * (1 - rate) >= 100 and the
-    exact inverse below that.
+    is the exact inverse of the binomial distribution for counts of any size.
     """
     counts = cut(rates(observations, group))  # one row per group, read four times
     varied = counts.where("numerator > 0 and numerator < denominator")
@@ -236,19 +224,13 @@ def _binomial(n: pd.Series, p: pd.Series, u: pd.Series) -> pd.Series:
     out = np.empty(len(u))
     frame = pd.DataFrame({"n": n, "p": p, "u": u})
     for (size, rate), part in frame.groupby(["n", "p"]):
-        spread = size * rate * (1 - rate)
-        if spread >= 100:
-            z = part["u"].map(NormalDist().inv_cdf).to_numpy()
-            drawn = np.clip(np.rint(size * rate + z * spread**0.5), 0, size)
-        else:
-            # Probabilities beyond this many ones are below 1e-40 when n * p * q < 100.
-            top = int(min(size, size * rate + 20 * spread**0.5 + 60))
-            low = int(max(0, size * rate - 20 * spread**0.5 - 60))
-            ks = np.arange(low, top + 1)
-            steps = np.log((size - ks[:-1]) / (ks[:-1] + 1.0)) + np.log(rate / (1 - rate))
-            logs = np.concatenate([[0.0], np.cumsum(steps)])
-            mass = np.exp(logs - logs.max())
-            drawn = ks[np.searchsorted(np.cumsum(mass) / mass.sum(), part["u"].to_numpy(), side="right").clip(0, len(ks) - 1)]
+        # Every number of ones whose probability is above zero in double precision.
+        reach = 40 * (size * rate * (1 - rate)) ** 0.5 + 1500
+        ks = np.arange(int(max(0, size * rate - reach)), int(min(size, size * rate + reach)) + 1)
+        steps = np.log((size - ks[:-1]) / (ks[:-1] + 1.0)) + np.log(rate / (1 - rate))
+        logs = np.concatenate([[0.0], np.cumsum(steps)])
+        mass = np.exp(logs - logs.max())
+        drawn = ks[np.searchsorted(np.cumsum(mass) / mass.sum(), part["u"].to_numpy(), side="right").clip(0, len(ks) - 1)]
         out[part.index.to_numpy()] = drawn
     return pd.Series(out)
 

@@ -10,17 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
+_own_folder: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by the cluster; a local one only where none is set (tests)."""
-    folder = spark.conf.get(CHECKPOINT_SETTING, None)
+    """The folder the cluster names; one of our own only where all work is on one machine.
+
+    On a cluster without that setting this is an error: executors would not see each
+    other's files.
+    """
+    folder = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    folder = tempfile.mkdtemp(prefix="chronofold-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError(f"{CHECKPOINT_SETTING} must name a folder that all executors share")
+    if not _own_folder:
+        _own_folder.append(tempfile.mkdtemp(prefix="chronofold-"))
+    return _own_folder[0]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronofold.functions import scalar as X
+from chronofold.functions.storage import cut
 
 # First folder of a path -> group of the frozen input set.
 ROOT_GROUPS = {
@@ -147,14 +148,11 @@ def audit_receipts(receipts: DataFrame, inputs: DataFrame, evidence: DataFrame)
     lineage_id, phase, schema_version, verdict, inputs_sha256, criteria MAP.
 
     ``position`` is the place in the list, unique per lineage. The order test looks one
-    receipt back. A receipt after one per phase must repeat a phase or name an unknown
-    one, so no position beyond that can be the first failure and the window stays small.
+    receipt back; all receipts of a lineage are judged, however many there are.
     """
     reference = F.struct("path", "sha256", "bytes")
-    known = F.col("position") <= len(PHASES)
-    overflow = receipts.where(~known).groupBy("lineage_id").agg(F.lit(True).alias("too_long"))
     order = Window.partitionBy("lineage_id").orderBy("position")
-    chain = receipts.where(known).withColumns(
+    chain = receipts.withColumns(
         {
             "before": F.lag(reference).over(order),
             "phases_before": F.count("*").over(
@@ -162,7 +160,7 @@ def audit_receipts(receipts: DataFrame, inputs: DataFrame, evidence: DataFrame)
             ),
         }
     )
-    gaps = criteria_gaps(receipts.where(known)).select("lineage_id", "position").distinct().withColumn("gap", F.lit(True))
+    gaps = criteria_gaps(receipts).select("lineage_id", "position").distinct().withColumn("gap", F.lit(True))
     proof = evidence.select(
         F.col("path").alias("evidence_path"),
         F.col("lineage_id").alias("e_lineage"),
@@ -209,24 +207,24 @@ def audit_receipts(receipts: DataFrame, inputs: DataFrame, evidence: DataFrame)
         F.count("*").alias("receipts"),
         F.count_if(~F.col("phase").eqNullSafe(phase_at)).alias("misplaced"),
     )
-    known_lineages = inputs.select("lineage_id").join(per_lineage, "lineage_id", "left").join(overflow, "lineage_id", "left")
+    known_lineages = inputs.select("lineage_id").join(per_lineage, "lineage_id", "left")
     failure = F.coalesce(
         F.when(F.col("receipts").isNull(), "receipts_missing"),
         F.col("first.code"),
         F.when(
-            (F.col("receipts") != len(PHASES)) | (F.col("misplaced") > 0) | F.coalesce("too_long", F.lit(False)),
+            (F.col("receipts") != len(PHASES)) | (F.col("misplaced") > 0),
             "phase_policy",
         ),
     )
     return known_lineages.select("lineage_id", failure.alias("failure"), failure.isNull().alias("ready"))
 
 
-def nested_references(documents: DataFrame, depth: int = 16) -> DataFrame:
+def nested_references(documents: DataFrame) -> DataFrame:
     """Artifact references anywhere in JSON bodies: ``(id, location, path, sha256, bytes)``.
 
-    Walks one level per step with ``variant_explode``; a branch that is a reference is not
-    walked further. ``problem`` marks an incomplete or malformed one. Bodies nested deeper
-    than ``depth`` are reported as such, not cut off silently.
+    Walks one level per step with ``variant_explode`` until no body has a further one; a
+    branch that is a reference is not walked further. Each level is written once, so no
+    step repeats an earlier one. ``problem`` marks an incomplete or malformed reference.
     """
     spark = documents.sparkSession
     field = lambda k, t: F.try_variant_get("v", f"$.{k}", t)
@@ -234,20 +232,17 @@ def nested_references(documents: DataFrame, depth: int = 16) -> DataFrame:
     shape = F.schema_of_variant("v")
     level = documents.select("id", F.lit("$").alias("location"), F.try_parse_json("body").alias("v"))
     found = []
-    for step in range(depth + 1):
-        level = level.withColumn("object", shape.startswith("OBJECT")).withColumn("nested", shape.rlike("^(OBJECT|ARRAY)"))
-        level = level.withColumn(
-            "is_ref", F.col("object") & (is_set("sha256") | (is_set("path") & is_set("bytes")))
-        ).where("nested")
-        found.append(level.where("is_ref").select("id", "location", "v"))
-        rest = level.where("not coalesce(is_ref, false)")
-        if step == depth:
-            deep = rest.select("id", "location", F.lit("too_deep").alias("problem"))
+    while True:
+        level = level.withColumn("object", shape.startswith("OBJECT")).where(shape.rlike("^(OBJECT|ARRAY)"))
+        is_ref = F.col("object") & (is_set("sha256") | (is_set("path") & is_set("bytes")))
+        level = cut(level.select("id", "location", "v", F.coalesce(is_ref, F.lit(False)).alias("is_ref")))
+        if found and level.isEmpty():
             break
+        found.append(level.where("is_ref").select("id", "location", "v"))
         level = spark.sql(
             "select id, location || coalesce('.' || e.key, '[' || e.pos || ']') as location, e.value as v "
             "from {rest}, lateral variant_explode(v) e",
-            rest=rest,
+            rest=level.where("not is_ref"),
         )
     refs = found[0]
     for more in found[1:]:
@@ -260,10 +255,9 @@ def nested_references(documents: DataFrame, depth: int = 16) -> DataFrame:
         .when(~F.coalesce(text("sha256").rlike("^[0-9a-fA-F]{64}$"), F.lit(False)), "bad_hash")
         .when(~F.coalesce(size >= 0, F.lit(False)), "bad_size")
     )
-    rows = refs.select(
+    return refs.select(
         "id", "location", text("path").alias("path"), F.lower(text("sha256")).alias("sha256"), size.alias("bytes"), problem.alias("problem")
     )
-    return rows.unionByName(deep, allowMissingColumns=True)
 
 
 def provenance_stability(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronofold.functions import scalar as X
 from chronofold.functions.joins import lookup_join, skew_join
 from chronofold.functions.running import GROUP_ROWS, HotGroups, hot_groups, ordinal
+from chronofold.functions.storage import cut
 from chronofold.names import DEFAULT_NAMING, SpanNaming
 from chronofold.operators.decode import event_time
 from chronofold.operators.projection import attributes_json
@@ -197,18 +198,27 @@ def journal_digests(
     hot = hot_groups(events, ["run_id"], width)
     parts = in_parts(events, ["run_id"], "seq", F.sha2(text, 256), "rows", hot=hot, part_rows=part_rows)
     digest = parts.select("run_id", "part", F.sha2(F.array_join("rows", ""), 256).alias("digest"))
-    while True:  # one level for runs of one part; longer runs add levels until one is left
+    whole = None
+    while True:  # a run is folded until one part is left, by its own number of rows
         folded = digest.groupBy("run_id", F.expr(f"part div {part_rows}").alias("part")).agg(
             F.array_sort(F.collect_list(F.struct("part", "digest"))).alias("d")
         )
         digest = folded.select(
             "run_id", "part", F.sha2(F.array_join(F.transform("d", lambda s: s["digest"]), ""), 256).alias("digest")
         )
-        if hot.keys is None:
-            break
-        if not digest.where("part > 0").take(1):
-            break
-    return digest.select("run_id", F.col("digest").alias("journal_sha256"))
+        if hot.keys is None and width <= part_rows**2:  # no run is longer than two levels hold
+            return _joined(whole, digest)
+        digest = cut(digest)
+        long = digest.where("part > 0").select("run_id").distinct()
+        whole = _joined(whole, digest.join(long, "run_id", "left_anti"))
+        digest = digest.join(long, "run_id", "left_semi")
+        if digest.isEmpty():
+            return whole
+
+
+def _joined(whole: DataFrame | None, digest: DataFrame) -> DataFrame:
+    done = digest.select("run_id", F.col("digest").alias("journal_sha256"))
+    return done if whole is None else whole.unionByName(done)
 
 
 def audit_delivery(finals: DataFrame, staged: DataFrame, deliveries: DataFrame) -> DataFrame:

@@ -92,28 +92,26 @@ def scan_trace(store: DataFrame, trace_id: str, start_ms: int, end_ms: int, limi
     return store.where(hit).orderBy("ts_ms", "ingest_seq").limit(limit).select(*FIELDS)
 
 
-def scan_traces(store: DataFrame, windows: DataFrame, limit: int = ROW_LIMIT) -> DataFrame:
+def scan_traces(store: DataFrame, windows: DataFrame, limit: int | None = None) -> DataFrame:
     """The same scan for many traces at once.
 
-    A constant row_number bound up to 1,000 lets Spark drop all but ``limit`` rows of a
-    trace before the exchange. For a larger bound a first ranking inside hashed shares of
-    a trace does that, so a trace with very many rows does not pile up in one task.
+    Each window's own ``row_limit`` holds, up to 10,000 rows, or ``limit`` for all where it
+    is given. A first ranking inside hashed shares of a trace drops rows beyond the limit,
+    so a trace with very many rows does not pile up in one task.
     """
-    if not 1 <= limit <= MAX_ROW_LIMIT:
+    if limit is not None and not 1 <= limit <= MAX_ROW_LIMIT:
         raise ValueError("limit must be between 1 and 10000")
     rows = store.withColumn("trace_id", F.lower("trace_id"))
-    wanted = windows.select("trace_id", "start_ms", "end_ms")
+    most = F.lit(limit) if limit is not None else F.least(F.col("row_limit"), F.lit(MAX_ROW_LIMIT))
+    wanted = windows.select("trace_id", "start_ms", "end_ms", most.alias("_most"))
     hits = skew_join(rows, wanted, ["trace_id"], hot=hot_groups(rows, ["trace_id"]), how="inner")
     hits = hits.where("ts_ms between start_ms and end_ms")
     order = ("ts_ms", "ingest_seq")
-    if limit > ROW_LIMIT:
-        share = F.pmod(F.xxhash64("span_id", "ingest_seq"), F.lit(SALTS))
-        hits = hits.withColumn("_share", share)
-        inside = Window.partitionBy("trace_id", "_share").orderBy(*order)
-        hits = hits.withColumn("_in", F.row_number().over(inside)).where(F.col("_in") <= limit)
-        hits = hits.drop("_share", "_in")
+    hits = hits.withColumn("_share", F.pmod(F.xxhash64("span_id", "ingest_seq"), F.lit(SALTS)))
+    inside = Window.partitionBy("trace_id", "_share").orderBy(*order)
+    hits = hits.withColumn("_in", F.row_number().over(inside)).where("_in <= _most").drop("_share", "_in")
     ranked = F.row_number().over(Window.partitionBy("trace_id").orderBy(*order))
-    return hits.withColumn("rank", ranked).where(F.col("rank") <= limit)
+    return hits.withColumn("rank", ranked).where("rank <= _most").drop("_most")
 
 
 RESPONSE = (

@@ -655,7 +655,7 @@ def _references(s, d):
     )
     body = F.concat(F.lit('{"a":'), ref(F.concat(F.lit("p"), e), F.sha2(e, 256), e), F.lit(',"n":{"m":[]},'), extra, F.lit("}"))
     docs = I.events_table(s, d).select(F.concat(F.lit("e"), e).alias("id"), body.alias("body"))
-    refs = artifacts.nested_references(docs, depth=6)
+    refs = artifacts.nested_references(docs)
     return refs.select(
         "id", "location", F.coalesce("path", F.lit("none")).alias("path"), F.coalesce("sha256", F.lit("none")).alias("sha256"),
         F.coalesce("bytes", F.lit(-1)).alias("bytes"), F.coalesce("problem", F.lit("none")).alias("problem"),

@@ -74,11 +74,10 @@ def _(s, d):
 
 @query(
     "j04_event_in_active_attempt",
-    """with s as (select run_id, seq, type, attempt_id, max(case when type in ('attempt_started', 'attempt_abandoned', 'attempt_failed', 'activation_finished') then seq end)
-            over (partition by run_id order by seq rows between unbounded preceding and 1 preceding) as last_change from facts)
-       select s.run_id, s.seq, coalesce(b.type = 'attempt_started' and b.attempt_id = s.attempt_id, false) as in_attempt
-       from s left join facts b on b.run_id = s.run_id and b.seq = s.last_change
-       where s.type in ('effect_intent', 'effect_completed', 'effect_resolved', 'attempt_abandoned', 'attempt_failed', 'activation_finished')""",
+    """with s as (select run_id, seq, type, attempt_id, last_value(case when type = 'attempt_started' then attempt_id when type in ('attempt_abandoned', 'attempt_failed', 'activation_finished') then '' end ignore nulls)
+              over (partition by run_id order by seq rows between unbounded preceding and 1 preceding) as open_id from facts)
+       select run_id, seq, coalesce(open_id = attempt_id, false) as in_attempt from s
+       where type in ('effect_intent', 'effect_completed', 'effect_resolved', 'attempt_abandoned', 'attempt_failed', 'activation_finished')""",
     on="journal",
 )
 def _(s, d):
@@ -90,8 +89,11 @@ def _(s, d):
 
 @query(
     "j05_span_to_parent",
-    """select s.mode, s.span_id, p.span_id is not null as parent_found, coalesce(p.start_ns, -1) as parent_start from spans s
-       left join spans p on s.run_id = p.run_id and s.mode = p.mode and s.parent_span_id = p.span_id""",
+    """with up as (select *, max(case when family = 0 then start_ns end) over r as run_start, max(case when family = 0 then end_ns end) over r as run_finish,
+            max(case when family = 1 then start_ns end) over a as att_start, max(case when family = 1 then end_ns end) over a as att_finish,
+            max(case when family = 1 then att_outcome end) over a as outcome from spans
+          window r as (partition by run_id, mode), a as (partition by run_id, mode, attempt_id)),
+        p as (select *, case family when 0 then null when 1 then run_start else att_start end as p_start, case family when 0 then null when 1 then run_finish else att_finish end as p_end from up) select mode, span_id, p_start is not null as parent_found, coalesce(p_start, -1) as parent_start from p""",
     on="spans",
 )
 def _(s, d):
@@ -101,8 +103,8 @@ def _(s, d):
 
 @query(
     "j06_link_to_span",
-    """select l.run_id, l.mode, l.identity, l.link_span_id as span_id, t.span_id is not null as found from spans l
-       left join spans t on l.run_id = t.run_id and l.mode = t.mode and l.link_span_id = t.span_id where l.link_span_id is not null""",
+    """with l as (select *, list(span_id) over (partition by run_id, mode) as ids from spans)
+       select run_id, mode, identity, link_span_id as span_id, list_contains(ids, link_span_id) as found from l where link_span_id is not null""",
     on="spans",
 )
 def _(s, d):
@@ -111,8 +113,11 @@ def _(s, d):
 
 @query(
     "j07_effect_to_attempt_outcome",
-    """select s.mode, s.span_id, s.classification, p.att_outcome as outcome from spans s
-       join spans p on s.run_id = p.run_id and s.mode = p.mode and s.parent_span_id = p.span_id where s.family > 1""",
+    """with up as (select *, max(case when family = 0 then start_ns end) over r as run_start, max(case when family = 0 then end_ns end) over r as run_finish,
+            max(case when family = 1 then start_ns end) over a as att_start, max(case when family = 1 then end_ns end) over a as att_finish,
+            max(case when family = 1 then att_outcome end) over a as outcome from spans
+          window r as (partition by run_id, mode), a as (partition by run_id, mode, attempt_id)),
+        p as (select *, case family when 0 then null when 1 then run_start else att_start end as p_start, case family when 0 then null when 1 then run_finish else att_finish end as p_end from up) select mode, span_id, classification, outcome from p where family > 1 and outcome is not null""",
     on="spans",
 )
 def _(s, d):
@@ -323,12 +328,16 @@ def _(s, d):
 
 @query(
     "j17_child_inside_parent",
-    """select s.mode, s.span_id, coalesce(p.span_id is not null and (s.start_ns + case when s.k % 4 = 1 and s.family = 1 then -1000000000 else 0 end < p.start_ns or s.end_ns > p.end_ns), false) as escapes
-       from spans s left join spans p on s.run_id = p.run_id and s.mode = p.mode and s.parent_span_id = p.span_id where s.family <= 1""",
+    """with up as (select *, max(case when family = 0 then start_ns end) over r as run_start, max(case when family = 0 then end_ns end) over r as run_finish,
+            max(case when family = 1 then start_ns end) over a as att_start, max(case when family = 1 then end_ns end) over a as att_finish,
+            max(case when family = 1 then att_outcome end) over a as outcome from spans
+          window r as (partition by run_id, mode), a as (partition by run_id, mode, attempt_id)),
+        p as (select *, case family when 0 then null when 1 then run_start else att_start end as p_start, case family when 0 then null when 1 then run_finish else att_finish end as p_end from up) select mode, span_id, coalesce(start_ns + case when k % 4 = 1 and family = 1 then -1000000000 else 0 end
+            < p_start + case when family > 1 and k % 4 = 1 then -1000000000 else 0 end or end_ns > p_end, false) as escapes from p""",
     on="spans",
 )
 def _(s, d):
-    moved = cut(I.spans(s, d)).where("family <= 1")
+    moved = cut(I.spans(s, d))
     early = (I.order_key() % 4 == 1) & (F.col("family") == 1)
     moved = moved.withColumn("start_time_ns", F.when(early, F.col("start_time_ns") - 1_000_000_000).otherwise(F.col("start_time_ns")))
     return trees.with_parent(moved).select("mode", "span_id", F.coalesce(trees.escapes_parent(), F.lit(False)).alias("escapes"))
@@ -519,11 +528,16 @@ def _(s, d):
 
 @query(
     "a16_quantiles",
-    """select event_type, round(quantile_cont(value, 0), 6) as q0, round(quantile_cont(value, 0.25), 6) as q1, round(quantile_cont(value, 0.5), 6) as q2,
-       round(quantile_cont(value, 0.95), 6) as q3, round(quantile_cont(value, 1), 6) as q4 from events group by 1""",
+    """with v as (select event_type, case when event_id % 7 = 0 then null when event_id = 11 then 1e12 else value end as value from events
+         union all select 'constant', 2.5 from events)
+       select event_type, round(quantile_cont(value, 0), 6) as q0, round(quantile_cont(value, 0.25), 6) as q1, round(quantile_cont(value, 0.5), 6) as q2,
+       round(quantile_cont(value, 0.95), 6) as q3, round(quantile_cont(value, 1), 6) as q4 from v group by 1""",
 )
 def _(s, d):
-    q = stats.exact_quantiles(I.events_table(s, d).select("event_type", "value"), "event_type", "value", (-1, 0.25, 0.5, 0.95, 2))
+    events = I.events_table(s, d)
+    odd = F.when(F.col("event_id") % 7 == 0, None).when(F.col("event_id") == 11, 1e12).otherwise(F.col("value"))
+    rows = events.select("event_type", odd.alias("value")).unionByName(events.select(F.lit("constant").alias("event_type"), F.lit(2.5).alias("value")))
+    q = stats.exact_quantiles(rows, "event_type", "value", (-1, 0.25, 0.5, 0.95, 2))
     return q.select("event_type", *[F.round(f"q{i}", 6).alias(f"q{i}") for i in range(5)])
 
 
@@ -536,11 +550,26 @@ def _(s, d):
     return stats.rates(observations(s, d)).withColumn("rate", F.round("rate", 9))
 
 
-@query("a18_rate_intervals")
+# Draws differ from engine to engine, so the bounds are held against the normal interval.
+@query(
+    "a18_rate_intervals",
+    f"""with {OBSERVATIONS_SQL}, seen as (select group_key, value from observations union all select 'constant', 1.0 from observations)
+        select group_key, cast(sum(value) as bigint) as numerator, count(*) as denominator, round(avg(value), 9) as rate,
+          min(value) = max(value) as degenerate, true as ordered, true as near_normal from seen group by 1""",
+    on="spans",
+)
 def _(s, d):
     constant = F.lit("constant").alias("group_key")
     seen = observations(s, d)
-    return stats.rate_intervals(seen.unionByName(seen.select(constant, F.lit(1.0).alias("value"))))
+    got = stats.rate_intervals(seen.unionByName(seen.select(constant, F.lit(1.0).alias("value"))))
+    half = 1.959963984540054 * F.sqrt(F.col("rate") * (1 - F.col("rate")) / F.col("denominator"))
+    slack = 0.1 * half + 3 / F.col("denominator")
+    near = lambda bound, at: F.abs(F.col(bound) - at) <= slack
+    return got.select(
+        "group_key", "numerator", "denominator", F.round("rate", 9).alias("rate"), "degenerate",
+        ((F.col("low") <= F.col("rate")) & (F.col("rate") <= F.col("high"))).alias("ordered"),
+        (near("low", F.col("rate") - half) & near("high", F.col("rate") + half)).alias("near_normal"),
+    )
 
 
 @query(
@@ -639,10 +668,9 @@ def _prior(s, d):
 
 @query(
     "w03_open_attempt_before",
-    """with s as (select run_id, seq, max(case when type in ('attempt_started', 'attempt_abandoned', 'attempt_failed', 'activation_finished') then seq end)
-            over (partition by run_id order by seq rows between unbounded preceding and 1 preceding) as at from facts)
-       select s.run_id, s.seq, case when b.type = 'attempt_started' then b.attempt_id else 'none' end as open_attempt
-       from s left join facts b on b.run_id = s.run_id and b.seq = s."at" """,
+    """with s as (select run_id, seq, last_value(case when type = 'attempt_started' then attempt_id when type in ('attempt_abandoned', 'attempt_failed', 'activation_finished') then '' end ignore nulls)
+              over (partition by run_id order by seq rows between unbounded preceding and 1 preceding) as open_id from facts)
+       select run_id, seq, coalesce(nullif(open_id, ''), 'none') as open_attempt from s""",
     on="journal",
 )
 def _(s, d):
@@ -651,17 +679,13 @@ def _(s, d):
 
 @query(
     "w04_state_before",
-    """with s as (select run_id, seq, k,
-         max(case when type in ('attempt_failed', 'approval_denied', 'awaiting_approval', 'approval_granted', 'run_finished') then seq end) over w as st,
-         max(case when type in ('approval_granted', 'activation_finished', 'awaiting_approval') then seq end) over w as gr,
-         max(case when type in ('run_started', 'activation_finished') then seq end) over w as mv
-       from facts window w as (partition by run_id order by seq rows between unbounded preceding and 1 preceding))
-       select s.run_id, s.seq, coalesce(case a.type when 'attempt_failed' then 'failed' when 'approval_denied' then 'failed' when 'run_finished' then 'finished'
-           when 'approval_granted' then 'running' else a.type end, 'running') as status,
-         coalesce(g.type = 'approval_granted', false) as granted,
-         coalesce(case m.type when 'run_started' then 'settle' else m.next_node end, 'none') as node,
-         case when m.type is null then 'none' when m.type = 'run_started' then m.activation_id else coalesce('act-' || m.k || '-' || m.next_act, '') end as activation
-       from s left join facts a on a.run_id = s.run_id and a.seq = s.st left join facts g on g.run_id = s.run_id and g.seq = s.gr left join facts m on m.run_id = s.run_id and m.seq = s.mv""",
+    """select run_id, seq,
+         coalesce(last_value(case when type in ('attempt_failed', 'approval_denied') then 'failed' when type = 'run_finished' then 'finished'
+           when type = 'approval_granted' then 'running' when type = 'awaiting_approval' then type end ignore nulls) over w, 'running') as status,
+         coalesce(last_value(case when type in ('approval_granted', 'activation_finished', 'awaiting_approval') then type = 'approval_granted' end ignore nulls) over w, false) as granted,
+         coalesce(last_value(case when type = 'run_started' then 'settle' when type = 'activation_finished' then coalesce(next_node, 'none') end ignore nulls) over w, 'none') as node,
+         coalesce(last_value(case when type = 'run_started' then activation_id when type = 'activation_finished' then coalesce('act-' || k || '-' || next_act, '') end ignore nulls) over w, 'none') as activation
+       from facts window w as (partition by run_id order by seq rows between unbounded preceding and 1 preceding)""",
     on="journal",
 )
 def _(s, d):

@@ -16,12 +16,20 @@ from chronofold.plans.scans import FOLD_SQL, PUBLIC_SQL
 
 @query(
     "x01_canonical_json",
-    """select event_id, '{"a":' || event_id || ',"k":' || json_extract_string(props, '$.k') || ',"z":{"b":[1,null],"c":"' || event_type || '"}}' as canonical from events""",
+    """select event_id, case when event_id % 11 = 0 then null else '{"a":' || event_id || ',"k":' || json_extract_string(props, '$.k') ||
+         case when event_id % 3 = 0 then ',"n":[' || event_id || '.0,1e+16,1e-07,0.5,' || event_id || '123456789012345678901234567890123456789012,"ü/\\n"]' else '' end ||
+         ',"z":{"b":[1,null],"c":"' || event_type || '"}}' end as canonical from events""",
 )
 def _(s, d):
+    number = F.col("event_id").cast("string")
+    odd = F.concat(
+        F.lit(',"n" : ['), number, F.lit(".0, 1e16, 1E-7, 0.50, "), number,
+        F.lit('123456789012345678901234567890123456789012, "\\u00fc\\/\\n"]'),
+    )
     text = F.concat(
-        F.lit('{ "z" : {"c":"'), "event_type", F.lit('", "b":[1, null]}, "k": '), F.get_json_object("props", "$.k"),
-        F.lit(', "a":'), F.col("event_id").cast("string"), F.lit("}"),
+        F.lit('{ "z" : {"c":"'), "event_type", F.lit('", "b":[1, null]}'), F.when(F.col("event_id") % 3 == 0, odd).otherwise(F.lit("")),
+        F.lit(', "k": '), F.get_json_object("props", "$.k"), F.lit(', "a":'), number,
+        F.when(F.col("event_id") % 11 == 0, F.lit("")).otherwise(F.lit("}")),
     )
     return I.events_table(s, d).select("event_id", X.canonical_json(text).alias("canonical"))
 
@@ -75,14 +83,18 @@ def _(s, d):
 @query(
     "x07_hex_rendering",
     """select seq, lpad(to_hex(at_ns), 16, '0') as span_hex_upper, lower(lpad(to_hex(at_ns), 16, '0')) as span_hex,
-         lower(lpad(to_hex(cast(seq as hugeint) * 1000000007 * 1000000009 * 1000000021), 32, '0')) as trace_hex from facts""",
+         lower(lpad(to_hex(cast(seq as hugeint) * 1000000007 * 1000000009 * 1000000021), 32, '0')) as trace_hex,
+         'ffffffffffffffff' || lower(to_hex(18446744073709551615::ubigint - cast(seq as ubigint))) as high_trace_hex from facts""",
     on="journal",
 )
 def _(s, d):
     big = F.col("seq").cast("decimal(10,0)") * F.lit(1000000007).cast("decimal(10,0)")
     big = (big.cast("decimal(20,0)") * F.lit("1000000030000000189").cast("decimal(19,0)")).cast("decimal(38,0)")
+    # 2**128 - 1 - seq, an id of 39 digits.
+    low = F.lit("63374607431768211455").cast("decimal(20,0)") - F.col("seq").cast("decimal(20,0)")
+    high = F.concat(F.lit("3402823669209384634"), F.lpad(low.cast("decimal(20,0)").cast("string"), 20, "0"))
     span = X.span_hex(F.col("at_ns"))
-    return I.journal(s, d).select("seq", F.upper(span).alias("span_hex_upper"), span.alias("span_hex"), X.trace_hex(big).alias("trace_hex"))
+    return I.journal(s, d).select("seq", F.upper(span).alias("span_hex_upper"), span.alias("span_hex"), X.trace_hex(big).alias("trace_hex"), X.trace_hex(high).alias("high_trace_hex"))
 
 
 @query("x08_effect_key", "select seq, effect_key from facts where act is not null", on="journal")

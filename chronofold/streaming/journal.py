@@ -118,12 +118,13 @@ def live_spans(
     *,
     naming: SpanNaming = DEFAULT_NAMING,
     watermark: str = WATERMARK,
-    longest: str = "1 day",
+    longest: str | None = None,
 ) -> DataFrame:
     """Each span once, as soon as its last fact is in.
 
-    Effect spans need one event. An attempt or run span joins its start with its end
-    within ``longest``. Ids are derived, so a replayed batch writes the same spans.
+    Effect spans need one event. An attempt or run span joins its start with its end, kept
+    until that comes; ``longest`` bounds the wait, and the state, at the price of spans
+    that last longer. Ids are derived, so a replayed batch writes the same spans.
     """
     rows = with_event_time(decode(events), watermark, "time_ns")
     kind, seq = F.col("type"), F.col("seq").cast("string")
@@ -149,7 +150,9 @@ def live_spans(
         closed = rows.where(ends).select(
             *[F.col(k).alias(f"end_{k}") for k in key], F.col("time_ns").alias("finish_ns"), F.col("event_time").alias("finish_time")
         )
-        on = F.expr(f"finish_time >= begin_time and finish_time <= begin_time + interval {longest}")
+        on = F.expr("finish_time >= begin_time")
+        if longest is not None:
+            on = on & F.expr(f"finish_time <= begin_time + interval {longest}")
         for k in key:
             on = on & (F.col(k) == F.col(f"end_{k}"))
         return opened.join(closed, on)

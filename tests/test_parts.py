@@ -2,7 +2,6 @@
 
 import json
 import random
-import sqlite3
 from statistics import fmean
 
 import pytest
@@ -17,7 +16,6 @@ from chronofold.operators import artifacts, documents, effects, exports, readbac
 from chronofold.plans import inputs as I
 from chronofold.schemas import JOURNAL
 from chronofold.sources import journal as J
-from chronofold.sources import sqlite_journal
 
 
 @pytest.fixture(scope="module")
@@ -89,6 +87,18 @@ def test_digest_does_not_depend_on_the_large_group_path(spark, sf):
     assert one == two and len(one) == 1500
 
 
+def test_digest_of_a_run_does_not_depend_on_other_runs(spark):
+    def events(run, n):
+        return [(run, i, "t", None, None, None, "{}", i) for i in range(n)]
+
+    schema = "run_id string, seq bigint, type string, node string, activation_id string, attempt_id string, payload string, at_ns bigint"
+    for width in (4, 1 << 20):
+        alone = exports.journal_digests(spark.createDataFrame(events("small", 5), schema), width=width, part_rows=2)
+        both = exports.journal_digests(spark.createDataFrame(events("small", 5) + events("long", 41), schema), width=width, part_rows=2)
+        got = {r.run_id: r.journal_sha256 for r in both.collect()}
+        assert both.count() == 2 and got["small"] == alone.first().journal_sha256
+
+
 def tree(spark, edges):
     rows = [("r", "aware", s, p, 0, 10) for s, p in edges]
     return spark.createDataFrame(rows, "run_id string, mode string, span_id string, parent_span_id string, start_time_ns bigint, end_time_ns bigint")
@@ -109,24 +119,6 @@ def test_roots_and_depths(spark, width):
     assert (depth["x"], depth["y"], depth["z"], depth["l"], depth["m"], depth["f0"]) == (2, 2, 2, 1, 2, 4)
 
 
-def test_sqlite_journal(spark, tmp_path, sf):
-    rows = [tuple(r) for r in I.journal(spark, sf).orderBy("seq").limit(500).collect()]
-    path = str(tmp_path / "j.sqlite")
-    db = sqlite3.connect(path)
-    db.execute("create table events (seq integer primary key, run_id text, type text, node text, activation_id text, attempt_id text, payload text, at real, at_ns integer)")
-    db.executemany("insert into events values (?,?,?,?,?,?,?,?,?)", rows)
-    db.commit()
-    sqlite_journal.register(spark)
-    read = spark.read.format("sqlite_journal").option("partitions", "3").load(path)
-    assert read.rdd.getNumPartitions() == 3
-    assert [tuple(r) for r in read.orderBy("seq").collect()] == rows
-    db.execute("alter table events drop column at_ns")
-    db.commit()
-    db.close()
-    with pytest.raises(Exception, match="missing columns: at_ns"):
-        spark.read.format("sqlite_journal").load(path).count()
-
-
 def test_schema_gate(spark, sf):
     with pytest.raises(J.JournalSchemaError, match="activation_id, at_ns"):
         J.require_columns(I.journal(spark, sf).drop("activation_id", "at_ns"))
