@@ -16,7 +16,7 @@ from chronofold.operators.decode import event_time
 from chronofold.operators.projection import attributes_json
 from chronofold.operators.redaction import MASK, SENSITIVE_FIELDS, public_payload
 from chronofold.operators.registered import EVENT_COUNTS, EffectContract, check_registered
-from chronofold.operators.trees import check_trees, compare_arms
+from chronofold.operators.trees import check_trees, compare_arms, reached_from_root
 
 # Fixed format: keys of the evidence document.
 _EVENT = (
@@ -322,16 +322,9 @@ def _arm_issues(mode: str, naming: SpanNaming) -> tuple[list[Column], list[Colum
         & (spec["filter"]["expression"] == F.concat(F.lit("trace_id = '"), arm["traceId"], F.lit("'")))
         & (spec["limit"] == F.greatest(F.lit(100), n * 4))
     )
-    reached = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        F.transform(F.slice(roots, 1, 1), lambda s: s["span_id"]),
-        lambda acc, _: F.array_union(
-            acc,
-            F.transform(
-                F.filter(spans, lambda s: F.array_contains(acc, s["parent_span_id"])), lambda s: s["span_id"]
-            ),
-        ),
-    )
+    # Only arms within the span limit are walked; beyond it that rule is broken already.
+    rounds = F.when(n.between(1, MAX_SPANS), F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    reached = F.when(n > MAX_SPANS, ids).otherwise(reached_from_root(spans, rounds))
     service = naming.service_name(mode)
     p = f"{mode}.spans"
     single = [

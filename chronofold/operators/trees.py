@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofold.functions.joins import skew_join
@@ -57,96 +57,54 @@ def _inner_nodes(spans: DataFrame) -> DataFrame:
     return nodes.join(used, [*TREE, "span_id"], "left_semi")
 
 
-def _roots_of_inner(spans: DataFrame, width: int) -> DataFrame:
-    """The root each inner node hangs from; null when it hangs from none.
+def with_depth(spans: DataFrame, width: int = GROUP_ROWS) -> DataFrame:
+    """Number of distinct ancestors, at most 8; cycles and missing parents end the walk.
 
-    Pointers double every round, so a chain of n nodes takes log2(n) rounds. A round that
-    settles nothing has only cycles left. Each round ends in a written table.
+    The spans that are somebody's parent are written once; a fixed number of joins among
+    them goes up one ancestor each.
     """
-    key = [*TREE, "pointer"]
-    table = cut(
-        _inner_nodes(spans).select(
-            *TREE,
-            "span_id",
-            F.col("parent_span_id").alias("pointer"),
-            F.when(F.col("parent_span_id").isNull(), F.col("span_id")).alias("root"),
-        )
-    )
-    open_before = table.where("pointer is not null").count()
-    while open_before:
-        target = table.select(
-            *TREE,
-            F.col("span_id").alias("pointer"),
-            F.col("pointer").alias("onward"),
-            F.col("root").alias("found"),
-        )
-        waiting = table.where("pointer is not null")
-        moved = skew_join(waiting, target, key, hot=hot_groups(waiting, key, width)).select(
-            *TREE, "span_id", F.col("onward").alias("pointer"), F.col("found").alias("root")
-        )
-        table = cut(table.where("pointer is null").unionByName(moved))
-        open_now = table.where("pointer is not null").count()
-        if open_now == open_before:
-            break
-        open_before = open_now
-    return table.select(*TREE, "span_id", "root")
-
-
-def with_root(spans: DataFrame, width: int = GROUP_ROWS) -> DataFrame:
-    """Each span with ``root``: the parentless span it is connected to, or null."""
-    above = _roots_of_inner(spans, width).select(
-        *TREE, F.col("span_id").alias("parent_span_id"), F.col("root").alias("_above")
-    )
-    joined = _by_parent(spans, above, width)
-    root = F.when(F.col("parent_span_id").isNull(), F.col("span_id")).otherwise(F.col("_above"))
-    return joined.withColumn("root", root).drop("_above")
-
-
-def with_depth(spans: DataFrame, width: int = GROUP_ROWS) -> DataFrame:
-    """Number of distinct ancestors, at most 8; cycles and missing parents end the walk."""
-    key = [*TREE, "tip"]
-    paths = _inner_nodes(spans).select(
-        *TREE,
-        "span_id",
-        F.when(F.col("parent_span_id").isNotNull(), F.array("parent_span_id"))
-        .otherwise(F.array().cast("array<string>"))
-        .alias("path"),
-    )
-    for _ in range(3):  # paths of 1, 2, 4, 8 ancestors
-        paths = cut(paths)
-        longer = paths.select(*TREE, F.col("span_id").alias("tip"), F.col("path").alias("more"))
-        tipped = paths.withColumn("tip", F.try_element_at("path", F.lit(-1)))
-        hot = hot_groups(tipped.where("tip is not null"), key, width)
-        joined = skew_join(tipped, longer, key, hot=hot)
-        paths = joined.select(
-            *TREE,
-            "span_id",
-            F.concat("path", F.coalesce("more", F.array().cast("array<string>"))).alias("path"),
+    inner = cut(_inner_nodes(spans))
+    up = inner.select(*TREE, F.col("span_id").alias("tip"), F.col("parent_span_id").alias("onward"))
+    none = F.array().cast("array<string>")
+    one = lambda c: F.when(F.col(c).isNotNull(), F.array(c)).otherwise(none)
+    walk = inner.select(*TREE, "span_id", one("parent_span_id").alias("path"), F.col("parent_span_id").alias("tip"))
+    for _ in range(MAX_DEPTH - 2):
+        walk = walk.join(up, [*TREE, "tip"], "left").select(
+            *TREE, "span_id", F.concat("path", one("onward")).alias("path"), F.col("onward").alias("tip")
         )
-    above = paths.select(*TREE, F.col("span_id").alias("parent_span_id"), F.col("path").alias("_path"))
+    above = walk.select(*TREE, F.col("span_id").alias("parent_span_id"), F.col("path").alias("_path"))
     joined = _by_parent(spans, above, width)
-    walk = F.concat(F.array("parent_span_id"), F.coalesce("_path", F.array().cast("array<string>")))
+    chain = F.concat(F.array("parent_span_id"), F.coalesce("_path", none))
     depth = F.when(F.col("parent_span_id").isNull(), 0).otherwise(
-        F.least(F.lit(MAX_DEPTH), F.size(F.array_distinct(F.slice(walk, 1, MAX_DEPTH))))
+        F.least(F.lit(MAX_DEPTH), F.size(F.array_distinct(F.slice(chain, 1, MAX_DEPTH))))
     )
     return joined.withColumn("depth", depth).drop("_path")
 
 
+def reached_from_root(spans: Column, rounds: Column) -> Column:
+    """Ids of the spans that hang from the first parentless one, in a short array of spans."""
+    roots = F.filter(spans, lambda s: s["parent_span_id"].isNull())
+    return F.aggregate(
+        rounds,
+        F.transform(F.slice(roots, 1, 1), lambda s: s["span_id"]),
+        lambda known, _: F.array_union(
+            known,
+            F.transform(F.filter(spans, lambda s: F.array_contains(known, s["parent_span_id"])), lambda s: s["span_id"]),
+        ),
+    )
+
+
 def check_trees(
-    spans: DataFrame,
-    *,
-    workflow: str,
-    node: str,
-    n_spans: int = 5,
-    naming: SpanNaming = DEFAULT_NAMING,
-    width: int = GROUP_ROWS,
+    spans: DataFrame, *, workflow: str, node: str, n_spans: int = 5, naming: SpanNaming = DEFAULT_NAMING
 ) -> DataFrame:
-    """Measures and the first broken tree rule of every (run, mode), null when sound."""
+    """Number of spans and the first broken tree rule of every (run, mode), null when sound.
+
+    The first rule fixes the number of spans, so all others are tested on arrays of that
+    length. Rows beyond it are dropped before the exchange; a count tells how many there are.
+    """
     a = naming.attribute
-    joined = with_root(with_parent(spans, width=width), width)
     op = F.col("attributes.operation_name")
     plain = (F.col("kind") == "INTERNAL") & (F.size("links") == 0) & (F.col("classification") == "structural")
-    is_root = F.col("parent_span_id").isNull()
     root_ok = (
         plain
         & (F.col("identity") == "run")
@@ -154,48 +112,54 @@ def check_trees(
         & (op == "run")
         & F.col("attributes.workflow_version").eqNullSafe(F.lit(workflow))
     )
-    activation = op == "activation"
     activation_ok = (
-        plain
-        & (F.col("name") == f"{a}.activation {node}")
-        & F.col("attributes.node").eqNullSafe(F.lit(node))
-        & F.coalesce(F.col("parent_span_id") == F.col("root"), F.lit(False))
+        plain & (F.col("name") == f"{a}.activation {node}") & F.col("attributes.node").eqNullSafe(F.lit(node))
     )
-    outcome = F.col("attributes.attempt_outcome")
-    recovery = F.col("attributes.attempt_recovery")
-    per_tree = joined.groupBy(*TREE).agg(
-        F.count("*").alias("spans"),
-        F.count_distinct("span_id").alias("span_ids"),
-        F.count_if(is_root).alias("roots"),
-        F.count_if(~is_root & ~F.col("parent_found")).alias("missing_parents"),
-        (F.max("trace_id") != F.min("trace_id")).alias("trace_changed"),
-        F.count_if(
-            (F.col("end_time_ns") < F.col("start_time_ns"))
-            | ~F.col("duration_ns").eqNullSafe(F.col("end_time_ns") - F.col("start_time_ns"))
-        ).alias("bad_intervals"),
-        F.count_if(escapes_parent()).alias("escaped"),
-        F.count_if(F.col("root").isNull()).alias("disconnected"),
-        F.count_if(is_root & ~root_ok).alias("bad_roots"),
-        F.count_if(activation).alias("activations"),
-        F.count_if(activation & ~activation_ok).alias("bad_activations"),
-        F.count_if(activation & (outcome == "abandoned") & ~recovery).alias("first_tries"),
-        F.count_if(activation & (outcome == "completed") & recovery).alias("recoveries"),
+    activation = op == "activation"
+    outcome, recovery = F.col("attributes.attempt_outcome"), F.col("attributes.attempt_recovery")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    no_interval = (F.col("end_time_ns") < F.col("start_time_ns")) | ~F.col("duration_ns").eqNullSafe(
+        F.col("end_time_ns") - F.col("start_time_ns")
+    )
+    facts = F.struct(
+        "span_id", "parent_span_id", "trace_id", "start_time_ns", "end_time_ns",
+        yes(no_interval).alias("bad_interval"), yes(root_ok).alias("root_ok"), yes(activation).alias("activation"),
+        yes(activation_ok).alias("activation_ok"), yes(activation & (outcome == "abandoned") & ~recovery).alias("first_try"),
+        yes(activation & (outcome == "completed") & recovery).alias("recovered"),
+    )
+    rank = F.row_number().over(Window.partitionBy(*TREE).orderBy("span_id"))
+    few = spans.select(*TREE, "span_id", facts.alias("s")).withColumn("_rank", rank).where(F.col("_rank") <= n_spans)
+    packed = few.groupBy(*TREE).agg(F.collect_list("s").alias("s"))
+    counted = spans.groupBy(*TREE).agg(F.count("*").alias("spans"))
+    s = F.col("s")
+    ids, roots = F.transform(s, lambda x: x["span_id"]), F.filter(s, lambda x: x["parent_span_id"].isNull())
+    number = lambda test: F.size(F.filter(s, test))
+    known = lambda x: F.array_contains(ids, x["parent_span_id"])
+    outside = lambda x: F.exists(
+        s,
+        lambda p: (p["span_id"] == x["parent_span_id"])
+        & ((x["start_time_ns"] < p["start_time_ns"]) | (x["end_time_ns"] > p["end_time_ns"])),
     )
+    rounds = F.sequence(F.lit(1), F.lit(n_spans))
+    top = F.get(roots, F.lit(0))["span_id"]
     broken = (
         F.when(F.col("spans") != n_spans, "span_count")
-        .when(F.col("span_ids") != F.col("spans"), "duplicate_span_id")
-        .when(F.col("roots") != 1, "root_count")
-        .when(F.col("trace_changed"), "trace_id_changed")
-        .when(F.col("missing_parents") > 0, "missing_parent")
-        .when(F.col("bad_intervals") > 0, "bad_interval")
-        .when(F.col("escaped") > 0, "escapes_parent")
-        .when(F.col("disconnected") > 0, "not_connected")
-        .when(F.col("bad_roots") > 0, "root_contract")
-        .when(F.col("activations") != 2, "activation_count")
-        .when(F.col("bad_activations") > 0, "activation_contract")
-        .when((F.col("first_tries") != 1) | (F.col("recoveries") != 1), "attempt_topology")
+        .when(F.size(F.array_distinct(ids)) != n_spans, "duplicate_span_id")
+        .when(F.size(roots) != 1, "root_count")
+        .when(F.size(F.array_distinct(F.transform(s, lambda x: x["trace_id"]))) != 1, "trace_id_changed")
+        .when(number(lambda x: x["parent_span_id"].isNotNull() & ~known(x)) > 0, "missing_parent")
+        .when(number(lambda x: x["bad_interval"]) > 0, "bad_interval")
+        .when(number(outside) > 0, "escapes_parent")
+        .when(F.size(reached_from_root(s, rounds)) != n_spans, "not_connected")
+        .when(number(lambda x: x["parent_span_id"].isNull() & ~x["root_ok"]) > 0, "root_contract")
+        .when(number(lambda x: x["activation"]) != 2, "activation_count")
+        .when(
+            number(lambda x: x["activation"] & ~(x["activation_ok"] & (x["parent_span_id"] == top))) > 0,
+            "activation_contract",
+        )
+        .when((number(lambda x: x["first_try"]) != 1) | (number(lambda x: x["recovered"]) != 1), "attempt_topology")
     )
-    return per_tree.withColumn("broken", broken)
+    return packed.join(counted, [*TREE]).select(*TREE, "spans", broken.alias("broken"))
 
 
 def effect_key() -> Column:
