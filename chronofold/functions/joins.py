@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.functions.running import HotGroups
+from chronofold.functions.running import HotGroups, null_safe_join
 
 BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 32 << 20
 SALTS = 64
 
 
@@ -20,14 +21,17 @@ def lookup_join(
     how: str = "left",
     limit: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Broadcast ``right`` when a bounded count proves it small, else salt the join.
+    """Broadcast ``right`` when its rows and their bytes prove small, else salt the join.
 
-    The count stops after ``limit + 1`` rows. The salted form keeps one hot key of the
+    The count stops after ``limit + 1`` rows; bytes are those of the rows as JSON, so wide
+    arrays and maps count. The salted form keeps one hot key of the
     left side from landing in one task: the left key is split in SALTS parts and the
     right side repeated once per part.
     """
     on = list(on)
-    if len(right.limit(limit + 1).select(F.lit(1)).take(limit + 1)) <= limit:
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("bigint"))
+    rows, width = right.limit(limit + 1).agg(F.count("*"), size).first()
+    if rows <= limit and (width or 0) <= BROADCAST_BYTES:
         return left.join(F.broadcast(right), on, how)
     hashed = [f.name for f in left.schema.fields if f.dataType.typeName() not in ("map", "variant")]
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(SALTS)))
@@ -60,8 +64,8 @@ def skew_join(
         return salted.join(right.withColumn("_salt", F.explode(every)), [*key, "_salt"], how).drop("_salt")
     flags = F.broadcast(hot.keys.withColumn("_hot", F.lit(True)))
     on = list(hot.key)
-    salted = left.join(flags, on, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(none))
-    copies = right.join(flags, on, "left").withColumn(
+    salted = null_safe_join(left, flags, on, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(none))
+    copies = null_safe_join(right, flags, on, "left").withColumn(
         "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(none)))
     )
     joined = salted.drop("_hot").join(copies.drop("_hot"), [*key, "_salt"], how)

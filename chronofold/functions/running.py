@@ -21,6 +21,15 @@ HOT_LIMIT = 50_000
 SEGMENT = "_segment"
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, key: Sequence[str], how: str) -> DataFrame:
+    """Join on ``key`` with null equal to null; the result holds the left side's key."""
+    named = right.withColumnsRenamed({k: f"_key_{k}" for k in key})
+    on = F.lit(True)
+    for k in key:
+        on = on & left[k].eqNullSafe(named[f"_key_{k}"])
+    return left.join(named, on, how).drop(*[f"_key_{k}" for k in key])
+
+
 @dataclass(frozen=True)
 class HotGroups:
     """Groups with more than ``width`` rows; ``keys`` is null when there are none.
@@ -42,7 +51,7 @@ class HotGroups:
         if not self.bounded:
             return df.withColumn(SEGMENT, cut)
         flags = self.keys.withColumn("_hot", F.lit(True))
-        marked = df.join(F.broadcast(flags), list(self.key), "left")
+        marked = null_safe_join(df, F.broadcast(flags), self.key, "left")
         return marked.withColumn(
             SEGMENT, F.when(F.col("_hot"), cut).otherwise(F.lit(0).cast("bigint"))
         ).drop("_hot")
@@ -51,7 +60,7 @@ class HotGroups:
         """The rows of large groups."""
         if not self.bounded:
             return df
-        return df.join(F.broadcast(self.keys), list(self.key), "left_semi")
+        return null_safe_join(df, F.broadcast(self.keys), self.key, "left_semi")
 
 
 def hot_groups(df: DataFrame, key: Sequence[str], width: int = GROUP_ROWS) -> HotGroups:
@@ -115,7 +124,7 @@ def running_values(
         *[F.sum(n).over(earlier).alias(f"_car_{n}") for n in total],
         *[F.max(n).over(earlier).alias(f"_car_{n}") for n in peak],
     )
-    merged = rows.join(carry, part, "left")
+    merged = null_safe_join(rows, carry, part, "left")
     value = {n: F.coalesce(f"_loc_{n}", f"_car_{n}") for n in last}
     value |= {
         n: F.coalesce(F.col(f"_loc_{n}"), F.lit(0)) + F.coalesce(F.col(f"_car_{n}"), F.lit(0))
@@ -134,14 +143,14 @@ def group_values(
         whole = Window.partitionBy(*key)
         return df.select("*", *[c.over(whole).alias(n) for n, c in aggs.items()])
     if not hot.bounded:
-        return df.join(df.groupBy(*key).agg(*[c.alias(n) for n, c in aggs.items()]), key, "left")
+        return null_safe_join(df, df.groupBy(*key).agg(*[c.alias(n) for n, c in aggs.items()]), key, "left")
     marked = hot.mark(df, order)
     whole = Window.partitionBy(*key, SEGMENT)
     rows = marked.select("*", *[c.over(whole).alias(f"_cold_{n}") for n, c in aggs.items()])
     large = hot.only(df).groupBy(*key).agg(
         *[c.alias(f"_hot_{n}") for n, c in aggs.items()], F.lit(True).alias("_is_hot")
     )
-    merged = rows.join(F.broadcast(large), key, "left")  # one row per counted hot group
+    merged = null_safe_join(rows, F.broadcast(large), key, "left")  # one row per counted hot group
     return merged.select(
         *df.columns,
         *[

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronofold.functions import scalar as X
-from chronofold.functions import stats
+from chronofold.functions import joins, stats
 from chronofold.functions.joins import lookup_join, skew_join
 from chronofold.functions.running import HotGroups, group_values, hot_groups, ordinal, running_values
 from chronofold.functions.storage import write_json
@@ -300,3 +300,24 @@ def test_ordinal_starts_at_zero(spark):
     rows = spark.createDataFrame([("a", 5), ("a", 9), ("b", 1)], "k string, o bigint")
     got = ordinal(rows, ["k"], "o", hot=hot_groups(rows, ["k"], 1)).collect()
     assert {(r.k, r.o): r.ordinal for r in got} == {("a", 5): 0, ("a", 9): 1, ("b", 1): 0}
+
+
+def test_null_keys_are_split_like_others(spark):
+    rows = [(None if i % 3 else "a", i, float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, at bigint, v double")
+    whole = hot_groups(df, ["g"])
+    split = hot_groups(df, ["g"], 4)
+    assert whole.keys is None and {r.g for r in split.keys.collect()} == {None, "a"}
+    assert split.only(df).count() == 40 and split.mark(df, "at").select("g", "_segment").distinct().count() > 10
+    run = lambda hot: sorted(running_values(df, ["g"], "at", hot=hot, last={"b": F.col("v")}, total={"t": F.col("v")}).collect(), key=lambda r: r["at"])
+    assert run(whole) == run(split)
+
+
+def test_wide_lookup_tables_are_not_broadcast(spark, monkeypatch):
+    left = spark.range(50).withColumn("k", F.col("id") % 5)
+    right = spark.range(5).select(F.col("id").alias("k"), F.array_repeat(F.lit("x" * 50), 20).alias("many"))
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 1_000)
+    wide = joins.lookup_join(left, right, ["k"])
+    assert "ResolvedHint" not in wide._jdf.queryExecution().logical().toString()
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 1 << 20)
+    assert joins.lookup_join(left, right, ["k"]).orderBy("id").collect() == wide.orderBy("id").select("k", "id", "many").collect()
