@@ -121,7 +121,27 @@ def _(s, d):
     return exact_search.exact_top_k(table(s, d, "embeddings"))
 
 
-@query("op8_minhash_near_dedup")
+@query(
+    "op8_minhash_near_dedup",
+    """
+    with recursive w as (
+      select doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+    sets as (
+      select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+        else list_distinct(list_transform(list_zip(w[:-3], w[2:-2], w[3:]), lambda t: t[1] || ' ' || t[2] || ' ' || t[3])) end as s from w),
+    every as materialized (select doc_id, len(s) as n, unnest(s) as item from sets),
+    items as (select * from every where item in (select item from every group by item having count(*) > 1)),
+    common as (
+      select a.doc_id as a, b.doc_id as b, any_value(a.n) as an, any_value(b.n) as bn, count(*) as c
+      from items a join items b on a.item = b.item and a.doc_id <> b.doc_id group by 1, 2),
+    links as (select a, b from common where 100 * c >= 85 * (an + bn - c)),
+    reach(doc_id, other) as (
+      select doc_id, doc_id from sets union select r.doc_id, l.b from reach r join links l on l.a = r.other),
+    least as (select doc_id, min(other) as component_id from reach group by 1)
+    select doc_id, cast(len(s) as bigint) as n_shingles, component_id, doc_id = component_id as kept from sets join least using (doc_id)
+    """,
+)
 def _(s, d):
     return near_dedup.near_duplicates(table(s, d, "documents"), k=3, threshold=Fraction(85, 100))
 
