@@ -29,25 +29,31 @@ UNUSUAL_JSON = r"[0-9][.eE][0-9+-]|[0-9]{18}|\\|NaN|Infinity"
 
 
 @F.pandas_udf(StringType())
-def _canonical_text(texts: pd.Series) -> pd.Series:
-    def one(text: str | None) -> str | None:
+def _canonical_text(texts: pd.Series, fields: pd.Series) -> pd.Series:
+    def one(text: str | None, field: str) -> str | None:
         try:
-            return json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
-        except (TypeError, ValueError, RecursionError):
+            value = json.loads(text)
+            if field:
+                value = value[field]
+            return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+        except (TypeError, ValueError, KeyError, RecursionError):
             return None
 
-    return texts.map(one)
+    return pd.Series([one(t, f) for t, f in zip(texts, fields, strict=True)], dtype=object)
 
 
-def canonical_json(text: Column) -> Column:
-    """Compact JSON with sorted keys; null when the text is no JSON value.
+def canonical_json(text: Column, field: str = "") -> Column:
+    """Compact JSON with sorted keys, of the value or of one field of it; else null.
 
     Numbers keep their kind: ``1.0`` stays, long integers stay whole, exponents are
     written in one way. Texts that hold such a number, an escape or something the parser
     of variants does not take go through a small helper; all others stay in built-ins.
     """
-    usual = F.when(~text.rlike(UNUSUAL_JSON), F.to_json(strict_json(text)))
-    return F.coalesce(usual, _canonical_text(F.when(usual.isNull(), text)))
+    value = strict_json(text)
+    if field:
+        value = F.variant_get(value, f"$.{field}", "variant")
+    usual = F.when(~text.rlike(UNUSUAL_JSON), F.to_json(value))
+    return F.coalesce(usual, _canonical_text(F.when(usual.isNull(), text), F.lit(field)))
 
 
 def fingerprint(text: Column) -> Column:

@@ -219,6 +219,12 @@ def audit_receipts(receipts: DataFrame, inputs: DataFrame, evidence: DataFrame)
     return known_lineages.select("lineage_id", failure.alias("failure"), failure.isNull().alias("ready"))
 
 
+def written_references(spark: SparkSession, path: str) -> DataFrame:
+    """References (path, sha256, bytes) of the files below ``path``, from what was written."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+
+
 def nested_references(documents: DataFrame) -> DataFrame:
     """Artifact references anywhere in JSON bodies: ``(id, location, path, sha256, bytes)``.
 

@@ -205,8 +205,9 @@ def _(s, d):
 
 @query(
     "k01_append_admission",
-    """select seq, case when k % 9 = 1 then 'unregistered_run' when k % 9 = 2 then 'empty_run_id' when k % 9 = 3 then 'unsupported_schema'
-         when k % 9 = 4 then 'bad_time' when k % 9 = 5 then 'payload_not_object' else 'accepted' end as reason from facts""",
+    """with j as (select seq, case when k % 9 = 1 then 'unregistered_run' when k % 9 = 2 then 'empty_run_id' when k % 9 = 3 then 'unsupported_schema'
+         when k % 9 = 4 then 'bad_time' when k % 9 = 5 then 'payload_not_object' else 'accepted' end as reason from facts)
+       select seq as request_seq, reason, case when reason = 'accepted' then 1000 + row_number() over (partition by reason order by seq) - 1 else -1 end as seq from j""",
     on="journal",
 )
 def _(s, d):
@@ -220,7 +221,10 @@ def _(s, d):
         }
     )
     known = I.runs(s, d).withColumn("schema_version", F.when(I.order_key() % 9 == 3, 1).otherwise(F.col("schema_version")))
-    return admission.admit_events(rows, known).select("seq", F.coalesce("reason", F.lit("accepted")).alias("reason"))
+    journal, aside = fresh_path(s, "journal"), fresh_path(s, "quarantine")
+    admission.append_events(rows.withColumn("request_seq", F.col("seq")), known, journal, aside, start=1_000, order=["request_seq"])
+    written = s.read.parquet(journal).select("request_seq", F.lit("accepted").alias("reason"), "seq")
+    return written.unionByName(s.read.parquet(aside).select("request_seq", "reason", F.lit(-1).cast("bigint").alias("seq")))
 
 
 @query(
@@ -326,14 +330,20 @@ def _(s, d):
 
 @query(
     "k06_reference_of_written_lines",
-    f"select span_id as path, sha256({SPAN_LINE_SQL}) as sha256, cast(strlen({SPAN_LINE_SQL}) as bigint) as bytes from spans",
+    f"select count(*) as lines, cast(sum(strlen({SPAN_LINE_SQL}) + 1) as bigint) as bytes, true as references_hold from spans",
     on="spans",
 )
 def _(s, d):
-    line = exports.span_document()
-    return I.spans(s, d).select(
-        F.col("span_id").alias("path"), F.sha2(line, 256).alias("sha256"), F.octet_length(line).cast("bigint").alias("bytes")
+    path = fresh_path(s, "referenced")
+    I.spans(s, d).select(exports.span_document().alias("value")).write.text(path)
+    files = artifacts.written_references(s, path)
+    inside = s.read.text(path).groupBy(F.col("_metadata.file_path").alias("path")).agg(
+        F.count("*").alias("lines"), F.sum(F.octet_length("value") + 1).alias("line_bytes")
     )
+    whole = s.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.sha2("value", 256).alias("content"))
+    both = files.join(inside, "path", "left").join(whole, "path", "left")
+    holds = (F.col("bytes") == F.coalesce("line_bytes", F.lit(0))) & ((F.col("sha256") == F.col("content")) | (F.col("bytes") == 0))
+    return both.agg(F.sum("lines").alias("lines"), F.sum("bytes").alias("bytes"), F.bool_and(holds).alias("references_hold"))
 
 
 @query("k08_replace_only_when_told", "select run_id, mode, span_id, 'replaced' as version from spans", on="spans")
