@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronofold import names as N
 from chronofold.functions import scalar as X
 from chronofold.functions.joins import lookup_join, skew_join
 from chronofold.functions.running import GROUP_ROWS, HotGroups, hot_groups, ordinal
@@ -70,9 +71,8 @@ def export_runs(events: DataFrame, states: DataFrame, nodes: DataFrame, **sizes:
     )
     packed = public_events(events, **sizes)
     hot = hot_groups(packed, ["run_id"])
-    joined = skew_join(packed, states.where("rule is null"), ["run_id"], hot=hot, how="inner").join(
-        completed_nodes(events, **sizes), ["run_id", "part"], "left"
-    )
+    joined = skew_join(packed, states.where("rule is null"), ["run_id"], hot=hot, how="inner")
+    finished = F.filter("events", lambda e: e["type"] == N.ACTIVATION_FINISHED)
     joined = lookup_join(joined, graph, ["workflow_version"])
     return joined.select(
         F.lit(2).alias("schemaVersion"),
@@ -81,7 +81,7 @@ def export_runs(events: DataFrame, states: DataFrame, nodes: DataFrame, **sizes:
         F.col("run_id").alias("runId"),
         "part",
         "status",
-        F.coalesce("completed", F.array().cast("array<string>")).alias("completed"),
+        F.transform(finished, lambda e: e["node"]).alias("completed"),  # of this part's events
         F.col("next_node").alias("nextNode"),
         "events",
     )

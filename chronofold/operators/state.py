@@ -72,17 +72,17 @@ def replay(events: DataFrame, requests: DataFrame, nodes: DataFrame, *, width: i
 
 
 def status_lines(events: DataFrame, states: DataFrame) -> DataFrame:
-    """Status word, finished nodes joined by arrows, next node and a short state."""
+    """One line per run: status word, finished nodes joined by arrows, next node, short state."""
     word = F.lit(None).cast("string")
     for status, shown in STATUS_WORD.items():
         word = F.when(F.col("status") == status, shown).otherwise(word)
-    done = completed_nodes(events)
+    arrows = F.array_sort(F.collect_list(F.struct("part", F.array_join("completed", " -> ").alias("text"))))
+    done = completed_nodes(events).groupBy("run_id").agg(F.array_join(arrows["text"], " -> ").alias("completed"))
     joined = states.where("rule is null").join(done, "run_id", "left").join(merged_state(events), "run_id", "left")
     return joined.select(
         "run_id",
-        F.coalesce("part", F.lit(0)).alias("part"),
         word.alias("word"),
-        F.coalesce(F.nullif(F.array_join("completed", " -> "), F.lit("")), F.lit("(none)")).alias("completed"),
+        F.coalesce(F.nullif("completed", F.lit("")), F.lit("(none)")).alias("completed"),
         "next_node",
         F.substring(F.coalesce("state", F.lit("{}")), 1, 300).alias("state"),
     )

@@ -641,6 +641,7 @@ def _(s, d):
 REFERENCES_SQL = """select 'e' || event_id as id, location, path, coalesce(sha, 'none') as sha256, coalesce(bytes, -1) as bytes, problem from (
   select event_id, '$.a' as location, 'p' || event_id as path, sha256(cast(event_id as varchar)) as sha, event_id as bytes, 'none' as problem from events
   union all select event_id, '$.list[1].deep', 'q' || event_id, sha256('q' || event_id), 3, 'none' from events where event_id % 3 = 0
+  union all select event_id, '$.deep' || repeat('[0]', 24), 'd' || event_id, sha256('d' || event_id), 5, 'none' from events where event_id % 40 = 7
   union all select event_id, '$.half', 'none', sha256('h' || event_id), -1, 'incomplete' from events where event_id % 3 = 1
   union all select event_id, '$.bad', 'b', 'xyz', 1, 'bad_hash' from events where event_id % 3 = 2)"""
 
@@ -653,7 +654,10 @@ def _references(s, d):
         .when(F.col("event_id") % 3 == 1, F.concat(F.lit('"half":{"sha256":"'), F.sha2(F.concat(F.lit("h"), e), 256), F.lit('"}')))
         .otherwise(F.concat(F.lit('"bad":'), ref(F.lit("b"), F.lit("xyz"), F.lit("1"))))
     )
-    body = F.concat(F.lit('{"a":'), ref(F.concat(F.lit("p"), e), F.sha2(e, 256), e), F.lit(',"n":{"m":[]},'), extra, F.lit("}"))
+    inner = ref(F.concat(F.lit("d"), e), F.sha2(F.concat(F.lit("d"), e), 256), F.lit("5"))
+    deep = F.concat(F.lit('"deep":' + "[" * 24), inner, F.lit("]" * 24 + ","))
+    deep = F.when(F.col("event_id") % 40 == 7, deep).otherwise(F.lit(""))
+    body = F.concat(F.lit('{"a":'), ref(F.concat(F.lit("p"), e), F.sha2(e, 256), e), F.lit(',"n":{"m":[]},'), deep, extra, F.lit("}"))
     docs = I.events_table(s, d).select(F.concat(F.lit("e"), e).alias("id"), body.alias("body"))
     refs = artifacts.nested_references(docs)
     return refs.select(

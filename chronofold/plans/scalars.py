@@ -431,7 +431,7 @@ def _(s, d):
 
 @query(
     "f07_status_line",
-    f"""with {FOLD_SQL}, {STATE_SQL} select e.run_id, cast(0 as bigint) as part,
+    f"""with {FOLD_SQL}, {STATE_SQL} select e.run_id,
           case e.status when 'finished' then 'done' when 'awaiting_approval' then 'HELD' else e.status end as word,
           case e.tkey when 6 then 'settle -> settle' when 0 then 'settle' when 1 then 'settle' when 2 then 'settle' when 5 then 'settle' when 7 then 'settle' else '(none)' end as completed,
           e.next_node, substring(m.state, 1, 300) as state from expected e join merged m on e.run_id = m.run_id where e.rule is null""",

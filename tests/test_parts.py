@@ -321,3 +321,13 @@ def test_wide_lookup_tables_are_not_broadcast(spark, monkeypatch):
     assert "ResolvedHint" not in wide._jdf.queryExecution().logical().toString()
     monkeypatch.setattr(joins, "BROADCAST_BYTES", 1 << 20)
     assert joins.lookup_join(left, right, ["k"]).orderBy("id").collect() == wide.orderBy("id").select("k", "id", "many").collect()
+
+
+def test_each_trace_has_its_own_row_limit(spark):
+    store = spark.range(1_500).select(
+        F.when(F.col("id") < 1_400, "A" * 32).otherwise("b" * 32).alias("trace_id"), F.hex("id").alias("span_id"),
+        F.lit(5).alias("ts_ms"), F.col("id").alias("ingest_seq"),
+    )
+    windows = spark.createDataFrame([("a" * 32, 0, 9, 1_200), ("b" * 32, 0, 9, 50)], "trace_id string, start_ms bigint, end_ms bigint, row_limit bigint")
+    got = readback.scan_traces(store, windows).groupBy("trace_id").agg(F.count("*").alias("n"), F.max("ingest_seq").alias("top"))
+    assert {r.trace_id[0]: (r.n, r.top) for r in got.collect()} == {"a": (1_200, 1_199), "b": (50, 1_449)}
