@@ -44,9 +44,12 @@ BOILERPLATE = frozenset(
     recommendations trending comment comments commentlist disqus respond replies reply discussion pagination pager toolbar
     copyright disclaimer skip""".split()
 )
-CONTENT = frozenset("content article main post entry story page wrapper container layout body text with has no".split())
+# Words before such a name that say whether a page has the part: no names of the part itself.
+ABOUT = frozenset("has with without no layout".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar status".split())
 
+OUTSIDE = ("", False, False, False)
+
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)",
     re.DOTALL,
@@ -56,8 +59,8 @@ PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
-def is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is no part of an article, from its tag, names and role."""
+def is_boilerplate(tag: str, attributes: str, in_article: bool, by_name: bool = True) -> bool:
+    """Whether an element is no part of an article, from its tag, role and, if asked, names."""
     if tag in ASIDE:
         return True
     if tag == "header":
@@ -72,22 +75,22 @@ def is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id"):
+        if by_name and name in ("class", "id"):
             for word in value.split():
                 parts = {p.lower() for p in PARTS.findall(word)}
                 if in_article:
                     parts -= {"header"}
-                if parts & BOILERPLATE and not parts & CONTENT:
+                if parts & BOILERPLATE and not parts & ABOUT:
                     return True
     return False
 
 
-def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
+def page_lines(page: str, by_name: bool = True) -> list[tuple[str, int, bool, bool]]:
     """(text, weight, in a marked article, boilerplate) of each block, white space made one space."""
     lines: list[tuple[str, int, bool, bool]] = []
     pieces: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool]] = []  # element, boilerplate, in an article
+    stack: list[tuple[str, bool, bool, bool]] = []  # element, boilerplate, in an article, left out of its line
     links = 0
 
     def end_line() -> None:
@@ -95,7 +98,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                _, aside, marked = stack[-1] if stack else ("", False, False)
+                _, aside, marked, _ = stack[-1] if stack else OUTSIDE
                 lines.append((text, 0 if aside else max(len(text) - linked, 0), marked, aside))
             pieces.clear()
         linked = 0
@@ -104,7 +107,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
     while at < end:
         m = TOKEN.search(page, at)
         upto = m.start() if m else end
-        if upto > at:
+        if upto > at and not (stack and stack[-1][3]):
             piece = html.unescape(page[at:upto])
             pieces.append(piece)
             if links:
@@ -122,7 +125,8 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
                 end_line()
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    end_line() if any(s[0] in BLOCKS or s[1] != stack[i][1] for s in stack[i:]) else None
+                    if any(s[0] in BLOCKS for s in stack[i:]):
+                        end_line()
                     del stack[i:]
                     break
             continue
@@ -146,11 +150,10 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
             continue
         if tag == "a":
             links += 1
-        _, aside, marked = stack[-1] if stack else ("", False, False)
-        apart = not aside and is_boilerplate(tag, attributes, marked)
-        if apart and tag not in BLOCKS:
-            end_line()
-        stack.append((tag, aside or apart, marked or (tag in MARKED and not aside and not apart)))
+        _, aside, marked, silent = stack[-1] if stack else OUTSIDE
+        apart = not aside and is_boilerplate(tag, attributes, marked, by_name)
+        silent = (silent or apart) and tag not in BLOCKS
+        stack.append((tag, aside or apart, marked or (tag in MARKED and not aside and not apart), silent))
     end_line()
     return lines
 
@@ -176,7 +179,10 @@ def kept_lines(lines: list[tuple[str, int, bool, bool]]) -> list[str]:
 
 def main_text(page: str | None) -> str:
     """The article of one page, its blocks joined by line feeds; null and empty give ''."""
-    return "\n".join(kept_lines(page_lines(page))) if page else ""
+    if not page:
+        return ""
+    # Names are hints: a page that they would leave empty is read without them.
+    return "\n".join(kept_lines(page_lines(page)) or kept_lines(page_lines(page, by_name=False)))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
