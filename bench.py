@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -30,17 +29,18 @@ def _first_file(df) -> str:
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("chronofold-bench")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.checkpoint.dir", os.environ.get("BENCH_SHARED", tempfile.mkdtemp(prefix="bench-")))
         .config("spark.driver.memory", "12g")
-        .getOrCreate()
     )
+    if "BENCH_SHARED" in os.environ:
+        builder = builder.config("spark.checkpoint.dir", os.environ["BENCH_SHARED"])
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     times: dict[str, float] = {}
 
