@@ -18,7 +18,6 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
-        self._paths: dict[int, str] = {}
 
     def path(self, label: str) -> str:
         return f"{self.folder}/{label}-{uuid.uuid4().hex[:8]}"
@@ -28,7 +27,6 @@ class Scratch:
         path = self.path(label)
         df.write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(back)] = path
         back._scratch_path = path
         return back
 

@@ -47,8 +47,6 @@ class Encoder:
         self.count, self.pool = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _learn(self, keys: np.ndarray, units: list[str]) -> None:
-        if len(self.keys) + len(keys) > KEPT_UNITS:
-            self._forget()
         ids = [e.ids for e in self.library.encode_batch_fast(units, add_special_tokens=False)]
         count = np.fromiter(map(len, ids), np.int64, len(ids))
         first = len(self.pool) + np.cumsum(count) - count
@@ -66,11 +64,9 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         keys, where, back = np.unique(hashes, return_index=True, return_inverse=True)
         known = np.isin(keys, self.keys, assume_unique=True)
-        if len(keys) > KEPT_UNITS:
-            raise MemoryError("a slice holds more distinct units than a worker may remember")
         if not known.all():
             if len(self.keys) + int((~known).sum()) > KEPT_UNITS:
-                self._forget()
+                self._forget()  # a text with more units than that is learnt whole and forgotten next
                 known[:] = False
             new = where[~known]
             units = [bytes(buf[s:e]).decode() for s, e in zip(start[new].tolist(), end[new].tolist(), strict=True)]
