@@ -205,10 +205,14 @@ def _judge(rows: DataFrame, scratch: Scratch) -> DataFrame:
     contexts = rows.groupBy("near").agg(
         F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high"), F.max("own").alias("open")
     )
+    # Aggregates are written, so that each join below is one of two exchanges and a frequent
+    # name can be split between tasks.
     contexts = contexts.where("n > 1 and open").select("near", (F.col("low") != F.col("high")).alias("mixed"))
+    contexts = scratch.keep(contexts, "contexts")
     repeated = scratch.keep(rows.join(contexts, "near"), "repeated")
     mixed = repeated.where("mixed")
     alike = mixed.groupBy("near", "whole").agg(F.count("*").alias("n"), F.min(F.struct("number", "first")).alias("one"))
+    alike = scratch.keep(alike, "alike")
     shown = (F.col("one.number") == F.col("number")) & (F.col("one.first") == F.col("first"))
     alone = F.col("n") == 1
     mixed = mixed.join(alike, ["near", "whole"]).select(
@@ -273,6 +277,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, scratch: Scratch | Non
     open_ = found.where("ask").groupBy("number").agg(F.array_sort(F.collect_list(F.struct("first", "shape", "own"))).alias("asked"))
     starts = scratch.keep(_blocks(held.drop("judged").join(open_, "number"), length, 1), "starts")
     twice = starts.groupBy("near", "whole").agg(F.count("*").alias("n")).where("n > 1").select("near", "whole")
+    twice = scratch.keep(twice, "twice")
     single = starts.where("own").join(twice, ["near", "whole"]).select("number", "first", "shape")
 
     runs = found.where("gone").select("number", "first", "shape").unionByName(single)
