@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronofold.llm.scratch import Scratch
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -124,6 +126,8 @@ def scan_documents(docs: DataFrame, rules: Sequence[Rule] = RULES, ledger: DataF
     )
     text = F.array_join(F.transform("found", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     found = found.select("blob", text.alias("spans"), *[f"n_{r.kind}" for r in rules])
+    # Written, so that the join below is one of two exchanges and a frequent blob can be split.
+    found = Scratch(docs.sparkSession).keep(found, "findings")
     rows = docs.select("doc_id", blob_id(F.col("text")).alias("blob")).join(found, "blob", "left")
     spans = F.coalesce("spans", F.lit(""))
     return rows.select(
@@ -148,6 +152,7 @@ def redact_documents(docs: DataFrame, rules: Sequence[Rule] = RULES, mask: str =
     runs = runs.withColumn("run", F.sum("new").over(upto))
     spans = runs.groupBy("blob", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     spans = spans.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    spans = Scratch(docs.sparkSession).keep(spans, "findings")
     far = (1 << 31) - 1
     lows = F.concat(F.array(F.lit(0).cast("bigint")), F.col("_spans.end"))
     highs = F.concat(F.col("_spans.start"), F.array(F.lit(far).cast("bigint")))
