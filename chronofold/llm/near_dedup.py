@@ -260,6 +260,9 @@ def near_duplicates(
         F.min("node").alias("low"), F.max("node").alias("high"), F.min(order).alias("first"), F.max(order).alias("last")
     )
     buckets = buckets.where("low < high").select("band", F.array("low", "high", "first.node", "last.node").alias("hubs"))
+    # Aggregates are written, so that the joins on them are of two exchanges and a frequent band
+    # or set can be split between tasks.
+    buckets = scratch.keep(buckets, "hubs")
     shared = scratch.keep(banded.join(buckets, "band"), "buckets")
     facts = unique.select("node", "n", *[f"s{i}" for i in range(BITS)])
     members = shared.select("node").distinct()
@@ -284,6 +287,7 @@ def near_duplicates(
     known = known.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
     held = shared.select("node", "band", "place").join(known.select("node", "component"), "node")
     mixed = held.groupBy("band").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l < h").select("band")
+    mixed = scratch.keep(mixed, "mixed")
     at_odds = scratch.keep(held.join(mixed, "band").select("node", "band", "place"), "mixed")
     common = _shared_items(sets, at_odds.select("node").distinct())
     places = F.expr("transform(bands, x -> cast(shiftright(x, 32) as int)) as bands")
@@ -303,6 +307,7 @@ def near_duplicates(
     final = components(stars.unionByName(rest), scratch)
 
     of_set = nodes.join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    of_set = scratch.keep(of_set, "components")
     labelled = signed.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(of_set, "digest", "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col("doc_id")))
     result = labelled.select("doc_id", "n_shingles", own.alias("component_id"))
