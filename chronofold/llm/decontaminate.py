@@ -1,11 +1,10 @@
-"""Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
-
-The word n-grams of the test items are counted over all documents. Among every ``STRETCH``
-consecutive n-grams of an item the one in fewest documents is a seed, so any stretch of an
-item of ``N + STRETCH - 1`` words that a copy left alone holds a seed. Documents meet items
-where they share seeds; the words around are aligned with the whole item, and the best
-local alignment says how much of the item the passage holds, edited words and gaps
-included.
+"""Benchmark decontamination by word-pair seeds and Smith-Waterman alignment.
+
+A seed is a pair of neighbouring item words that a document has side by side or with one word
+between. An alignment of score ``least`` or more needs a number of seeds that follows from
+the length of its item (see ``Items``), so passages with fewer are left out without loss; the
+words around the others are aligned with the whole item. The best local alignments say how
+much of the item each passage holds, edited words and gaps included.
 """
 
 from __future__ import annotations
@@ -19,14 +18,19 @@ from pyspark.sql import functions as F
 
 from chronofold.llm import words as W
 
-N, STRETCH = 3, 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST = 0.5
 """Share of the highest possible alignment score from which a passage is a copy."""
 
+LEAST_WORDS = 3
+"""Items of fewer words name no passage."""
+
 CHUNK_BYTES = 32 << 20
 """Test items handled at a time; only this much of them is sent to every task."""
 
+SEEDS = 1 << 21
+"""Seeds of a text slice held at a time; more of them are taken one stretch after another."""
+
 
 def plain_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words, letter case and ASCII marks aside, and each text's first word."""
@@ -34,40 +38,54 @@ def plain_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return hashes, first
 
 
-def grams(hashes: np.ndarray, n: int = N) -> np.ndarray:
-    if len(hashes) < n:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(len(hashes) - n + 1, np.uint64)
-    for i in range(n):
-        out += hashes[i : len(hashes) - n + 1 + i] * np.uint64(pow(int(W.BASE), i + 1, 1 << 64))
-    return W.mix(out)
-
-
 class Items:
-    """The words of some test items and their n-grams, as arrays."""
+    """The words of some test items and their seeds, as arrays.
+
+    Between two matches that are ``i`` words apart in the item and ``d`` in the document lie
+    at least max(i, d) - 1 errors, so the second match adds at most 3 - max(i, d): 2 for
+    neighbours on both sides, 1 for neighbours of the item with one word between in the
+    document, otherwise no more than half a point for each step along the item. Summed over
+    an item of n words, a score T takes 3 * (pairs of the first kind) + (pairs of the second)
+    of at least 2T - n - 3. Where that is no more than 0 every single word is a seed.
+    """
 
-    def __init__(self, ids: list, texts: pa.Array) -> None:
+    def __init__(self, ids: list, texts: pa.Array, least: float = LEAST) -> None:
         buf, offsets = W.text_bytes(texts)
         hashes, first = plain_words(buf, offsets)
         self.ids = ids
         self.words = [hashes[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-        each = [grams(w) for w in self.words]
-        self.item = np.repeat(np.arange(len(each)), [len(g) for g in each])
-        self.place = np.concatenate([np.arange(len(g)) for g in each] or [np.zeros(0, np.int64)])
-        self.gram = np.concatenate(each or [np.zeros(0, np.uint64)])
-        self.keys = np.unique(self.gram)
-
-    def keep_seeds(self, documents: np.ndarray) -> None:
-        """Keep the rarest n-gram of every stretch; ``documents`` counts those of ``keys``."""
-        count = documents[np.searchsorted(self.keys, self.gram)]
-        keep = np.zeros(len(count), bool)
-        bounds = np.flatnonzero(np.diff(self.item, prepend=-1, append=-2))
-        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            for at in range(lo, max(lo + 1, hi - STRETCH + 1)):
-                keep[at + int(np.argmin(count[at : min(at + STRETCH, hi)]))] = True
-        order = np.flatnonzero(keep)
-        order = order[np.argsort(self.gram[order], kind="stable")]
-        self.item, self.place, self.gram = self.item[order], self.place[order], self.gram[order]
+        length = np.diff(first)
+        self.score = np.maximum(1, np.ceil(least * MATCH * length - 1e-9).astype(np.int64))
+        self.need = 2 * self.score - length - 3
+        # No alignment of that score has more words of a document than this.
+        self.span = length + np.maximum(0, MATCH * length - self.score)
+        self.vocabulary, word = np.unique(hashes, return_inverse=True)
+        item = np.repeat(np.arange(len(length)), length)
+        used = length[item] >= LEAST_WORDS
+        pair = np.flatnonzero(used[:-1] & (item[:-1] == item[1:]) & (self.need[item[:-1]] > 0))
+        single = np.flatnonzero(used & (self.need[item] <= 0))
+        size = len(self.vocabulary)
+        keys = np.concatenate([word[pair] * size + word[pair + 1], size * size + word[single]])
+        both = np.unique(np.stack([keys, np.concatenate([item[pair], item[single]])]), axis=1)
+        self.keys, self.first = np.unique(both[0], return_index=True)
+        self.count = np.diff(self.first, append=both.shape[1])
+        self.item = both[1]
+
+    def seeds(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, index in ``keys``, weight) of the seeds in some texts, by place."""
+        size, found = len(self.vocabulary), _found(self.vocabulary, hashes)
+        word = np.full(len(hashes) + 2, -1, np.int64)
+        word[found] = np.searchsorted(self.vocabulary, hashes[found])
+        end = first[np.searchsorted(first, found, "right")]
+        out = []
+        for apart, weight in ((1, 3), (2, 1), (0, 0)):
+            at = found[(found + apart < end) & (word[found + apart] >= 0)]
+            keys = word[at] * size + word[at + apart] if apart else size * size + word[at]
+            hit = _found(self.keys, keys)
+            out.append(np.stack([at[hit], np.searchsorted(self.keys, keys[hit]), np.full(len(hit), weight)]))
+        every = np.concatenate(out, axis=1)
+        place, key, weight = every[:, np.argsort(every[0], kind="stable")]
+        return place, key, weight
 
 
 def _found(sorted_keys: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -78,83 +96,120 @@ def _found(sorted_keys: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(sorted_keys[at] == values)
 
 
-def _documents_with(docs: DataFrame, keys: np.ndarray) -> np.ndarray:
-    """In how many texts each n-gram of ``keys`` is."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(keys), np.int64)
-        for batch in batches:
-            buf, offsets = W.text_bytes(batch.column(0))
-            for lo, hi in W.row_slices(offsets):
-                part = offsets[lo : hi + 1]
-                hashes, first = plain_words(buf[part[0] : part[-1]], part - part[0])
-                every = grams(hashes)
-                at = _found(keys, every)
-                text = np.searchsorted(first, at, "right") - 1
-                inside = at + N <= first[text + 1]
-                pair = np.unique(np.stack([np.searchsorted(keys, every[at[inside]]), text[inside]]), axis=1)
-                total += np.bincount(pair[0], minlength=len(keys))
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["k", "n"])
-
-    sums = docs.select("text").mapInArrow(count, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(len(keys), np.int64)
-    out[sums.column("k").to_numpy()] = sums.column("n").to_numpy()
-    return out
-
-
-def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
-    """Best local alignment: its score and the passage words it covers (end exclusive).
+def align_ends(item: np.ndarray, passage: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Score and first passage word of the best local alignment that ends before each word.
 
     One row of the table for each word of the item; gaps along the passage follow from a
     running maximum, so a row is a few array operations.
     """
     m = len(passage)
-    score = np.zeros(m + 1, np.int64)
-    start = np.arange(m + 1)
-    slope = np.arange(m + 1) * -GAP
-    best = (0, 0, 0)
+    places = np.arange(m + 1)
+    score, start = np.zeros(m + 1, np.int64), places
+    best, best_start = score.copy(), places.copy()
+    slope = places * -GAP
     for word in item:
         diagonal = np.zeros(m + 1, np.int64)
         diagonal[1:] = score[:-1] + np.where(passage == word, MATCH, MISMATCH)
-        origin = np.arange(m + 1)
-        origin[1:] = np.where(score[:-1] > 0, start[:-1], np.arange(m))
+        origin = places.copy()
+        origin[1:] = np.where(score[:-1] > 0, start[:-1], places[:-1])
         down = score + GAP
         row = np.maximum(diagonal, down)
         origin = np.where(diagonal >= down, origin, start)
-        origin = np.where(row > 0, origin, np.arange(m + 1))
+        origin = np.where(row > 0, origin, places)
         row = np.maximum(row, 0)
         lifted = np.maximum.accumulate(row + slope)
-        source = np.maximum.accumulate(np.where(row + slope == lifted, np.arange(m + 1), 0))
+        source = np.maximum.accumulate(np.where(row + slope == lifted, places, 0))
         score, start = lifted - slope, origin[source]
-        top = int(np.argmax(score))
-        if score[top] > best[0]:
-            best = int(score[top]), int(start[top]), top
-    return best
+        better = score > best
+        best, best_start = np.where(better, score, best), np.where(better, start, best_start)
+    return best, best_start
 
 
-def _passages(items: Items, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(item, first word, end) of the parts of one text that share seeds with an item."""
-    at = _found(items.gram, every := grams(hashes))
-    if not len(at):
+def top_score(item: np.ndarray, passage: np.ndarray) -> int:
+    """Score of the best local alignment, without its place."""
+    slope = np.arange(len(passage) + 1) * -GAP
+    steps = np.where(item[:, None] == passage, MATCH, MISMATCH)
+    score, top = np.zeros(len(passage) + 1, np.int64), 0
+    for step in steps:
+        row = np.maximum(score + GAP, 0)
+        np.maximum(row[1:], score[:-1] + step, out=row[1:])
+        row += slope
+        score = np.maximum.accumulate(row, out=row) - slope
+        top = max(top, int(score.max()))
+    return top
+
+
+def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
+    """Best local alignment: its score and the passage words it covers (end exclusive)."""
+    score, start = align_ends(item, passage)
+    top = int(np.argmax(score))
+    return int(score[top]), int(start[top]) if score[top] else 0, top
+
+
+def apart(item: np.ndarray, passage: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
+    """Alignments of at least that score that share no passage word, the best ones first."""
+    pieces = [(0, len(passage))]
+    while pieces:
+        a, b = pieces.pop()
+        if MATCH * (b - a) < least or top_score(item, passage[a:b]) < least:
+            continue
+        score, start = align_ends(item, passage[a:b])
+        enough = np.flatnonzero(score >= least)
+        taken = np.zeros(b - a + 1, bool)
+        parts = []
+        for end in enough[np.argsort(-score[enough], kind="stable")].tolist():
+            begin = int(start[end])
+            if not taken[begin:end].any():
+                taken[begin:end] = True
+                parts.append((begin, end))
+                yield int(score[end]), a + begin, a + end
+        # What is left may hold another one whose best alignment reached into these.
+        parts.sort()
+        edges = [0, *(x for p in parts for x in p), b - a]
+        if parts:
+            pieces += [(a + lo, a + hi) for lo, hi in zip(edges[::2], edges[1::2], strict=True)]
+
+
+def _passages(items: Items, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, first word, end) of the parts of some texts with seeds enough for a copy."""
+    place, key, weight = items.seeds(hashes, first)
+    if not len(place):
+        return
+    n, count = len(hashes) + 1, items.count[key]
+    total = np.cumsum(count)
+    found: list[np.ndarray] = []
+    lo = 0
+    while lo < len(place):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] - count[lo] + SEEDS, "right")))
+        # Seeds of one place stay together; those behind count only for the ones before.
+        hi = int(np.searchsorted(place, place[hi - 1], "right"))
+        last = int(np.searchsorted(place, place[hi - 1] + items.span.max(), "right"))
+        item = items.item[W.ragged(items.first[key[lo:last]], count[lo:last])]
+        at = np.repeat(place[lo:last], count[lo:last])
+        order = np.argsort(item * n + at, kind="stable")
+        item, at = item[order], at[order]
+        sums = np.concatenate([[0], np.cumsum(np.repeat(weight[lo:last], count[lo:last])[order])])
+        text_end = first[np.searchsorted(first, at, "right")]
+        upto = np.searchsorted(item * n + at, item * n + np.minimum(at + items.span[item], text_end))
+        ok = (sums[upto] - sums[:-1] >= items.need[item]) & (at <= place[hi - 1])
+        found.append(np.unique(np.stack([item[ok], at[ok]]), axis=1))
+        lo = hi
+    item, at = np.concatenate(found, axis=1)
+    if not len(item):
         return
-    lo, hi = np.searchsorted(items.gram, every[at], "left"), np.searchsorted(items.gram, every[at], "right")
-    seed = W.ragged(lo, hi - lo)
-    place = np.repeat(at, hi - lo)
-    item, inside = items.item[seed], items.place[seed]
-    length = np.array([len(items.words[i]) for i in item])
-    begin = np.maximum(0, place - inside - length // 2 - 1)
-    end = np.minimum(len(hashes), place - inside + length + length // 2 + 1)
+    text = np.searchsorted(first, at, "right") - 1
+    begin = np.maximum(first[text], at - items.span[item])
+    end = np.minimum(first[text + 1], at + items.span[item])
     order = np.lexsort((begin, item))
-    item, begin, end = item[order], begin[order], end[order]
+    item, text, begin, end = item[order], text[order], begin[order], end[order]
     new = np.ones(len(item), bool)
-    new[1:] = (item[1:] != item[:-1]) | (begin[1:] > np.maximum.accumulate(end + item * (len(hashes) + 1))[:-1] - item[1:] * (len(hashes) + 1))
-    first = np.flatnonzero(new)
-    for a, b in zip(first, np.append(first[1:], len(item)), strict=True):
-        yield int(item[a]), int(begin[a]), int(end[a:b].max())
+    new[1:] = (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (begin[1:] > np.maximum.accumulate(end + item * n)[:-1] - item[1:] * n)
+    starts = np.flatnonzero(new)
+    for a, b in zip(starts, np.append(starts[1:], len(item)), strict=True):
+        yield int(text[a]), int(item[a]), int(begin[a]), int(end[a:b].max())
 
 
-def _copies(docs: DataFrame, items: Items, least: float, item_type: str) -> DataFrame:
+def _copies(docs: DataFrame, items: Items, item_type: str) -> DataFrame:
     names = docs.columns[:-1]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
     ids = pa.array(items.ids)
@@ -166,14 +221,10 @@ def _copies(docs: DataFrame, items: Items, least: float, item_type: str) -> Data
             for lo, hi in W.row_slices(offsets):
                 part = offsets[lo : hi + 1]
                 hashes, first = plain_words(buf[part[0] : part[-1]], part - part[0])
-                near = np.unique(np.searchsorted(first, _found(items.gram, grams(hashes)), "right") - 1)
-                for text in near.tolist():
-                    own = hashes[first[text] : first[text + 1]]
-                    for item, a, b in _passages(items, own):
-                        score, s, e = align(items.words[item], own[a:b])
+                for text, item, a, b in _passages(items, hashes, first):
+                    for score, s, e in apart(items.words[item], hashes[a:b], int(items.score[item])):
                         share = score / (MATCH * len(items.words[item]))
-                        if share >= least:
-                            rows.append((lo + text, item, share, a + s, a + e))
+                        rows.append((lo + text, item, share, a - int(first[text]) + s, a - int(first[text]) + e))
             if rows:
                 row, item, share, s, e = (np.array(c) for c in zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(
@@ -189,8 +240,9 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, *, least: float = LEAST,
 
     Score is the alignment score over the highest an item can have; a document has a row
     for each passage apart. Letter case and ASCII marks don't count. Null and empty texts
-    hold nothing; an item of fewer than N words names no passage; repeated rows of either
-    table give repeated rows; empty tables give no rows; other columns are not read.
+    hold nothing; an item of fewer than ``LEAST_WORDS`` words names no passage; repeated
+    rows of either table give repeated rows; empty tables give no rows; other columns are
+    not read.
     """
     spark: SparkSession = docs.sparkSession
     texts = docs.select(key, "text").where("text is not null")
@@ -201,8 +253,7 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, *, least: float = LEAST,
     found = None
     for chunk in range(chunks):  # one unless the tests themselves are large
         part = tests.where(F.pmod(F.xxhash64("text"), F.lit(chunks)) == chunk).toArrow()
-        items = Items(part.column("item_id").to_pylist(), part.column("text").combine_chunks())
-        items.keep_seeds(_documents_with(texts, items.keys))
-        copies = _copies(texts, items, least, item_type)
+        items = Items(part.column("item_id").to_pylist(), part.column("text").combine_chunks(), least)
+        copies = _copies(texts, items, item_type)
         found = copies if found is None else found.unionByName(copies)
     return found

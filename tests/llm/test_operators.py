@@ -437,6 +437,45 @@ def test_copies_of_items(spark, edge_docs, no_docs):
     assert decontaminate.find_copies(edge_docs, tests.limit(0)).count() == 0
 
 
+def _edited(item, every, how, filler):
+    out = []
+    for i, w in enumerate(item):
+        if every and i % every == every - 1:
+            out += {"replace": [next(filler)], "insert": [w, next(filler)], "drop": []}[how]
+        else:
+            out.append(w)
+    return out
+
+
+@pytest.mark.parametrize("held", [1 << 21, 7])
+def test_edited_copies_equal_alignment_of_every_document_with_every_item(spark, monkeypatch, held):
+    monkeypatch.setattr(decontaminate, "SEEDS", held, raising=False)
+    draw = random.Random(5)
+    filler = (f"new{i}" for i in range(10_000))
+    items = [[f"w{draw.randrange(90)}" for _ in range(n)] for n in (3, 4, 5, 15, 24, 37, 59)]
+    bodies = [_edited(t, every, how, filler) for t in items for every in (1, 2, 3, 4, 5, 6) for how in ("replace", "insert", "drop")]
+    bodies += [[f"w{draw.randrange(90)}" for _ in range(draw.randrange(1, 200))] for _ in range(20)]
+    bodies += [["w1"] * 50 + t[: len(t) // 2] + t for t in items]
+    # Many documents with nothing but pairs of the items, so that no pair is rare.
+    bodies += [t[i : i + 2] for t in items for i in range(len(t) - 1)]
+    docs = [(i, " ".join([f"a{i}", *b, f"z{i}", "z"])) for i, b in enumerate(bodies)]
+    tests = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id bigint, text string")
+    got = decontaminate.find_copies(spark.createDataFrame(docs, "doc_id bigint, text string"), tests).collect()
+    best = {}
+    for i, text in docs:
+        for j, t in enumerate(items):
+            share = smith_waterman(t, text.split(), 2, -1, -1) / (2 * len(t))
+            if share >= 0.5:
+                best[i, j] = share
+    found = {}
+    for r in got:
+        found[r["doc_id"], r["item_id"]] = max(r["score"], found.get((r["doc_id"], r["item_id"]), 0))
+    assert found == best
+    assert len(best) > 7 * 14
+    few = spark.createDataFrame([(1, " ".join(items[6][:2]))], "doc_id bigint, text string")
+    assert decontaminate.find_copies(few, tests).count() == 0
+
+
 def test_many_items_go_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "CHUNK_BYTES", 200)
     items = [(i, " ".join(f"q{i}w{j}" for j in range(20))) for i in range(20)]
