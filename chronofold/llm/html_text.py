@@ -31,6 +31,8 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes svg math object xmp".split())
+# Of these only an end tag ends the text, and it may hold what looks like a start tag.
+LITERAL = frozenset("script style title textarea".split())
 ASIDE = frozenset("head nav footer aside form menu dialog button select search fieldset label".split())
 MARKED = frozenset(["article", "main"])
 CLOSES_P = BLOCKS - frozenset(["br", "body", "html", "option", "optgroup", "legend", "caption"])
@@ -56,6 +58,7 @@ TOKEN = re.compile(
 )
 NAMED = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=\s|/|$)""", re.IGNORECASE)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/\s*$""")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
@@ -85,6 +88,23 @@ def is_boilerplate(tag: str, attributes: str, in_article: bool, by_name: bool =
     return False
 
 
+def element_ends(page: str, tag: str) -> dict[int, int]:
+    """Where each element of that name ends, by where its start tag begins; unclosed ones are missing."""
+    ends: dict[int, int] = {}
+    opened: list[int] = []
+    found = re.compile(
+        rf"<!--(?:.*?-->|.*)|<(?:script|style)(?=[\s/>]).*?(?:</(?:script|style)\s*>|\Z)|<{tag}(?=[\s/>])((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/){tag}\s*>|<{tag}(?=[\s/>])[^>]*(?:>|\Z)",
+        re.DOTALL | re.IGNORECASE,
+    )
+    for m in found.finditer(page):
+        if m[1] is not None:
+            if not SELF_CLOSED.search(m[1]):
+                opened.append(m.start())
+        elif m[2] and opened:
+            ends[opened.pop()] = m.end()
+    return ends
+
+
 def page_lines(page: str, by_name: bool = True) -> list[tuple[str, int, bool, bool]]:
     """(text, weight, in a marked article, boilerplate) of each block, white space made one space."""
     lines: list[tuple[str, int, bool, bool]] = []
@@ -103,6 +123,7 @@ def page_lines(page: str, by_name: bool = True) -> list[tuple[str, int, bool, bo
             pieces.clear()
         linked = 0
 
+    ends: dict[str, dict[int, int]] = {}
     at, end = 0, len(page)
     while at < end:
         m = TOKEN.search(page, at)
@@ -131,8 +152,17 @@ def page_lines(page: str, by_name: bool = True) -> list[tuple[str, int, bool, bo
                     break
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
-            at = close.end() if close else end
+            empty = SELF_CLOSED.search((m[3] if m[2] else m[6]) or "")
+            if tag in LITERAL:
+                close = re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*>" if empty else rf"<(/){tag}\s*>", re.IGNORECASE).search(page, at)
+                if not empty:
+                    at = close.end() if close else end
+                elif close and close[1]:  # closed once more, so what looked like its end was none
+                    at = close.end()
+            elif not empty:
+                if tag not in ends:
+                    ends[tag] = element_ends(page, tag)
+                at = ends[tag].get(m.start(), at)
             continue
         if tag in BLOCKS:
             end_line()

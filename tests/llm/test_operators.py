@@ -304,6 +304,15 @@ PAGES = {
     "<article><p>one <span class='ad-slot'>buy</span> two</p><div class='page-footer'>f</div><p>three</article>": "one two\nthree",
     "<body class='has-sidebar'><main><p>x</p><div id='readerComments'><p>c</p></div></main><div class='main-menu'>m</div>": "x",
     "<div class='header-text'><article><p>only</article></div>": "only",
+    '<article><p>one</p><svg class="i"/><p>two</p></article>': "one\ntwo",
+    '<article><p>one</p><svg class="i" /><p>two</p><svg><text>t</text></svg><math/><p>three</p></article>': "one\ntwo\nthree",
+    "<article><p>one</p><svg class=i/><p>two</p><svg><text>t</text></svg><p>three</article>": "one\ntwo\nthree",
+    "<article><p>one</p><noscript><p>two</p><object data=x><p>three</p></article>": "one\ntwo\nthree",
+    "<article><p>one</p><object data=a><p>two</p><object data=b>no</object><p>three</article>": "one\ntwo\nthree",
+    "<article><p>one</p><svg><svg><text>a</text></svg><text>b</text></svg><p>two<!-- </svg> <svg> --></article>": "one\ntwo",
+    "<article><p>one</p><svg><!-- <svg> --><text>a</text></svg><iframe src=x>no</iframe><p>two</article>": "one\ntwo",
+    '<article><p>one</p><script src="a.js"/><p>two</p><script src=/b/>no()</script><p>three</p></article>': "one\ntwo\nthree",
+    "<article><p>one</p><script>no()<p>no</article>": "one",
 }
 
 
