@@ -3,8 +3,9 @@
 Markup is stripped into lines, one for each block element. A line weighs what it can add to
 an article: nothing inside menus, forms and the like, otherwise its characters outside
 links. The weights of a sliding window of lines are summed; the text surges where a window
-becomes heavy and dives where it becomes empty, and the lines with weight between the two
-points are kept. Where a page marks its article, only that has weight.
+becomes heavy and dives where it becomes empty, and the lines between the two points are
+kept, links too. Lines of menus, forms and the like stand in no window. Where a page marks
+its article, all of that is kept; where no window is heavy, the heaviest run of lines.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import DataFrame
 WINDOW = 3
 """Lines of a sliding window."""
 
-SURGE, MARKED_SURGE = 80, 1
-"""Weight of a window at which text begins; inside a marked article any text begins it."""
+SURGE = 80
+"""Weight of a window at which text begins."""
 
 # Elements of HTML by their role.
 BLOCKS = frozenset(
@@ -188,31 +189,55 @@ def page_lines(page: str, by_name: bool = True) -> list[tuple[str, int, bool, bo
     return lines
 
 
-def kept_lines(lines: list[tuple[str, int, bool, bool]]) -> list[str]:
-    """The lines between each surge and the dive after it."""
-    marked = any(m and not aside for _, _, m, aside in lines)
-    # Inside a marked article a link is ordinary text; elsewhere only text outside links counts.
-    weight = np.array([(0 if aside or not m else len(t)) if marked else w for t, w, m, aside in lines], np.int64)
+def runs_of_lines(weight: np.ndarray, surge: int) -> list[tuple[int, int]]:
+    """The lines from each surge to the dive after it (end exclusive)."""
     n = len(weight)
     sums = np.concatenate([[0], np.cumsum(weight)])
     ahead = sums[np.minimum(np.arange(n) + WINDOW, n)] - sums[:-1]
-    surge, inside, out = MARKED_SURGE if marked else SURGE, False, []
+    runs, start = [], None
     for i in range(n):
-        if not inside and weight[i] and ahead[i] >= surge:
-            inside = True
-        elif inside and not ahead[i]:
-            inside = False
-        if inside and weight[i]:
-            out.append(lines[i][0])
-    return out
+        if start is None and weight[i] and ahead[i] >= surge:
+            start = i
+        elif start is not None and not ahead[i]:
+            runs.append((start, i))
+            start = None
+    return runs if start is None else [*runs, (start, n)]
+
+
+def kept_lines(lines: list[tuple[str, int, bool, bool]], also: frozenset[str] = frozenset()) -> list[str]:
+    """All of a marked article, else the lines between surge and dive; with these, lines that are in ``also``."""
+    lines = [line for line in lines if not line[3]]
+    if any(marked for _, _, marked, _ in lines):
+        return [text for text, _, marked, _ in lines if marked]
+    weight = np.array([w for _, w, _, _ in lines], np.int64)
+    inside = np.zeros(len(lines), bool)
+    for a, b in runs_of_lines(weight, SURGE):
+        inside[a:b] = True
+    return [line[0] for line, k in zip(lines, inside, strict=True) if k or line[0] in also] if inside.any() else []
+
+
+def heaviest_run(lines: list[tuple[str, int, bool, bool]]) -> list[str]:
+    """The run of lines, boilerplate lines aside, with most text outside links, however little."""
+    lines = [line for line in lines if not line[3]]
+    weight = np.array([w for _, w, _, _ in lines], np.int64)
+    a, b = max(runs_of_lines(weight, 1), key=lambda r: weight[r[0] : r[1]].sum(), default=(0, 0))
+    return [text for text, _, _, _ in lines[a:b]]
 
 
 def main_text(page: str | None) -> str:
     """The article of one page, its blocks joined by line feeds; null and empty give ''."""
     if not page:
         return ""
-    # Names are hints: a page that they would leave empty is read without them.
-    return "\n".join(kept_lines(page_lines(page)) or kept_lines(page_lines(page, by_name=False)))
+    lines = page_lines(page)
+    kept = kept_lines(lines)
+    if not kept:
+        # Names are hints: a page that they would leave without a long text is read without them.
+        short, plain = heaviest_run(lines), page_lines(page, by_name=False)
+        kept = kept_lines(plain, frozenset(short)) or short or heaviest_run(plain)
+        # A short text without any element is no page.
+        if len("".join(kept)) < SURGE and not any(m[2] or m[5] for m in TOKEN.finditer(page)):
+            return ""
+    return "\n".join(kept)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -328,6 +328,22 @@ def test_pages(spark):
     assert html_text.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_pages_without_a_marked_article():
+    long = ("w " * 60).strip()
+    for page, text in {
+        "<div><h1>Closed</h1><p>We open again on Monday.</p></div>": "Closed\nWe open again on Monday.",
+        "<ul><li><a>a</a><li><a>b</a><li><a>c</a></ul><h1>Closed</h1><p>Until May.</p><ul><li><a>d</a><li><a>e</a><li><a>f</a></ul>": "Closed\nUntil May.",
+        "<ul><li><a>a</a><li><a>b</a></ul>": "",
+        f"<p>{long}</p><p><a>wholly a link</a></p><h2><a>head</a></h2><p>end</p><p><a>m</a></p>": f"{long}\nwholly a link\nhead\nend",
+        f"<p>{long}</p><div class=share><p>a</p><p>b</p><p>c</p><p>d</p></div><p>Last words.</p>": f"{long}\nLast words.",
+        # Names alone must not cost a long text, nor that text the short one beside it.
+        f"<h1>Closed</h1><ul><li><a>a</a><li><a>b</a><li><a>c</a></ul><div class=comment>{long}</div>": f"Closed\n{long}",
+        long: long,
+        "a short text": "",
+    }.items():
+        assert html_text.main_text(page) == text, page
+
+
 def test_given_pages_keep_exactly_their_articles(spark, sf):
     for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
         inner = re.search(r"<article>(.*)</article>", r["html"], re.DOTALL)[1]
