@@ -3,6 +3,9 @@
 import __spark_entry__ as entry
 import duckdb
 import pytest
+from pyspark.sql.streaming.readwriter import DataStreamReader
+
+from chronofold.plans import streams
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
@@ -38,5 +41,14 @@ def test_query(spark, sf, duck, name):
     assert rows == sorted(tuple(plain(r[i]) for i in places) for r in want.fetchall())
 
 
+@pytest.mark.parametrize("name", [n for n in QUERIES if n[:3] in ("t02", "t03", "t05", "t06", "t07")])
+def test_rows_of_many_files_are_not_late(spark, sf, duck, name, monkeypatch):
+    """More files than a batch may have, if it has a limit: the limit is made 2 here."""
+    option, as_stream = DataStreamReader.option, streams.as_stream
+    monkeypatch.setattr(DataStreamReader, "option", lambda r, k, v: option(r, k, min(v, 2) if k == "maxFilesPerTrigger" else v))
+    monkeypatch.setattr(streams, "as_stream", lambda s, rows, *limit: as_stream(s, rows.repartition(6), *limit))
+    test_query(spark, sf, duck, name)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 3
