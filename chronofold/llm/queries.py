@@ -7,7 +7,21 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import binary_output, decontaminate, exact_search, html_text, near_dedup, packing, quality, secrets, substring_dedup, url_filter
+from chronofold.llm import (
+    binary_output,
+    collocations,
+    decontaminate,
+    embedding_dedup,
+    exact_search,
+    html_text,
+    near_dedup,
+    packing,
+    quality,
+    secrets,
+    substring_dedup,
+    url_filter,
+    word_runs,
+)
 from chronofold.llm.scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +171,63 @@ def _(s, d):
 @query("op10_benchmark_decontamination")
 def _(s, d):
     return decontaminate.find_copies(table(s, d, "documents"), table(s, d, "benchmark"))
+
+
+@query(
+    "op11_phrase_collocations",
+    """
+    with t as (
+      select coalesce(lang, 'und') as lang,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+    pieces as (select lang, unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')) as piece from t),
+    w as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from pieces),
+    grams as (select lang, m as size, unnest([array_to_string(w[i : i + m - 1], ' ') for i in range(1, len(w) - m + 2)]) as phrase
+      from w cross join (values (1), (2), (3)) s(m)),
+    f as materialized (select lang, phrase, size, count(*) as f from grams group by all),
+    c as (select lang, phrase, size, f as a, string_split(phrase, ' ') as w from f where size > 1 and f >= 10),
+    cuts as (select lang, phrase, size, a, w, unnest(range(1, size)) as k from c),
+    scored as (
+      select c.lang, c.phrase, c.size, a, k, x.f as l, y.f as r,
+        cast(1000000::hugeint * a * a // (x.f::hugeint * y.f) as bigint) as score
+      from cuts c join f x on x.lang = c.lang and x.phrase = array_to_string(w[1 : k], ' ')
+        join f y on y.lang = c.lang and y.phrase = array_to_string(w[k + 1 :], ' ')),
+    least as (select lang, phrase, size, a, min({'score': score, 'k': k, 'l': l, 'r': r}) as cut from scored group by all),
+    inner_ as (
+      select lang, a, unnest([array_to_string(w[1 : 2], ' '), array_to_string(w[2 : 3], ' ')]) as phrase from c where size = 3),
+    longer as (select lang, phrase, max(a) as longer from inner_ group by all),
+    ranked as (
+      select lang, phrase, a, cut, row_number() over (partition by lang order by cut.score desc, a desc, phrase) as rank
+      from least left join longer using (lang, phrase) where coalesce(100 * longer < 50 * a, true)),
+    total as (select lang, cast(sum(f) as bigint) as n from f where size = 1 group by 1)
+    select lang, rank, phrase, a, cut.l as l, cut.r as r, n, cut.score as score from ranked join total using (lang) where rank <= 2000
+    """,
+)
+def _(s, d):
+    return collocations.phrase_collocations(table(s, d, "documents"))
+
+
+@query("op12_word_runs")
+def _(s, d):
+    return word_runs.find_runs(table(s, d, "documents"), fold=True).drop("runs")
+
+
+@query(
+    "op13_embedding_dedup",
+    """
+    with recursive v as materialized (
+      select vec_id, list_transform(embedding, lambda x: cast(x as double)) as x, len(embedding) as dim from embeddings
+      where vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    links as materialized (
+      select a.vec_id as a, b.vec_id as b from v a join v b on a.dim = b.dim and a.vec_id <> b.vec_id
+      where list_inner_product(a.x, b.x) / (sqrt(list_inner_product(a.x, a.x)) * sqrt(list_inner_product(b.x, b.x))) >= 0.9),
+    reach(vec_id, other) as (
+      select vec_id, vec_id from embeddings union select r.vec_id, l.b from reach r join links l on l.a = r.other),
+    least as (select vec_id, min(other) as component_id from reach group by 1),
+    counts as (select a as vec_id, count(*) as n from links group by 1)
+    select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept
+    from embeddings join least using (vec_id) left join counts using (vec_id)
+    """,
+)
+def _(s, d):
+    return embedding_dedup.near_duplicate_vectors(table(s, d, "embeddings"))
