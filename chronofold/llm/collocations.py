@@ -2,18 +2,19 @@
 
 A suffix is what follows a word inside its piece of text, cut after ``longest`` words. The
 tree of all suffixes is never whole anywhere. It is cut at prefixes: first words, and where
-a first word has more suffixes than the memory budget, its first two words, and so on.
-Rows are spread by the hash of their prefix and sorted by it; a task gathers whole
-prefixes up to the budget, builds their subtree (sorted leaves, nodes where leading words
-change), reads each node's count off the totals of its leaves and goes on with the next
-group. Nothing but the nodes of the top levels that several groups share is added up later.
+a first word has more suffixes than the memory budget, its first two words, dealt over
+parts, and so on. Rows are spread by the hash of their prefix and part and sorted by it; a
+task gathers whole prefixes up to the budget, builds their subtree (sorted leaves, nodes
+where leading words change), reads each node's count off the totals of its leaves and goes
+on with the next group. Only nodes above a cut, shared by several groups, are added up later.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -24,7 +25,7 @@ from chronofold.llm import words as W
 from chronofold.llm.scratch import Scratch
 
 BUDGET = 1 << 18
-"""Rows of suffixes a group may hold; more than that stand in memory only for one batch."""
+"""Suffixes a group may hold; beside them only the rows of one batch are in memory."""
 
 SLICE = 4 << 20
 """Bytes of text whose equal suffixes are counted together before they leave a task."""
@@ -44,18 +45,30 @@ SECOND = W.byte_table(2, True)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _suffixes(buf: np.ndarray, offsets: np.ndarray, kind: np.ndarray, longest: int) -> tuple[np.ndarray, ...]:
-    """Equal suffixes of some texts once: kind of their text, bytes, offsets and counts.
+PACKED = 1 << 10
+"""Most suffixes of one first word that travel in one row."""
 
-    Words are in lower case and joined by one space. Suffixes are told apart by two
-    64-bit hashes.
+SHARE = 1 << 10
+"""No group is cut coarser than this share of all suffixes, so that small inputs spread too."""
+
+PARTS = 64
+"""Parts a prefix above the budget is dealt over."""
+
+ROWS = "lang string, prefix string, part bigint, depth int, rest string, n array<int>"
+"""Suffixes of one first word: what follows it, one to a line, and how often each stands.
+Suffixes that share ``depth`` words have the same ``part``."""
+
+
+def _suffixes(buf: np.ndarray, offsets: np.ndarray, kind: np.ndarray, names: pa.Array, longest: int) -> pa.RecordBatch | None:
+    """Rows of the suffixes of some texts, equal ones once, by lang and first word.
+
+    Words are in lower case. Suffixes are told apart by two 64-bit hashes.
     """
     first, starts, ends, bounds = W.word_hashes(buf, offsets, W.FOLDED, between=BETWEEN)
     second = W.word_hashes(buf, offsets, SECOND, between=BETWEEN)[0]
     n = len(first)
-    none = np.zeros(0, np.int64)
     if not n:
-        return none, np.zeros(0, np.uint8), np.zeros(1, np.int64), none
+        return None
     broken = np.append(0, np.cumsum(BREAKS[buf], dtype=np.int64))
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
     last = np.ones(n, bool)  # the last word of its piece
@@ -64,6 +77,7 @@ def _suffixes(buf: np.ndarray, offsets: np.ndarray, kind: np.ndarray, longest: i
     for _ in range(longest - 1):
         size[:-1] = np.where(last[:-1], 1, np.minimum(size[1:] + 1, longest))
     kinds = kind[text]
+    lead = W.mix(first + W.mix(second + kinds.astype(np.uint64) * STEP))
 
     def named(hashes: np.ndarray) -> np.ndarray:
         out = W.mix(kinds.astype(np.uint64) + STEP)
@@ -72,27 +86,55 @@ def _suffixes(buf: np.ndarray, offsets: np.ndarray, kind: np.ndarray, longest: i
             out[there] = W.mix(out[there] * STEP + hashes[there + k])
         return out
 
+    after = np.where(size > 1, np.append(first[1:], np.uint64(0)), np.uint64(0))
     first, second = named(first), named(second)
-    order = np.argsort(first, kind="stable")
+    order = np.lexsort((first, after, lead))
     new = np.ones(n, bool)
     new[1:] = (first[order[1:]] != first[order[:-1]]) | (second[order[1:]] != second[order[:-1]])
     at = np.flatnonzero(new)
+    counts = np.diff(np.append(at, n))
     shown = order[at]
-    word = W.ragged(shown, size[shown])
-    wide = ends[word] - starts[word] + 1
-    source = W.ragged(starts[word], wide)
-    chars = LOWER[np.append(buf, np.uint8(32))[source]]
+    head = np.ones(len(at), bool)  # the first suffix of its row
+    head[1:] = lead[shown[1:]] != lead[shown[:-1]]
+    groups = np.flatnonzero(head)
+    place = np.arange(len(at)) - groups[np.cumsum(head) - 1]
+    groups = np.flatnonzero(place % PACKED == 0)
+    bounds = np.append(groups, len(at))
+    more = size[shown] > 1
+    held = np.maximum(size[shown] - 1, 1)
+    word = W.ragged(shown + more, held)
+    alone = np.repeat(~more, held)
+    rest = _text(buf, np.where(alone, ends[word], starts[word]), ends[word], np.cumsum(held), np.cumsum(held)[bounds[1:] - 1])
+    whose = shown[groups]
+    prefix = _text(buf, starts[whose], ends[whose], np.arange(1, len(whose) + 1), np.arange(1, len(whose) + 1))
+    return pa.RecordBatch.from_arrays(
+        [
+            names.take(pa.array(kinds[whose])), prefix, pa.array(np.zeros(len(groups), np.int64)), pa.array(np.ones(len(groups), np.int32)),
+            rest, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(counts, pa.int32())),
+        ],
+        COLUMNS,
+    )
+
+
+COLUMNS = ["lang", "prefix", "part", "depth", "rest", "n"]
+
+
+def _text(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lines: np.ndarray, values: np.ndarray) -> pa.Array:
+    """Strings of words start..end-1: a space behind each word, a line break behind the
+    words before each of ``lines``, nothing behind those before each of ``values``."""
+    wide = ends - starts + 1
+    chars = LOWER[np.append(buf, np.uint8(32))[W.ragged(starts, wide)]]
     stops = np.cumsum(wide) - 1
     chars[stops] = 32
+    chars[stops[lines - 1]] = 10
     keep = np.ones(len(chars), bool)
-    tail = stops[np.cumsum(size[shown]) - 1]  # no space behind the last word
-    keep[tail] = False
-    cuts = np.append(0, tail - np.arange(len(tail)))
-    return kinds[shown], chars[keep], cuts, np.diff(np.append(at, n))
+    keep[stops[values - 1]] = False
+    cuts = np.append(0, stops[values - 1] - np.arange(len(values)))
+    return pa.LargeStringArray.from_buffers(len(values), pa.py_buffer(cuts), pa.py_buffer(chars[keep])).cast(pa.string())
 
 
 def count_suffixes(docs: DataFrame, longest: int) -> DataFrame:
-    """(lang, suffix, n): suffixes of whole texts, equal ones of a slice of texts counted together."""
+    """ROWS of the suffixes of whole texts; equal ones of a slice of texts are counted together."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,13 +144,43 @@ def count_suffixes(docs: DataFrame, longest: int) -> DataFrame:
             for lo, hi in W.row_slices(offsets, SLICE):
                 at = offsets[lo : hi + 1]
                 for a, b in _parts(buf[at[0] : at[-1]]):
-                    k, chars, cuts, counts = _suffixes(buf[at[0] + a : at[0] + b], np.clip(at - at[0], a, b) - a, kind[lo:hi], longest)
-                    suffix = pa.LargeStringArray.from_buffers(len(counts), pa.py_buffer(cuts), pa.py_buffer(chars))
-                    yield pa.RecordBatch.from_arrays(
-                        [langs.dictionary.take(pa.array(k)), suffix.cast(pa.string()), pa.array(counts)], ["lang", "suffix", "n"]
-                    )
+                    found = _suffixes(buf[at[0] + a : at[0] + b], np.clip(at - at[0], a, b) - a, kind[lo:hi], langs.dictionary, longest)
+                    if found is not None:
+                        yield found
+
+    return docs.select("lang", "text").mapInArrow(rows, ROWS)
 
-    return docs.select("lang", "text").mapInArrow(rows, "lang string, suffix string, n bigint")
+
+def _dealt(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """ROWS dealt over PARTS by the first ``words`` words behind the prefix."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = pc.split_pattern(batch.column("rest"), "\n")
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lines).to_numpy())
+            if not len(row):
+                continue
+            flat = lines.flatten()
+            head = pc.replace_substring_regex(flat, f"^((?:[^ ]+ ){{{words - 1}}}[^ ]+) .*$", "\\1").dictionary_encode()
+            hashes = pd.util.hash_array(head.dictionary.to_numpy(zero_copy_only=False))
+            bucket = (hashes % np.uint64(PARTS)).astype(np.int64)[head.indices.to_numpy()]
+            order = np.argsort(row * PARTS + bucket, kind="stable")
+            name = (row * PARTS + bucket)[order]
+            groups = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
+            offsets = pa.array(np.append(groups, len(name)), pa.int32())
+            whose, order = pa.array(name[groups] // PARTS), pa.array(order)
+            part = batch.column("part").to_numpy()[whose.to_numpy()] * (PARTS + 1) + 1 + name[groups] % PARTS
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("lang").take(whose), batch.column("prefix").take(whose), pa.array(part),
+                    pa.array(batch.column("depth").to_numpy()[whose.to_numpy()] + np.int32(1)),
+                    pc.binary_join(pa.ListArray.from_arrays(offsets, flat.take(order)), "\n"),
+                    pa.ListArray.from_arrays(offsets, batch.column("n").flatten().take(order)),
+                ],
+                COLUMNS,
+            )
+
+    return deal
 
 
 def _parts(buf: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -129,45 +201,62 @@ def _words(phrase: Column | str, k: Column | int) -> Column:
 
 
 def build_subtrees(rows: pa.Table, longest: int, least: int) -> pa.RecordBatch:
-    """Nodes (lang, phrase, size, f) with ``least`` or more occurrences in the subtrees of whole prefixes.
+    """Nodes (lang, phrase, size, f, whole) of the subtrees of whole parts of prefixes.
 
-    ``rows``: lang, suffix, n and ``depth``, the number of words of the prefix; shorter
-    phrases are nodes of several groups and left to their sum.
+    Nodes of fewer than ``depth`` words belong to several groups: they are not ``whole``.
+    Of the others, those with ``least`` or more occurrences are shown.
     """
     rows = rows.combine_chunks()
-    lang = rows.column("lang").combine_chunks().dictionary_encode()
-    split = pc.split_pattern(rows.column("suffix").combine_chunks(), " ")
-    held = split.flatten().dictionary_encode()
-    sizes = pc.list_value_length(split).to_numpy()
-    codes = np.full((len(sizes), longest), -1, np.int32)
-    codes[np.arange(longest) < sizes[:, None]] = held.indices.to_numpy()
-    kind = lang.indices.to_numpy()
-    order = np.lexsort((*codes.T[::-1], kind))
-    codes, kind = codes[order], kind[order]
-    n, depth = rows.column("n").to_numpy()[order], rows.column("depth").to_numpy()[order]
+    column = lambda name: rows.column(name).combine_chunks()
+    lang = column("lang").dictionary_encode()
+    lines = pc.split_pattern(column("rest"), "\n")
+    row = np.repeat(np.arange(rows.num_rows), pc.list_value_length(lines).to_numpy())
+    behind = pc.split_pattern(lines.flatten(), " ")
+    blank = pc.equal(lines.flatten(), "").to_numpy(zero_copy_only=False)
+    more = np.where(blank, 0, pc.list_value_length(behind).to_numpy())
+    before = pc.split_pattern(column("prefix"), " ")
+    own = pc.list_value_length(before).to_numpy()
+    tails = behind.flatten()
+    every = pa.concat_arrays([before.flatten(), tails.filter(pc.not_equal(tails, ""))]).dictionary_encode()
+    codes = every.indices.to_numpy()
+    first = np.cumsum(own) - own
+    next_ = int(own.sum()) + np.cumsum(more) - more
+    grid = np.full((len(row), longest), -1, np.int32)
+    for k in range(longest):
+        inside = np.flatnonzero(own[row] > k)
+        grid[inside, k] = codes[first[row[inside]] + k]
+        inside = np.flatnonzero((own[row] <= k) & (own[row] + more > k))
+        grid[inside, k] = codes[next_[inside] + k - own[row[inside]]]
+    kind, depth = lang.indices.to_numpy()[row], rows.column("depth").to_numpy()[row]
+    order = np.lexsort((*grid.T[::-1], kind))
+    grid, kind, depth = grid[order], kind[order], depth[order]
+    n = column("n").flatten().to_numpy()[order]
     new = np.ones(len(n), bool)
     new[1:] = kind[1:] != kind[:-1]
-    out = [], [], [], []
+    out = [], [], [], [], []
     for size in range(1, longest + 1):
-        new[1:] |= codes[1:, size - 1] != codes[:-1, size - 1]
+        new[1:] |= grid[1:, size - 1] != grid[:-1, size - 1]
         at = np.flatnonzero(new)
         total = np.add.reduceat(n, at) if len(at) else n
-        shown = (codes[at, size - 1] >= 0) & (depth[at] <= size) & (total >= least)
+        whole = depth[at] <= size
+        shown = (grid[at, size - 1] >= 0) & ((total >= least) | ~whole)
         at = at[shown]
-        columns = [held.dictionary.take(pa.array(codes[at, k])) for k in range(size)]
+        columns = [every.dictionary.take(pa.array(grid[at, k])) for k in range(size)]
         out[0].append(lang.dictionary.take(pa.array(kind[at])))
         out[1].append(pc.binary_join_element_wise(*columns, " ") if size > 1 else columns[0])
         out[2].append(pa.array(np.full(len(at), size, np.int32)))
         out[3].append(pa.array(total[shown]))
-    return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in out], ["lang", "phrase", "size", "f"])
+        out[4].append(pa.array(whole[shown]))
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in out], ["lang", "phrase", "size", "f", "whole"])
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.Table]:
-    """Groups of whole prefixes, as few as hold ``budget`` rows, from rows sorted by ``place``."""
+    """Groups of whole prefixes, as few as hold ``budget`` suffixes, from rows sorted by ``place``."""
     held, count = [], 0
     for batch in batches:
-        held.append(batch)
-        count += batch.num_rows
+        at = batch.schema.get_field_index("n")
+        held.append(batch.set_column(at, "n", batch.column(at).cast(pa.list_(pa.int64()))))
+        count += len(batch.column(at).flatten())
         if count < budget:
             continue
         table = pa.Table.from_batches(held)
@@ -176,49 +265,63 @@ def _gathered(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.Tab
         if cut:
             yield table.slice(0, cut)
         rest = table.slice(cut)
-        if rest.num_rows >= budget:  # one full-length suffix, met in very many slices of text
-            rest = rest.group_by(["lang", "suffix", "depth", "place"]).aggregate([("n", "sum")])
-            rest = rest.rename_columns([c.removesuffix("_sum") for c in rest.column_names]).select(table.column_names)
-        held, count = rest.to_batches(), rest.num_rows
-    if count:
+        if _many(rest) >= budget:
+            rest = _summed(rest)
+        held, count = rest.to_batches(), _many(rest)
+    if held:
         yield pa.Table.from_batches(held)
 
 
+def _many(rows: pa.Table) -> int:
+    return int(pc.sum(pc.list_value_length(rows.column("n"))).as_py() or 0)
+
+
+def _summed(rows: pa.Table) -> pa.Table:
+    """Each suffix of one place once: they came from very many slices of text."""
+    lines = pc.split_pattern(rows.column("rest").combine_chunks(), "\n")
+    row = pa.array(np.repeat(np.arange(rows.num_rows), pc.list_value_length(lines).to_numpy()))
+    keys = ["lang", "prefix", "part", "depth", "place"]
+    flat = rows.select(keys).take(row).append_column("rest", lines.flatten()).append_column("n", rows.column("n").combine_chunks().flatten())
+    one = flat.group_by([*keys, "rest"]).aggregate([("n", "sum")])
+    n = one.column("n_sum").combine_chunks()
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1), pa.int32()), n)
+    return one.append_column("n", lists).select(rows.column_names)
+
+
 def count_phrases(docs: DataFrame, *, longest: int, least: int, scratch: Scratch, budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, f) of the phrases of 1 to ``longest`` words with ``least`` or more
     occurrences, and (lang, n) with all word occurrences."""
-    leaves = scratch.keep(count_suffixes(docs, longest), "suffixes")
-    placed, open_, shared = leaves.withColumn("depth", F.lit(1)), leaves, []
-    total, words = 0, None
+    leaves = scratch.keep(count_suffixes(docs, longest), "suffixes", compression="zstd")
+    words = leaves.groupBy("lang").agg(F.sum(F.aggregate("n", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("n"))
+    words = scratch.keep(words, "words")
+    rows = F.sum(F.size("n").cast("bigint")).alias("rows")
+    total = leaves.agg(rows).first()[0] or 0
+    limit = min(budget, max(total // SHARE, PACKED))
+    key = ["lang", "prefix", "part"]
+    placed, open_ = None, leaves
     for size in range(1, longest):
-        prefix = _words("suffix", size)
-        level = open_.groupBy("lang", prefix.alias("prefix")).agg(F.count("*").alias("rows"), F.sum("n").alias("f"))
-        level = scratch.keep(level, "prefixes")
-        if words is None:
-            words = level.groupBy("lang").agg(F.sum("f").alias("n"))
-            total = level.agg(F.sum("rows")).first()[0] or 0
-        heavy = level.where(F.col("rows") > budget).select("lang", "prefix", "f")
+        heavy = open_.groupBy(*key).agg(rows).where(F.col("rows") > limit).select(*key)
+        heavy = scratch.keep(heavy, "heavy")
         if heavy.isEmpty():
             break
-        whole = heavy.where(F.size(F.split("prefix", " ")) == size)  # no suffix that ends before
-        shared.append(whole.select("lang", F.col("prefix").alias("phrase"), F.lit(size).alias("size"), "f"))
-        mark = heavy.select("lang", "prefix", F.lit(1).alias("more"))
-        placed = lookup_join(placed.withColumn("prefix", prefix), mark, ["lang", "prefix"])
-        placed = placed.select("lang", "suffix", "n", (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
-        open_ = placed.where(F.col("depth") == size + 1)
-    placed = placed.withColumn("place", F.xxhash64("lang", _words("suffix", F.col("depth"))))
-    spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (4 * budget)))
-    placed = placed.repartition(parts, "place").sortWithinPartitions("place")
+        marked = lookup_join(open_, heavy.withColumn("more", F.lit(True)), key)
+        light = marked.where("more is null").select(*COLUMNS)
+        placed = light if placed is None else placed.unionByName(light)
+        open_ = marked.where("more").select(*COLUMNS).mapInArrow(_dealt(size), ROWS)
+    placed = open_ if placed is None else placed.unionByName(open_)
+    place = F.xxhash64(*key)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (4 * budget)))
+    placed = placed.repartition(parts, place).withColumn("place", place).sortWithinPartitions("place")
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _gathered(batches, budget):
             yield build_subtrees(group, longest, least)
 
-    found = placed.mapInArrow(nodes, "lang string, phrase string, size int, f bigint")
-    for level in shared:
-        found = found.unionByName(level.where(F.col("f") >= least))
-    return scratch.keep(found, "nodes"), scratch.keep(words, "words")
+    found = placed.mapInArrow(nodes, "lang string, phrase string, size int, f bigint, whole boolean")
+    found = scratch.keep(found, "found")
+    scratch.drop(leaves)
+    shared = found.where("not whole").groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    return scratch.keep(found.where("whole").drop("whole").unionByName(shared), "nodes"), words
 
 
 def phrase_collocations(

@@ -22,10 +22,10 @@ class Scratch:
     def path(self, label: str) -> str:
         return f"{self.folder}/{label}-{uuid.uuid4().hex[:8]}"
 
-    def keep(self, df: DataFrame, label: str = "table") -> DataFrame:
+    def keep(self, df: DataFrame, label: str = "table", **options: str) -> DataFrame:
         """Write once and read back: later steps don't compute it again, lost executors or not."""
         path = self.path(label)
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._scratch_path = path
         return back

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import SPACE_RUN, roots
 from llm_rows import words
@@ -56,9 +57,9 @@ def phrase_rows():
     return [*rows, ("en", None), (None, ""), ("fr", " . , ; "), ("en", "one"), ("en", "x " * 3000), ("en", "x " * 3000)]
 
 
-@pytest.mark.parametrize(("longest", "budget"), [(3, 1 << 18), (3, 40), (2, 30), (4, 60)])
+@pytest.mark.parametrize(("longest", "budget"), [(3, 1 << 18), (3, 30), (4, 60)])
 def test_phrases(spark, monkeypatch, longest, budget):
-    monkeypatch.setattr(collocations, "SLICE", 300)  # not seen by other processes, but by the parts below
+    monkeypatch.setattr(collocations, "PACKED", min(budget, 1 << 10))
     rows = phrase_rows()
     docs = spark.createDataFrame([(*r, 1, "f", 2) for r in rows], "lang string, text string, n bigint, phrase string, size int").repartition(3)
     got = collocations.phrase_collocations(docs, longest=longest, least=3, top=25, budget=budget)
@@ -75,9 +76,12 @@ def test_phrases_of_parts_of_a_long_text(monkeypatch):
     found = Counter()
     for a, b in parts:
         assert b == len(buf) or chr(buf[b - 1]) in ".,"
-        _, chars, cuts, counts = collocations._suffixes(buf[a:b], np.array([0, b - a]), np.zeros(1, np.int64), 3)
-        for x, y, n in zip(cuts[:-1], cuts[1:], counts):
-            found[chars[x:y].tobytes().decode()] += int(n)
+        batch = collocations._suffixes(buf[a:b], np.array([0, b - a]), np.zeros(1, np.int64), pa.array(["en"]), 3)
+        for r in batch.to_pylist() if batch else []:
+            lines = r["rest"].split("\n")
+            assert len(lines) == len(r["n"]) <= collocations.PACKED
+            for line, n in zip(lines, r["n"]):
+                found[f"{r['prefix']} {line}".strip()] += n
     want = Counter()
     for piece in re.split("[.,]", text):
         w = piece.split()
