@@ -33,11 +33,11 @@ def _types(*kinds: str) -> Column:
     return F.col("type").isin(*kinds)
 
 
-def with_prior_state(decoded: DataFrame, hot: HotGroups) -> DataFrame:
-    """Each event with the run state all earlier events leave behind."""
+def state_setters() -> dict[str, Column]:
+    """What each kind of event sets in the state of its run; null where it sets nothing."""
     kind = F.col("type")
     to_end = F.col("next_node") == N.END_NODE
-    setters = {
+    return {
         "b_open": F.when(kind == N.ATTEMPT_STARTED, F.struct(F.col("attempt_id").alias("id"))).when(
             _types(*N.ATTEMPT_END_TYPES), F.struct(F.lit(None).cast("string").alias("id"))
         ),
@@ -61,6 +61,11 @@ def with_prior_state(decoded: DataFrame, hot: HotGroups) -> DataFrame:
         "b_version": F.when(kind == N.RUN_STARTED, F.col("workflow_version")),
         "b_failure": F.col("failure"),
     }
+
+
+def with_prior_state(decoded: DataFrame, hot: HotGroups) -> DataFrame:
+    """Each event with the run state all earlier events leave behind."""
+    setters = state_setters()
     peaks = {
         "b_seq": F.col("seq"),
         "b_terminal": F.when(_types(N.RUN_FINISHED, N.RUN_FAILED), True),

@@ -252,6 +252,13 @@ def project(
     owners = _with_ends(events, width, hot).where(
         sound & (kind.isin(N.RUN_STARTED, N.ATTEMPT_STARTED) | effect) & F.col("names")
     )
+    return span_rows(owners, modes, naming)
+
+
+def span_rows(owners: DataFrame, modes: Sequence[str], naming: SpanNaming) -> DataFrame:
+    """The spans of events that own one, given how and when their attempt and run ended."""
+    kind = F.col("type")
+    effect = kind.isin(N.EFFECT_COMPLETED, N.EFFECT_RESOLVED)
     both = owners.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in modes])))
     aware = F.col("mode") == "aware"
     resolved = (kind == N.EFFECT_RESOLVED) & aware

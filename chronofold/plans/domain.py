@@ -28,7 +28,7 @@ from chronofold.plans.relational import (
 )
 from chronofold.plans.scans import FOLD_SQL
 
-def _shown(df):
+def shown(df):
     """Run states without nulls, for comparison."""
     return df.select(
         *[c for c in df.columns if c in ("run_id", "at_seq")],
@@ -69,7 +69,7 @@ FULL_SQL = REPLAY_SQL.replace("o_orderkey * 32 + 2 + o_custkey % 18 as at_seq",
 
 @query("v01_fold", f"with {FULL_SQL} select run_id, {SHOWN_SQL} from shown", on="journal")
 def _(s, d):
-    return _shown(I.states(s, d))
+    return shown(I.states(s, d))
 
 
 def _requests(s, d):
@@ -84,7 +84,7 @@ def replayed(s, d):
 
 @query("v02_replay_of_prefix", f"with {REPLAY_SQL} select run_id, at_seq, {SHOWN_SQL} from shown", on="journal")
 def _(s, d):
-    return _shown(replayed(s, d))
+    return shown(replayed(s, d))
 
 
 @query(
@@ -187,14 +187,9 @@ def _(s, d):
     return rules.select("run_id", F.coalesce("rule", F.lit("none")).alias("rule"), F.coalesce("rule_seq", F.lit(-1)).alias("rule_seq"))
 
 
-@query(
-    "v11_span_projection",
-    """select mode, run_id, identity, name, trace_id, span_id, coalesce(parent_span_id, 'none') as parent_span_id, start_ns, end_ns, status, classification, attributes,
-       coalesce(link_span_id, 'none') as link_span_id from spans""",
-    on="spans",
-)
-def _(s, d):
-    return I.spans(s, d).select(
+def span_columns(spans):
+    """Spans without nulls, for comparison."""
+    return spans.select(
         "mode",
         "run_id",
         "identity",
@@ -211,6 +206,16 @@ def _(s, d):
     )
 
 
+@query(
+    "v11_span_projection",
+    """select mode, run_id, identity, name, trace_id, span_id, coalesce(parent_span_id, 'none') as parent_span_id, start_ns, end_ns, status, classification, attributes,
+       coalesce(link_span_id, 'none') as link_span_id from spans""",
+    on="spans",
+)
+def _(s, d):
+    return span_columns(I.spans(s, d))
+
+
 @query(
     "v12_registered_journal",
     "select run_id, case when tkey = 1 then 'none' when tkey = 14 then 'none' when tkey = 16 then 'source_chain' else 'event_counts' end as broken from (select distinct run_id, tkey from facts)",

@@ -1,25 +1,19 @@
 """Streams over an append-only journal.
 
-Values that only need the latest writer are aggregates ordered by sequence number, so
-they are the same for any arrival order and a run with very many events combines before
-the exchange. Facts that wait for another fact are joins of two streams with a time
-bound, so their state is dropped once the watermark passes.
+Metrics, capture and repeated starts; ``runs.py`` follows runs with keyed state.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from chronofold import names as N
-from chronofold.functions import scalar as X
 from chronofold.functions.stats import latency_bucket
 from chronofold.names import DEFAULT_NAMING, SpanNaming
 from chronofold.operators.admission import judge_starts
-from chronofold.operators.decode import decode
 from chronofold.operators.exports import span_document
 from chronofold.schemas import JOURNAL
 
@@ -37,174 +31,6 @@ def with_event_time(events: DataFrame, watermark: str = WATERMARK, time_ns: str
     )
 
 
-def deduplicated(events: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Each (run, sequence) once while the watermark lasts."""
-    return with_event_time(events, watermark).dropDuplicatesWithinWatermark(["run_id", "seq"])
-
-
-def run_states(events: DataFrame) -> DataFrame:
-    """The state of each run as it grows (update mode), whatever order events arrive in."""
-    kind = F.col("type")
-    rows = decode(events)
-
-    def latest(value: Column, when: Column) -> Column:
-        return F.max_by(value, F.when(when, F.col("seq")))
-
-    ends = kind.isin(*N.ATTEMPT_END_TYPES)
-    status = (
-        F.when(kind.isin(N.ATTEMPT_FAILED, N.APPROVAL_DENIED), "failed")
-        .when(kind == N.AWAITING_APPROVAL, "awaiting_approval")
-        .when(kind == N.APPROVAL_GRANTED, "running")
-        .when(kind == N.RUN_FINISHED, "finished")
-    )
-    moves = kind.isin(N.RUN_STARTED, N.ACTIVATION_FINISHED)
-    onward = kind == N.ACTIVATION_FINISHED
-    node = F.when(onward, F.col("next_node")).otherwise(F.col("start_node"))
-    activation = F.when(onward, F.col("next_activation")).otherwise(F.col("start_activation"))
-    grants = kind.isin(N.APPROVAL_GRANTED, N.ACTIVATION_FINISHED)
-    return (
-        rows.groupBy("run_id")
-        .agg(
-            latest(F.col("workflow_version"), kind == N.RUN_STARTED).alias("workflow_version"),
-            F.coalesce(latest(status, status.isNotNull()), F.lit("running")).alias("status"),
-            latest(F.struct(node.alias("node"), activation.alias("activation")), moves).alias("at"),
-            latest(
-                F.struct(F.when(ends, F.lit(None)).otherwise(F.col("attempt_id")).alias("id")),
-                ends | (kind == N.ATTEMPT_STARTED),
-            ).alias("open"),
-            F.coalesce(latest(kind == N.APPROVAL_GRANTED, grants), F.lit(False)).alias("approval_granted"),
-            latest(F.col("failure"), F.col("failure").isNotNull()).alias("failure_reason"),
-            F.count_if(kind == N.EFFECT_INTENT).alias("intents"),
-            F.count_if(kind == N.EFFECT_COMPLETED).alias("completions"),
-            F.max("seq").alias("last_seq"),
-        )
-        .select(
-            "run_id",
-            "workflow_version",
-            "status",
-            F.col("at.node").alias("next_node"),
-            F.col("at.activation").alias("activation_id"),
-            F.col("open.id").alias("open_attempt_id"),
-            "approval_granted",
-            F.when(F.col("status") == "failed", F.col("failure_reason")).alias("failure_reason"),
-            (F.col("intents") - F.col("completions")).alias("open_intents"),
-            "last_seq",
-        )
-    )
-
-
-def _spans(
-    rows: DataFrame, mode: str, naming: SpanNaming, identity: Column, name: Column, parent: Column | None, start: Column, end: Column, kind: str
-) -> DataFrame:
-    run, m = F.col("run_id"), F.lit(mode)
-    parent_id = X.span_id(run, m, parent, naming) if parent is not None else F.lit(None).cast("string")
-    return rows.select(
-        m.alias("mode"),
-        "run_id",
-        identity.alias("identity"),
-        name.alias("name"),
-        X.trace_id(run, m, naming).alias("trace_id"),
-        X.span_id(run, m, identity, naming).alias("span_id"),
-        parent_id.alias("parent_span_id"),
-        start.alias("start_time_ns"),
-        end.alias("end_time_ns"),
-        F.lit(kind).alias("classification"),
-    )
-
-
-def live_spans(
-    events: DataFrame,
-    mode: str = "aware",
-    *,
-    naming: SpanNaming = DEFAULT_NAMING,
-    watermark: str = WATERMARK,
-    longest: str | None = None,
-) -> DataFrame:
-    """Each span once, as soon as its last fact is in.
-
-    Effect spans need one event. An attempt or run span joins its start with its end, kept
-    until that comes; ``longest`` bounds the wait, and the state, at the price of spans
-    that last longer. Ids are derived, so a replayed batch writes the same spans.
-    """
-    rows = with_event_time(decode(events), watermark, "time_ns")
-    kind, seq = F.col("type"), F.col("seq").cast("string")
-    a = naming.attribute
-    attempt = F.concat(F.lit("attempt:"), F.col("attempt_id"))
-    done = rows.where(kind == N.EFFECT_COMPLETED)
-    back = rows.where(kind == N.EFFECT_RESOLVED)
-    word = "resolve" if mode == "aware" else "execute"
-    executed = _spans(
-        done, mode, naming, F.concat(F.lit("effect-execute:"), seq),
-        F.concat(F.lit(f"{a}.effect.execute "), "label"), attempt, F.col("started_at_ns"), F.col("ended_at_ns"), "executed",
-    )
-    resolved = _spans(
-        back, mode, naming, F.concat(F.lit(f"effect-{word}:"), seq),
-        F.concat(F.lit(f"{a}.effect.{word} "), "label"), attempt, F.col("started_at_ns"), F.col("ended_at_ns"),
-        "resolved" if mode == "aware" else "executed",
-    )
-
-    def paired(starts: Column, ends: Column, key: list[str]) -> DataFrame:
-        opened = rows.where(starts).select(
-            *key, "node", F.col("time_ns").alias("begin_ns"), F.col("event_time").alias("begin_time")
-        )
-        closed = rows.where(ends).select(
-            *[F.col(k).alias(f"end_{k}") for k in key], F.col("time_ns").alias("finish_ns"), F.col("event_time").alias("finish_time")
-        )
-        on = F.expr("finish_time >= begin_time")
-        if longest is not None:
-            on = on & F.expr(f"finish_time <= begin_time + interval {longest}")
-        for k in key:
-            on = on & (F.col(k) == F.col(f"end_{k}"))
-        return opened.join(closed, on)
-
-    attempts = _spans(
-        paired(kind == N.ATTEMPT_STARTED, kind.isin(*N.ATTEMPT_END_TYPES), ["run_id", "attempt_id"]),
-        mode, naming, attempt, F.concat(F.lit(f"{a}.activation "), "node"), F.lit("run"),
-        F.col("begin_ns"), F.col("finish_ns"), "structural",
-    )
-    runs = _spans(
-        paired(kind == N.RUN_STARTED, kind.isin(N.RUN_FINISHED, N.RUN_FAILED), ["run_id"]),
-        mode, naming, F.lit("run"), F.lit(f"{a}.run"), None, F.col("begin_ns"), F.col("finish_ns"), "structural",
-    )
-    return executed.unionByName(resolved).unionByName(attempts).unionByName(runs)
-
-
-def open_attempts(events: DataFrame, *, watermark: str = WATERMARK, timeout: str = "1 hour") -> DataFrame:
-    """Attempts with no end within ``timeout``, reported once the watermark is past it."""
-    rows = with_event_time(events, watermark)
-    kind = F.col("type")
-    started = rows.where(kind == N.ATTEMPT_STARTED).select(
-        "run_id", "attempt_id", "seq", F.col("event_time").alias("begin_time")
-    )
-    ended = rows.where(kind.isin(*N.ATTEMPT_END_TYPES)).select(
-        F.col("run_id").alias("end_run"), F.col("attempt_id").alias("end_attempt"), F.col("event_time").alias("end_time")
-    )
-    on = F.expr(
-        "run_id = end_run and attempt_id = end_attempt "
-        f"and end_time >= begin_time and end_time <= begin_time + interval {timeout}"
-    )
-    return started.join(ended, on, "leftOuter").where("end_run is null").select("run_id", "attempt_id", "seq")
-
-
-def readback(sent: DataFrame, received: DataFrame, *, watermark: str = WATERMARK, deadline: str = "30 seconds") -> DataFrame:
-    """Sent spans with ``verified``; a span not read back before the deadline fails.
-
-    Both sides: span_id, trace_id, name and a ``time`` column.
-    """
-    s = sent.withWatermark("time", watermark).select("trace_id", "span_id", "name", F.col("time").alias("sent_time"))
-    r = received.withWatermark("time", watermark).select(
-        F.lower("trace_id").alias("r_trace"), F.lower("span_id").alias("r_span"), F.col("name").alias("r_name"), F.col("time").alias("got_time")
-    )
-    on = F.expr(
-        "trace_id = r_trace and span_id = r_span "
-        f"and got_time >= sent_time and got_time <= sent_time + interval {deadline}"
-    )
-    joined = s.join(r, on, "leftOuter")
-    return joined.select(
-        "trace_id", "span_id", (F.col("r_span").isNotNull() & F.col("name").eqNullSafe(F.col("r_name"))).alias("verified")
-    )
-
-
 def span_metrics(spans: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     """Latency histogram per minute; in append mode each minute is sent once (delta)."""
     timed = with_event_time(spans, watermark, "end_time_ns")

@@ -3,9 +3,11 @@
 import __spark_entry__ as entry
 import duckdb
 import pytest
-from pyspark.sql.streaming.readwriter import DataStreamReader
+from pyspark.sql import functions as F
 
-from chronofold.plans import streams
+from chronofold.functions.storage import fresh_path
+from chronofold.plans import inputs, streams
+from chronofold.streaming import runs
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
@@ -41,13 +43,23 @@ def test_query(spark, sf, duck, name):
     assert rows == sorted(tuple(plain(r[i]) for i in places) for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n[:3] in ("t02", "t03", "t05", "t06", "t07")])
-def test_rows_of_many_files_are_not_late(spark, sf, duck, name, monkeypatch):
-    """More files than a batch may have, if it has a limit: the limit is made 2 here."""
-    option, as_stream = DataStreamReader.option, streams.as_stream
-    monkeypatch.setattr(DataStreamReader, "option", lambda r, k, v: option(r, k, min(v, 2) if k == "maxFilesPerTrigger" else v))
-    monkeypatch.setattr(streams, "as_stream", lambda s, rows, *limit: as_stream(s, rows.repartition(6), *limit))
-    test_query(spark, sf, duck, name)
+def test_streams_take_many_batches_and_drop_state(spark, sf):
+    """Runs come in two batches each, era after era; values and facts go when runs end."""
+    runs.prepare(spark)
+    stream, delay = streams.two_visits(spark, sf)
+    out, check = fresh_path(spark, "many"), fresh_path(spark, "many-state")
+    rows = runs.follow_runs(stream, watermark=delay).select("kind", "run_id", "seq")
+    query = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
+    query.awaitTermination()
+    with_rows = [p for p in query.recentProgress if p.numInputRows]
+    assert len(with_rows) > 5
+    held = [p.stateOperators[0].numRowsTotal for p in query.recentProgress]
+    assert max(held) > 500 and held[-1] < 10
+    assert all(held[2 * era + 1] < held[2 * era] / 2 for era in range(streams.ERAS))
+    found = {r["kind"]: r["n"] for r in spark.read.parquet(out).groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    journal = inputs.journal(spark, sf)
+    assert found[runs.EVENT] == journal.count() + 1 and runs.LATE not in found
+    assert found[runs.ENDED] >= journal.select("run_id").distinct().count()
 
 
 def test_entry(spark):
