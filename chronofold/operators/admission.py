@@ -9,8 +9,6 @@ from chronofold import names as N
 from chronofold.functions import scalar as X
 from chronofold.functions.joins import lookup_join, skew_join
 from chronofold.functions.running import hot_groups
-from chronofold.functions.storage import cut
-from chronofold.sources.journal import with_sequence
 
 
 def admit_events(requests: DataFrame, runs: DataFrame) -> DataFrame:
@@ -29,20 +27,6 @@ def admit_events(requests: DataFrame, runs: DataFrame) -> DataFrame:
     return joined.withColumn("reason", reason).drop("run_version")
 
 
-def append_events(
-    requests: DataFrame, runs: DataFrame, journal: str, quarantine: str, *, start: int, order: list[str]
-) -> None:
-    """Judge append requests, number the accepted ones from ``start`` in ``order`` and write
-    them to ``journal``; the others go to ``quarantine`` with their reason.
-
-    The judged batch is written once, so both outputs come from the same rows.
-    """
-    judged = cut(admit_events(requests.drop("seq"), runs))
-    accepted = with_sequence(judged.where("reason is null").drop("reason"), start, order)
-    accepted.write.mode("append").parquet(journal)
-    judged.where("reason is not null").write.mode("append").parquet(quarantine)
-
-
 def begin_runs(requests: DataFrame, runs: DataFrame, events: DataFrame) -> DataFrame:
     """``run_started`` facts for the runs that exist neither as run nor as events.
 

@@ -47,8 +47,12 @@ def _types_with(table: dict[str, tuple[str, ...]], field: str) -> list[str]:
 
 
 def public_payload(payload: str = "payload") -> Column:
-    """JSON text of the public payload. A field present as null stays, an absent one does not."""
-    value = lambda f: F.variant_get(F.parse_json(payload), f"$.{f}", "variant")
+    """JSON text of the public payload. A field present as null stays, an absent one does not.
+
+    A payload that is no JSON has no public form: null.
+    """
+    whole = F.try_parse_json(payload)
+    value = lambda f: F.variant_get(whole, f"$.{f}", "variant")
     fields = sorted({f for t in (PUBLIC_FIELDS, MASKED_FIELDS) for fs in t.values() for f in fs})
     parts = []
     for field in fields:
@@ -61,16 +65,23 @@ def public_payload(payload: str = "payload") -> Column:
                 F.col("type").isin(*masked) & value(field).isNotNull(), F.parse_json(F.lit(MASK))
             )
         parts.append(column.alias(field))
-    return F.to_json(F.struct(*parts))
+    return F.when(F.col(payload).isNull() | whole.isNotNull(), F.to_json(F.struct(*parts)))
+
+
+UNREADABLE = "(unreadable)"
 
 
 def unmasked_fields(events: DataFrame, payload: str = "payload") -> DataFrame:
-    """Sensitive fields that are present and not exactly the mask, one row each."""
-    v = F.parse_json(payload)
+    """Sensitive fields that are present and not exactly the mask, one row each.
+
+    A payload that is no JSON may hold anything: one row with UNREADABLE.
+    """
+    v = F.try_parse_json(payload)
     found = F.array(
         *[
             F.when(F.to_json(F.variant_get(v, f"$.{f}", "variant")) != MASK, F.lit(f))
             for f in SENSITIVE_FIELDS
-        ]
+        ],
+        F.when(F.col(payload).isNotNull() & v.isNull(), F.lit(UNREADABLE)),
     )
     return events.withColumn("field", F.explode(F.array_compact(found)))

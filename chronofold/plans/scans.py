@@ -11,6 +11,7 @@ from chronofold.operators.projection import effect_counts
 from chronofold.plans import inputs as I
 from chronofold.plans.registry import query
 from chronofold.schemas import JOURNAL, JOURNAL_V1
+from chronofold.sources.commits import AppendConflict, CommittedJournal
 from chronofold.sources import journal as J
 
 
@@ -207,7 +208,7 @@ def _(s, d):
     "k01_append_admission",
     """with j as (select seq, case when k % 9 = 1 then 'unregistered_run' when k % 9 = 2 then 'empty_run_id' when k % 9 = 3 then 'unsupported_schema'
          when k % 9 = 4 then 'bad_time' when k % 9 = 5 then 'payload_not_object' else 'accepted' end as reason from facts)
-       select seq as request_seq, reason, case when reason = 'accepted' then 1000 + row_number() over (partition by reason order by seq) - 1 else -1 end as seq from j""",
+       select seq as request_seq, reason, case when reason = 'accepted' then 1000 + row_number() over (partition by reason order by (seq // 32) % 2, seq) - 1 else -1 end as seq from j""",
     on="journal",
 )
 def _(s, d):
@@ -221,10 +222,19 @@ def _(s, d):
         }
     )
     known = I.runs(s, d).withColumn("schema_version", F.when(I.order_key() % 9 == 3, 1).otherwise(F.col("schema_version")))
-    journal, aside = fresh_path(s, "journal"), fresh_path(s, "quarantine")
-    admission.append_events(rows.withColumn("request_seq", F.col("seq")), known, journal, aside, start=1_000, order=["request_seq"])
-    written = s.read.parquet(journal).select("request_seq", F.lit("accepted").alias("reason"), "seq")
-    return written.unionByName(s.read.parquet(aside).select("request_seq", "reason", F.lit(-1).cast("bigint").alias("seq")))
+    rows = rows.withColumn("request_seq", F.col("seq"))
+    log = CommittedJournal(s, fresh_path(s, "committed"), first=1_000)
+    parts = {name: rows.where(F.expr("(request_seq div 32) % 2") == i) for i, name in enumerate(("even", "odd"))}
+    log.append(parts["even"], known, batch_id="even", expected=1_000, order=["request_seq"])
+    _, end = log.end()
+    log.append(parts["even"], known, batch_id="even", expected=end, order=["request_seq"])  # again: nothing changes
+    try:
+        log.append(parts["odd"], known, batch_id="odd", expected=1_000, order=["request_seq"])
+        raise RuntimeError("an append behind the journal's end must be refused")
+    except AppendConflict:
+        log.append(parts["odd"], known, batch_id="odd", expected=end, order=["request_seq"])
+    written = log.journal().select("request_seq", F.lit("accepted").alias("reason"), "seq")
+    return written.unionByName(log.quarantine().select("request_seq", "reason", F.lit(-1).cast("bigint").alias("seq")))
 
 
 @query(
