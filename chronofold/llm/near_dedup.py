@@ -243,7 +243,8 @@ def near_duplicates(
     A-Z are lower-cased; words are runs without ASCII white space; a text of fewer than
     ``k`` words is one shingle, a text without words (or null) has none and no link.
     component_id is the smallest doc_id reachable over links of at least ``threshold``.
-    Repeated rows get equal results; rows that share a doc_id share its links; a row whose
+    Repeated rows get equal results; rows that share a doc_id share its links, also those that
+    another text under that doc_id has; a row whose
     doc_id is null is linked with nothing, has no component_id and is kept. An empty table
     gives no rows; other columns are not read.
     """
@@ -252,6 +253,11 @@ def near_duplicates(
     sound = signed.where("doc_id is not null and n > 0")
     nodes = sound.groupBy("digest").agg(F.min("doc_id").alias("node"))
     found = sound.join(nodes.withColumnRenamed("node", "doc_id"), ["doc_id", "digest"])
+    # An id of several texts ties their sets: each is named by its least id, which may be another's.
+    several = sound.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
+    several = scratch.keep(several.where("low <> high").select("doc_id"), "several")
+    tied = sound.select("doc_id", "digest").join(several, "doc_id").join(nodes, "digest").where("doc_id <> node")
+    tied = tied.select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
     unique = scratch.keep(found.withColumnRenamed("doc_id", "node").dropDuplicates(["node", "digest"]), "nodes")
 
     banded = unique.select("node", F.posexplode("bands").alias("place", "band"))
@@ -280,7 +286,7 @@ def near_duplicates(
     rated = rated.where(possible).select(hubs.node, "hub", differ.alias("differ"))
     best = rated.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("differ", "hub"))).where("r <= 3")
     first = best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    links = scratch.keep(_confirm(first, sets, threshold), "links")
+    links = scratch.keep(_confirm(first, sets, threshold).unionByName(tied), "links")
     grouped = scratch.keep(components(links, scratch), "grouped")
 
     known = unique.select("node", "n", "bands", *[f"s{i}" for i in range(BITS)])

@@ -184,10 +184,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = TRAINING_ROWS) -> Mod
     return Model(vectors, train(x[order], y[order]))
 
 
-def score_texts(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a score between 0 and 1 from the text alone; null and empty included."""
-    if "score" in docs.columns:
-        docs = docs.drop("score")
+def score_texts(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
+    """``docs`` with a score between 0 and 1 from the text alone; null and empty included.
+
+    A column that ``docs`` has under the name of the score is replaced.
+    """
+    docs = docs.drop(column)
     names = docs.columns
     at = names.index("text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
@@ -197,9 +199,9 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
             for lo, hi, unit, first in _texts(batch, at):
                 got = model.network.score(pooled(unit, first, model.vectors))
                 columns = [c.slice(lo, hi - lo) for c in batch.columns]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(got)], [*names, "score"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(got)], [*names, column])
 
-    return docs.mapInArrow(score, f"{schema}, score double")
+    return docs.mapInArrow(score, f"{schema}, `{column}` double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

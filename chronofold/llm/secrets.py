@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronofold.llm.columns import spare_name
 from chronofold.llm.scratch import Scratch
 
 
@@ -143,20 +144,21 @@ def redact_documents(docs: DataFrame, rules: Sequence[Rule] = RULES, mask: str =
     """``docs`` with every found span of ``text`` replaced by ``mask``; other columns stay.
 
     Spans that touch or overlap become one mask. Texts without a hit, null ones included,
-    stay as they are.
+    stay as they are; columns of any names come back as they were. An empty table gives no rows.
     """
+    key, place = spare_name(docs.columns, "_blob"), spare_name(docs.columns, "_spans")
     hits = scan_blobs(unseen_blobs(docs, rules), rules)
     before = Window.partitionBy("blob").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     runs = hits.withColumn("new", (F.col("start") > F.coalesce(F.max("end").over(before), F.lit(-1))).cast("int"))
     upto = Window.partitionBy("blob").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
     runs = runs.withColumn("run", F.sum("new").over(upto))
     spans = runs.groupBy("blob", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    spans = spans.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    spans = spans.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(place))
     spans = Scratch(docs.sparkSession).keep(spans, "findings")
     far = (1 << 31) - 1
-    lows = F.concat(F.array(F.lit(0).cast("bigint")), F.col("_spans.end"))
-    highs = F.concat(F.col("_spans.start"), F.array(F.lit(far).cast("bigint")))
+    lows = F.concat(F.array(F.lit(0).cast("bigint")), F.col(f"{place}.end"))
+    highs = F.concat(F.col(f"{place}.start"), F.array(F.lit(far).cast("bigint")))
     kept = F.zip_with(lows, highs, lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), F.least(b - a, F.lit(far)).cast("int")))
-    marked = docs.withColumn("_blob", blob_id(F.col("text"))).join(spans.withColumnRenamed("blob", "_blob"), "_blob", "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(kept, mask))
+    marked = docs.withColumn(key, blob_id(F.col("text"))).join(spans.select(F.col("blob").alias(key), place), key, "left")
+    text = F.when(F.col(place).isNull(), F.col("text")).otherwise(F.array_join(kept, mask))
     return marked.withColumn("text", text).select(*docs.columns)

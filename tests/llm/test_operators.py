@@ -389,6 +389,15 @@ def test_near_duplicates_of_odd_texts(edge_docs, no_docs, k, top, bottom):
     assert near_dedup.near_duplicates(no_docs).count() == 0
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (3, b), (9, c), (8, c), (9, a), (7, "lone text"), (7, None), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = rows_of(near_dedup.near_duplicates(docs, k=5))
+    assert got == sorted(near_duplicates(rows, 5, 4, 5), key=repr)
+    assert {r[2] for r in got if r[0] in (3, 5, 8, 9)} == {3}
+
+
 def test_near_duplicates_in_a_large_group(spark):
     """Copies with more and fewer edits: many pairs just above and just below the threshold."""
     draw = random.Random(5)

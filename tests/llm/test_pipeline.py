@@ -68,7 +68,31 @@ def test_packing_stage_and_run(spark, sf, outputs):
     assert sorted(tuple(r) for r in got) == want
     assert outputs[5].groupBy("sequence_id").sum("length").where("`sum(length)` > 4096").count() == 0
     run = corpus_pipeline.run(spark, sf).select("doc_id", "piece", "start", "length", "ids_crc32")
-    assert run.exceptAll(outputs[5].select(*run.columns)).isEmpty()
+    staged = outputs[5].select(*run.columns)
+    assert run.exceptAll(staged).isEmpty() and staged.exceptAll(run).isEmpty()
+
+
+def test_texts_under_one_id_are_judged_apart(spark, sf):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    leak = spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    docs = spark.createDataFrame([(5, a), (5, b), (3, b), (5, a), (6, leak), (6, a + " more")], "doc_id bigint, text string")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, sf).collect()
+    assert sorted((r["doc_id"], r["text"][:2]) for r in kept if r["text"] != leak)[:1] == [(3, "b0")]
+    assert sum(r["text"].startswith("a0") for r in kept) == 1 and sum(r["text"].startswith("b0") for r in kept) == 1
+    clean = corpus_pipeline.drop_benchmark_copies(spark, docs, sf).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in clean) == sorted([(5, a), (5, b), (3, b), (5, a), (6, a + " more")])
+
+
+def test_columns_with_names_of_our_own_stay(spark, sf):
+    row = (1, 'some plain text with password = "abcdefghijklmnop" in it', 17, "mine", "mine", "mine", 0.25, "mine")
+    names = "doc_id bigint, text string, n_chars int, _text string, _blob string, _spans string, score double, _key string"
+    docs = spark.createDataFrame([row], names)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        assert all(tuple(r)[3:] == row[3:] for r in out.collect())
+    masked = corpus_pipeline.mask_secrets(spark, docs, sf).first()
+    assert "[SECRET]" in masked["text"] and masked["n_chars"] == len(masked["text"])
 
 
 def test_stages_on_odd_tables(spark, sf, edge_docs, no_docs):
