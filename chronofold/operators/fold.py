@@ -13,6 +13,9 @@ from chronofold.operators import lookups as L
 
 RULE_SLOTS = 64
 
+AFTER = ("a_open", "a_status", "a_granted", "a_at", "a_version", "a_failure")
+"""What the events of a run up to one of them leave behind."""
+
 
 def pack(rule: Column) -> Column:
     """Event position and rule number in one integer, so a plain min finds the first."""
@@ -210,15 +213,7 @@ def fold(
     """One row per run: final state when valid, else the first broken rule and its seq."""
     hot = hot or hot_groups(events, ["run_id"], width)
     state = _with_graph(with_prior_state(D.decode(events), hot), nodes)
-    final = F.struct(
-        F.coalesce("a_status", F.lit("running")).alias("status"),
-        F.col("a_at.node").alias("next_node"),
-        F.nullif(F.col("a_at.act"), F.lit("")).alias("activation_id"),
-        F.col("a_open.id").alias("open_attempt_id"),
-        F.coalesce("a_granted", F.lit(False)).alias("approval_granted"),
-        F.when(F.col("a_status") == "failed", F.col("a_failure")).alias("failure_reason"),
-        F.col("a_version").alias("workflow_version"),
-    )
+    final = F.struct(*[F.col(c) for c in AFTER])
     judged = state.select(
         "run_id",
         "seq",
@@ -239,12 +234,27 @@ def fold(
         F.count_if("names").alias("n_events"),
         F.count_if(F.col("type") == N.ACTIVATION_FINISHED).alias("n_completed"),
     )
+    return shown_states(per_run)
+
+
+def shown_states(per_run: DataFrame) -> DataFrame:
+    """Rows (run_id, packed, final, n_events, n_completed) as the fold shows them; ``final`` holds AFTER."""
     ok = F.col("packed").isNull()
+    status = F.coalesce("final.a_status", F.lit("running"))
+    shown = {
+        "workflow_version": F.col("final.a_version"),
+        "status": status,
+        "next_node": F.col("final.a_at.node"),
+        "activation_id": F.nullif(F.col("final.a_at.act"), F.lit("")),
+        "open_attempt_id": F.col("final.a_open.id"),
+        "approval_granted": F.coalesce("final.a_granted", F.lit(False)),
+        "failure_reason": F.when(status == "failed", F.col("final.a_failure")),
+    }
     return per_run.select(
         "run_id",
         rule_name("E").alias("rule"),
         F.expr(f"packed div {RULE_SLOTS}").alias("rule_seq"),
-        *[F.when(ok, F.col(f"final.{c}")).alias(c) for c in STATE_COLUMNS],
+        *[F.when(ok, shown[c]).alias(c) for c in STATE_COLUMNS],
         F.when(ok, F.col("n_completed")).alias("n_completed"),
         "n_events",
     )

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from chronofold import names as N
 from chronofold.functions import scalar as X
 from chronofold.functions import stats
-from chronofold.functions.storage import cut
-from chronofold.operators import admission, artifacts, documents, effects, exports, graph, readback, redaction, registered, state, trees
+from chronofold.functions.storage import cut, fresh_path
+from chronofold.operators import admission, artifacts, documents, effects, exports, graph, readback, redaction, registered, state, stored_states, trees
 from chronofold.operators.projection import attributes_json, project, projection_rules
 from chronofold.plans import inputs as I
 from chronofold.plans.registry import query
@@ -87,6 +87,16 @@ def _(s, d):
     return shown(replayed(s, d))
 
 
+@query("v02_replay_from_states", f"with {REPLAY_SQL} select run_id, at_seq, {SHOWN_SQL} from shown", on="journal")
+def _(s, d):
+    """Slots of 8 sequence numbers, so that most requests of these short runs begin at a state."""
+    journal, nodes = I.journal(s, d), I.graph_nodes(s)
+    folder = fresh_path(s, "states")
+    stored_states.store_states(journal, nodes, every=8).write(folder)
+    stored = stored_states.StoredStates.read(s, folder, 8)
+    return shown(stored_states.replay_from_states(journal, _requests(s, d), nodes, stored))
+
+
 @query(
     "v03_resume_plan",
     f"""with {REPLAY_SQL}, steps as (select *, workflow = 'gated/v1' and next_node = 'settle' and not granted as gated from shown where rule is null)
