@@ -170,7 +170,7 @@ def _(s, d):
 
 @query("op10_benchmark_decontamination")
 def _(s, d):
-    return decontaminate.find_copies(table(s, d, "documents"), table(s, d, "benchmark"))
+    return decontaminate.find_copies(table(s, d, "documents"), table(s, d, "benchmark"), least_words=1)
 
 
 @query(

@@ -481,9 +481,9 @@ def _edited(item, every, how, filler):
     return out
 
 
-@pytest.mark.parametrize("held", [1 << 21, 7])
-def test_edited_copies_equal_alignment_of_every_document_with_every_item(spark, monkeypatch, held):
-    monkeypatch.setattr(decontaminate, "SEEDS", held, raising=False)
+@pytest.mark.parametrize("listed", [512, 2])
+def test_edited_copies_equal_alignment_of_every_document_with_every_item(spark, monkeypatch, listed):
+    monkeypatch.setattr(decontaminate, "LIST_ITEMS", listed)
     draw = random.Random(5)
     filler = (f"new{i}" for i in range(10_000))
     items = [[f"w{draw.randrange(90)}" for _ in range(n)] for n in (3, 4, 5, 15, 24, 37, 59)]
@@ -510,12 +510,27 @@ def test_edited_copies_equal_alignment_of_every_document_with_every_item(spark,
     assert decontaminate.find_copies(few, tests).count() == 0
 
 
-def test_many_items_go_in_chunks(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "CHUNK_BYTES", 200)
-    items = [(i, " ".join(f"q{i}w{j}" for j in range(20))) for i in range(20)]
-    docs = spark.createDataFrame([(i, f"pre {t} post") for i, t in items], "doc_id bigint, text string")
-    got = decontaminate.find_copies(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()
-    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(i, i) for i in range(20)]
+def test_items_of_one_and_two_words_stand_whole(spark):
+    items = spark.createDataFrame([(1, "Zyx"), (2, "alpha beta"), (3, "alpha gamma"), (1, "zyx")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "a zyx, b zyx"), (2, "Alpha (beta)"), (3, "beta alpha"), (3, "alpha gamma"), (3, "alpha gamma")], "doc_id bigint, text string")
+    got = decontaminate.find_copies(docs, items, least_words=1)
+    assert Counter((r["doc_id"], r["item_id"], r["first_word"], r["end_word"]) for r in got.collect()) == {
+        (1, 1, 1, 2): 2, (1, 1, 3, 4): 2, (2, 2, 0, 2): 1, (3, 3, 0, 2): 2
+    }
+    assert decontaminate.find_copies(docs, items).count() == 0
+
+
+def test_frequent_seeds_are_left_out_and_need_less(spark):
+    item = [f"q{j}" for j in range(40)]
+    items = spark.createDataFrame([(0, 0, " ".join(item))], "iu bigint, iv bigint, text string")
+    seeds = decontaminate.item_seeds(items, 0.5)
+    texts = [" ".join(item[i : i + 2]) for i in range(30)] + [" ".join(item[:5])] * 50
+    wanted = decontaminate.KeyFilter(seeds.select("key").distinct())
+    counts = decontaminate.document_counts(spark.createDataFrame([(t,) for t in texts], "text string"), wanted)
+    assert sorted(r["docs"] for r in counts.collect()) == [1] * 26 + [51] * 4
+    rare = decontaminate.rare_seeds(seeds, counts).collect()
+    # Of a need of 37 six pairs may go: four frequent ones and two of the others.
+    assert len(rare) == 24 and {r["need"] for r in rare} == {37 - 6 * 3}
 
 
 # Words
