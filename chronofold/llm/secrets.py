@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronofold.llm.columns import spare_name
@@ -42,6 +42,8 @@ RULES = (
     Rule("hex", "[0-9a-f]{16,}", 0, 16),  # the runs of 16 and more, without an array of all shorter ones
 )
 
+LEDGER = "blob string, kind string, version int, spans array<struct<start:bigint,end:bigint>>"
+
 
 def blob_id(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
@@ -59,10 +61,10 @@ def _hits(text: Column, rule: Rule) -> Column:
     return F.when(F.regexp_like(text, F.lit(rule.pattern)), rows)
 
 
-def scan_blobs(blobs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """(blob, kind, version, start, end) of the hits in ``blobs`` (blob, text, todo).
+def _scan_pairs(blobs: DataFrame, rules: Sequence[Rule], every: bool) -> DataFrame:
+    """(blob, kind, version, start, end, counts) of all matches in ``blobs`` (blob, text, todo).
 
-    ``todo`` lists the kinds to scan. Code points from 0; end is exclusive.
+    ``every`` gives pairs without a match a row of nulls.
     """
     scans = F.array(
         *[
@@ -75,12 +77,23 @@ def scan_blobs(blobs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
             for r in rules
         ]
     )
-    rows = blobs.select("blob", F.explode(scans).alias("s")).where("s.hits is not null")
-    rows = rows.select("blob", "s.kind", "s.version", "s.least", F.posexplode("s.hits").alias("n", "hit"))
+    rows = blobs.select("blob", "todo", F.explode(scans).alias("s"))
+    rows = rows.where(F.array_contains("todo", F.col("s.kind")) if every else "s.hits is not null")
+    hits = (F.posexplode_outer if every else F.posexplode)("s.hits").alias("n", "hit")
+    rows = rows.select("blob", "s.kind", "s.version", "s.least", hits)
     order = Window.partitionBy("blob", "kind").orderBy("n")
     end = F.sum(F.expr("cast(hit.gap + hit.width as bigint)")).over(order)
-    rows = rows.select("*", end.alias("end")).where("hit.held >= least")
-    return rows.select("blob", "kind", "version", (F.col("end") - F.col("hit.width")).alias("start"), "end")
+    return rows.select(
+        "blob", "kind", "version", (end - F.col("hit.width")).alias("start"), end.alias("end"), F.expr("hit.held >= least").alias("counts")
+    )
+
+
+def scan_blobs(blobs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """(blob, kind, version, start, end) of the hits in ``blobs`` (blob, text, todo).
+
+    ``todo`` lists the kinds to scan. Code points from 0; end is exclusive.
+    """
+    return _scan_pairs(blobs, rules, every=False).where("counts").drop("counts")
 
 
 def unseen_blobs(docs: DataFrame, rules: Sequence[Rule], ledger: DataFrame | None = None) -> DataFrame:
@@ -97,28 +110,36 @@ def unseen_blobs(docs: DataFrame, rules: Sequence[Rule], ledger: DataFrame | Non
 
 def ledger_rows(blobs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """What a scan adds to a ledger: blob, kind, version, spans; one row per pair scanned."""
-    hits = scan_blobs(blobs, rules).groupBy("blob", "kind").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    every = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
-    pairs = blobs.select("blob", F.explode(F.filter(every, lambda r: F.array_contains("todo", r["kind"]))).alias("r"))
-    pairs = pairs.select("blob", "r.kind", "r.version").join(hits, ["blob", "kind"], "left")
-    none = F.from_json(F.lit("[]"), "array<struct<start:bigint,end:bigint>>")
-    return pairs.withColumn("spans", F.coalesce(F.array_sort("spans"), none))
+    spans = F.collect_list(F.when(F.col("counts"), F.struct("start", "end")))  # without nulls
+    return _scan_pairs(blobs, rules, every=True).groupBy("blob", "kind", "version").agg(F.array_sort(spans).alias("spans"))
 
 
-def scan_documents(docs: DataFrame, rules: Sequence[Rule] = RULES, ledger: DataFrame | None = None) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, blob and its findings.
+def start_ledger(spark: SparkSession, path: str) -> None:
+    """An empty ledger in a folder that must not be there yet."""
+    spark.createDataFrame([], LEDGER).write.parquet(path)
 
-    n_<kind> counts the hits of each rule; spans lists kind:start:end by start, then in the
-    order of the rules; base_sha256 is its digest. Null texts are empty; a text without a
-    hit has an empty list; repeated rows get equal results; an empty table gives no rows;
-    other columns are not read. ``ledger`` holds rows of earlier scans (``ledger_rows``).
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def extend_ledger(docs: DataFrame, path: str, rules: Sequence[Rule] = RULES) -> None:
+    """Scan the (blob, rule, version) pairs of ``docs`` that the ledger lacks and append them.
+
+    A scan that fails adds nothing. One writer at a time: two at once could scan a pair twice,
+    which changes no finding.
     """
-    fresh = unseen_blobs(docs, rules, ledger)
-    hits = scan_blobs(fresh, rules).select("blob", "kind", "start", "end")
-    if ledger is not None:
-        wanted = F.array(*[F.concat_ws(":", F.lit(r.kind), F.lit(r.version)) for r in rules])
-        known = ledger.where(F.array_contains(wanted, F.concat_ws(":", "kind", "version")))
-        hits = hits.unionByName(known.select("blob", "kind", F.inline("spans")))
+    fresh = unseen_blobs(docs, rules, read_ledger(docs.sparkSession, path))
+    ledger_rows(fresh, rules).write.mode("append").parquet(path)
+
+
+def document_findings(
+    docs: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES, keys: Sequence[str] = ("doc_id",)
+) -> DataFrame:
+    """The ledger's findings of these rules and versions for each row of ``docs``; see ``scan_documents``."""
+    wanted = F.array(*[F.concat_ws(":", F.lit(r.kind), F.lit(r.version)) for r in rules])
+    known = ledger.where(F.array_contains(wanted, F.concat_ws(":", "kind", "version")) & (F.size("spans") > 0))
+    hits = known.select("blob", "kind", F.inline("spans")).distinct()
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     span = F.struct("start", F.array_position(kinds, F.col("kind")).alias("order"), "end", "kind")
     found = hits.groupBy("blob").agg(
@@ -129,10 +150,10 @@ def scan_documents(docs: DataFrame, rules: Sequence[Rule] = RULES, ledger: DataF
     found = found.select("blob", text.alias("spans"), *[f"n_{r.kind}" for r in rules])
     # Written, so that the join below is one of two exchanges and a frequent blob can be split.
     found = Scratch(docs.sparkSession).keep(found, "findings")
-    rows = docs.select("doc_id", blob_id(F.col("text")).alias("blob")).join(found, "blob", "left")
+    rows = docs.select(*keys, blob_id(F.col("text")).alias("blob")).join(found, "blob", "left")
     spans = F.coalesce("spans", F.lit(""))
     return rows.select(
-        "doc_id",
+        *keys,
         *[F.coalesce(f"n_{r.kind}", F.lit(0)).cast("bigint").alias(f"n_{r.kind}") for r in rules],
         F.sha2(spans, 256).alias("base_sha256"),
         spans.alias("spans"),
@@ -140,6 +161,25 @@ def scan_documents(docs: DataFrame, rules: Sequence[Rule] = RULES, ledger: DataF
     )
 
 
+def scan_documents(
+    docs: DataFrame, rules: Sequence[Rule] = RULES, ledger: str | None = None, keys: Sequence[str] = ("doc_id",)
+) -> DataFrame:
+    """One row per row of ``docs``: its path (the columns ``keys``), blob and findings.
+
+    n_<kind> counts the hits of each rule; spans lists kind:start:end by start, then in the
+    order of the rules; base_sha256 is its digest. Null texts are empty; a text without a
+    hit has an empty list; very long texts are scanned whole; repeated rows get equal results;
+    an empty table gives no rows; other columns are not read, whatever their names. ``ledger``
+    is the folder of a ledger (``start_ledger``), which is extended; without one a new one is used.
+    """
+    spark = docs.sparkSession
+    if ledger is None:
+        ledger = Scratch(spark).path("ledger")
+        start_ledger(spark, ledger)
+    extend_ledger(docs, ledger, rules)
+    return document_findings(docs, read_ledger(spark, ledger), rules, keys)
+
+
 def redact_documents(docs: DataFrame, rules: Sequence[Rule] = RULES, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span of ``text`` replaced by ``mask``; other columns stay.
 

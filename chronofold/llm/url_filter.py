@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronofold.llm.scratch import Scratch
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PREFIX_HEX = 8
 """Hex digits of a digest in the join key: four bytes."""
@@ -48,8 +50,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", default:
     with the rule's. The rule with most characters decides; of equal ones the one with the
     longer host, then ``block``. ``default`` is the verdict without a rule. Null URLs and
     URLs without a scheme have an empty host and path, and no rule fits them unless it names
-    that; a rule with a null field is void; repeated rows and rules change nothing. Columns
-    of ``pages`` named like the results are replaced.
+    that; a rule with a null field is void; repeated rows and rules change nothing; very long URLs are
+    judged whole; without rules every verdict is ``default``; an empty table gives no rows. Columns
+    of ``pages`` named like the results are replaced, others stay.
     """
     host, path = url_parts(F.col(url))
     rows = pages.drop("rule", "verdict").withColumns({"host": host, "path": path})
@@ -87,4 +90,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", default:
         F.max(F.struct(rank.alias("rank"), F.concat("r_host", "r_path").alias("rule"), "r_action")).alias("best")
     )
     best = best.select("host", "path", F.col("best.rule").alias("rule"), F.col("best.r_action").alias("verdict"))
+    # Written, so that a URL with a third of all rows, or the null ones, can be split between tasks.
+    best = Scratch(pages.sparkSession).keep(best, "best")
     return rows.join(best, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))

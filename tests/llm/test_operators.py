@@ -139,11 +139,21 @@ def test_secrets_of_odd_texts(spark, edge_docs, no_docs):
 
 
 def test_ledger_scans_only_what_it_lacks(spark, edge_docs):
-    docs = edge_docs.select("doc_id", "text")
-    first = docs.where("doc_id < 15")
-    ledger = Scratch(spark).keep(secrets.ledger_rows(secrets.unseen_blobs(first, secrets.RULES), secrets.RULES))
+    docs = edge_docs.select("doc_id", "text", "source", "blob")
+    first, path = docs.where("doc_id < 15"), Scratch(spark).path("ledger")
+    secrets.start_ledger(spark, path)
+    secrets.extend_ledger(first, path)
+    ledger = secrets.read_ledger(spark, path)
     assert ledger.count() == 3 * first.select(secrets.blob_id(first.text)).distinct().count()
-    assert rows_of(secrets.scan_documents(docs, ledger=ledger)) == rows_of(secrets.scan_documents(docs))
+    whole = secrets.scan_documents(docs, keys=["source", "doc_id"])
+    assert whole.columns[:2] == ["source", "doc_id"]
+    assert rows_of(secrets.scan_documents(docs, ledger=path, keys=["source", "doc_id"])) == rows_of(whole)
+    # The second delivery added its new blobs only, and a third adds none.
+    blobs = docs.select(secrets.blob_id(docs.text)).distinct().count()
+    assert secrets.read_ledger(spark, path).count() == 3 * blobs
+    assert secrets.read_ledger(spark, path).select("blob", "kind", "version").distinct().count() == 3 * blobs
+    secrets.extend_ledger(docs, path)
+    assert secrets.read_ledger(spark, path).count() == 3 * blobs
     later = [secrets.Rule(r.kind, r.pattern, r.group, r.least, 2 if r.kind == "hex" else 1) for r in secrets.RULES]
     todo = secrets.unseen_blobs(first, later, ledger)
     assert {tuple(r["todo"]) for r in todo.collect()} == {("hex",)}
