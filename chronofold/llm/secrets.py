@@ -116,7 +116,7 @@ def ledger_rows(blobs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 def start_ledger(spark: SparkSession, path: str) -> None:
     """An empty ledger in a folder that must not be there yet."""
-    spark.createDataFrame([], LEDGER).write.parquet(path)
+    spark.range(0).select(F.from_json(F.lit("{}"), LEDGER).alias("pair")).select("pair.*").write.parquet(path)
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
