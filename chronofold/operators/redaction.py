@@ -42,30 +42,27 @@ MASK = '{"redacted":true}'
 SENSITIVE_FIELDS = ("by", "error", "input", "patch", "reason", "result", "state")
 
 
-def _types_with(table: dict[str, tuple[str, ...]], field: str) -> list[str]:
-    return [t for t, fields in table.items() if field in fields]
-
-
 def public_payload(payload: str = "payload") -> Column:
     """JSON text of the public payload. A field present as null stays, an absent one does not.
 
     A payload that is no JSON has no public form: null.
     """
-    whole = F.try_parse_json(payload)
-    value = lambda f: F.variant_get(whole, f"$.{f}", "variant")
-    fields = sorted({f for t in (PUBLIC_FIELDS, MASKED_FIELDS) for fs in t.values() for f in fs})
-    parts = []
-    for field in fields:
-        public, masked = _types_with(PUBLIC_FIELDS, field), _types_with(MASKED_FIELDS, field)
-        column = F.when(F.lit(False), F.parse_json(F.lit("null")))
-        if public:
-            column = column.when(F.col("type").isin(*public), value(field))
-        if masked:
-            column = column.when(
-                F.col("type").isin(*masked) & value(field).isNotNull(), F.parse_json(F.lit(MASK))
-            )
-        parts.append(column.alias(field))
-    return F.when(F.col(payload).isNull() | whole.isNotNull(), F.to_json(F.struct(*parts)))
+    mask = F.parse_json(F.lit(MASK))
+
+    def form(whole: Column) -> Column:
+        value = lambda f: F.variant_get(whole, f"$.{f}", "variant")
+        shown = F.when(F.lit(False), F.lit(""))
+        for kind in sorted({*PUBLIC_FIELDS, *MASKED_FIELDS}):
+            public, masked = PUBLIC_FIELDS.get(kind, ()), MASKED_FIELDS.get(kind, ())
+            parts = [
+                (value(f) if f in public else F.when(value(f).isNotNull(), mask)).alias(f)
+                for f in sorted({*public, *masked})
+            ]
+            shown = shown.when(F.col("type") == kind, F.to_json(F.struct(*parts)))
+        return F.when(F.col(payload).isNull() | whole.isNotNull(), shown.otherwise("{}"))
+
+    # A lambda's variable is parsed once; a column would be parsed again for every field.
+    return F.get(F.transform(F.array(F.try_parse_json(payload)), form), F.lit(0))
 
 
 UNREADABLE = "(unreadable)"
@@ -76,12 +73,14 @@ def unmasked_fields(events: DataFrame, payload: str = "payload") -> DataFrame:
 
     A payload that is no JSON may hold anything: one row with UNREADABLE.
     """
-    v = F.try_parse_json(payload)
-    found = F.array(
-        *[
-            F.when(F.to_json(F.variant_get(v, f"$.{f}", "variant")) != MASK, F.lit(f))
-            for f in SENSITIVE_FIELDS
-        ],
-        F.when(F.col(payload).isNotNull() & v.isNull(), F.lit(UNREADABLE)),
-    )
+    def fields(v: Column) -> Column:
+        return F.array(
+            *[
+                F.when(F.to_json(F.variant_get(v, f"$.{f}", "variant")) != MASK, F.lit(f))
+                for f in SENSITIVE_FIELDS
+            ],
+            F.when(F.col(payload).isNotNull() & v.isNull(), F.lit(UNREADABLE)),
+        )
+
+    found = F.get(F.transform(F.array(F.try_parse_json(payload)), fields), F.lit(0))
     return events.withColumn("field", F.explode(F.array_compact(found)))

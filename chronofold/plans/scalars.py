@@ -415,14 +415,13 @@ def _(s, d):
 )
 def _(s, d):
     dash = F.lit("—")
-    shown = redaction.public_payload()
-    return I.journal(s, d).select(
+    return I.journal(s, d).withColumn("payload", redaction.public_payload()).select(
         "seq",
         "type",
         F.coalesce("node", F.lit("workflow")).alias("node"),
         F.coalesce("activation_id", dash).alias("activation_id"),
         F.coalesce("attempt_id", dash).alias("attempt_id"),
-        F.when(shown == "{}", "").otherwise(shown).alias("payload"),
+        F.when(F.col("payload") == "{}", "").otherwise(F.col("payload")).alias("payload"),
     )
 
 
