@@ -172,9 +172,9 @@ def audit_receipts(receipts: DataFrame, inputs: DataFrame, evidence: DataFrame)
     )
     joined = (
         chain.withColumn("evidence_path", F.col("evidence.path"))
-        .join(inputs.select("lineage_id", F.col("sha256").alias("wanted_inputs")), "lineage_id", "left")
-        .join(gaps, ["lineage_id", "position"], "left")
-        .join(proof, "evidence_path", "left")
+        .join(inputs.select("lineage_id", F.col("sha256").alias("wanted_inputs")).hint("merge"), "lineage_id", "left")
+        .join(gaps.hint("merge"), ["lineage_id", "position"], "left")
+        .join(proof.hint("merge"), "evidence_path", "left")
     )
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     previous_ok = F.when(F.col("before").isNull(), F.col("previous").isNull()).otherwise(same("previous", "before"))
@@ -207,7 +207,7 @@ def audit_receipts(receipts: DataFrame, inputs: DataFrame, evidence: DataFrame)
         F.count("*").alias("receipts"),
         F.count_if(~F.col("phase").eqNullSafe(phase_at)).alias("misplaced"),
     )
-    known_lineages = inputs.select("lineage_id").join(per_lineage, "lineage_id", "left")
+    known_lineages = inputs.select("lineage_id").join(per_lineage.hint("merge"), "lineage_id", "left")
     failure = F.coalesce(
         F.when(F.col("receipts").isNull(), "receipts_missing"),
         F.col("first.code"),

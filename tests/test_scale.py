@@ -50,3 +50,8 @@ def test_a_payload_is_parsed_once(spark):
     ])
     for plan in (optimized(shown), optimized(fields)):
         assert plan.count("parseJson(payload") == 1
+
+
+def test_receipt_chains_are_joined_without_broadcast(spark, sf):
+    audited = artifacts.audit_receipts(*I.receipt_chains(spark, sf))
+    assert executed(audited).count("BroadcastHashJoin") == 1  # the constant table of criteria
