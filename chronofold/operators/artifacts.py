@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import gzip
+import hashlib
+import io
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronofold.functions import scalar as X
 from chronofold.functions.storage import cut
@@ -220,9 +226,29 @@ def audit_receipts(receipts: DataFrame, inputs: DataFrame, evidence: DataFrame)
 
 
 def written_references(spark: SparkSession, path: str) -> DataFrame:
-    """References (path, sha256, bytes) of the files below ``path``, from what was written."""
+    """References (path, sha256, bytes) of the files below ``path``, from what was written.
+
+    Of a ``.gz`` file they are those of what it unpacks to.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    packed = F.col("path").endswith(".gz")
+    told = files.select("path", F.when(~packed, F.sha2("content", 256)).alias("sha256"), "length", _unpacked(F.when(packed, F.col("content"))).alias("of"))
+    return told.select("path", F.coalesce("sha256", "of.sha256").alias("sha256"), F.coalesce("of.bytes", "length").alias("bytes"))
+
+
+@F.pandas_udf(T.StructType().add("sha256", T.StringType()).add("bytes", T.LongType()))
+def _unpacked(contents: pd.Series) -> pd.DataFrame:
+    def one(content: bytes | None) -> tuple[str | None, int | None]:
+        if content is None:
+            return None, None
+        digest, size = hashlib.sha256(), 0
+        with gzip.open(io.BytesIO(content)) as lines:
+            while part := lines.read(1 << 20):
+                digest.update(part)
+                size += len(part)
+        return digest.hexdigest(), size
+
+    return pd.DataFrame([one(c) for c in contents], columns=["sha256", "bytes"]).astype({"bytes": "Int64"})
 
 
 def nested_references(documents: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronofold.functions.storage import cut, fresh_path, write_json
+from chronofold.functions.storage import LINES_COMPRESSION, cut, fresh_path, write_json
 from chronofold.functions.running import hot_groups, ordinal
 from chronofold.operators import admission, artifacts, documents, effects, exports, readback, state
 from chronofold.operators.projection import effect_counts
@@ -334,7 +334,7 @@ SPAN_LINE_SQL = """'{"attributes":' || attributes || ',"end_time_unix_nano":' ||
 def _(s, d):
     path = fresh_path(s, "span-lines")
     lines = I.spans(s, d).select(exports.span_document().alias("value"))
-    lines.write.mode("append").text(path)
+    lines.write.mode("append").option("compression", LINES_COMPRESSION).text(path)
     return s.read.text(path)
 
 
@@ -345,7 +345,9 @@ def _(s, d):
 )
 def _(s, d):
     path = fresh_path(s, "referenced")
-    I.spans(s, d).select(exports.span_document().alias("value")).write.text(path)
+    lines = I.spans(s, d).select(exports.span_document().alias("value"))
+    # A file is hashed whole, so its lines are limited: about 50 MB before compression.
+    lines.write.option("maxRecordsPerFile", 100_000).option("compression", LINES_COMPRESSION).text(path)
     files = artifacts.written_references(s, path)
     inside = s.read.text(path).groupBy(F.col("_metadata.file_path").alias("path")).agg(
         F.count("*").alias("lines"), F.sum(F.octet_length("value") + 1).alias("line_bytes")

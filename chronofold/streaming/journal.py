@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from chronofold.functions.stats import latency_bucket
+from chronofold.functions.storage import LINES_COMPRESSION, cut
 from chronofold.names import DEFAULT_NAMING, SpanNaming
 from chronofold.operators.admission import judge_starts
 from chronofold.operators.exports import span_document
@@ -49,6 +50,7 @@ def capture_lines(spans: DataFrame, path: str, checkpoint: str, *, every: str |
         spans.select(span_document(naming).alias("value"))
         .writeStream.format("text")
         .option("path", path)
+        .option("compression", LINES_COMPRESSION)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
     )
@@ -62,6 +64,7 @@ def coalesce_starts(
     once = requests.withWatermark("time", watermark).dropDuplicatesWithinWatermark(["run_id"])
 
     def judge(batch: DataFrame, batch_id: int) -> None:
-        sink(judge_starts(batch.drop("time"), journal()), batch_id)
+        # Written once: the judgement reads it more than once, and each read would run the state again.
+        sink(judge_starts(cut(batch.drop("time")), journal()), batch_id)
 
     return once.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
