@@ -52,6 +52,13 @@ def test_a_payload_is_parsed_once(spark):
         assert plan.count("parseJson(payload") == 1
 
 
+def test_a_digest_is_computed_once(spark):
+    df = spark.createDataFrame([("a",), (None,)], "t string")
+    got = df.select(X.nonzero_digest(F.col("t"), 8).alias("h"))
+    assert [r.h for r in got.collect()] == [hashlib.sha256(b"a").hexdigest()[:16], None]
+    assert optimized(got).count("sha2(") == 1
+
+
 def test_receipt_chains_are_joined_without_broadcast(spark, sf):
     audited = artifacts.audit_receipts(*I.receipt_chains(spark, sf))
     assert executed(audited).count("BroadcastHashJoin") == 1  # the constant table of criteria
