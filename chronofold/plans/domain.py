@@ -316,7 +316,7 @@ VERIFY_SQL = f"""{UNIQUE_SQL}, verified as (select s.trace_id, s.run_id, s.mode,
     on="store",
 )
 def _(s, d):
-    sent = cut(I.spans(s, d))
+    sent = cut(I.store_columns(I.spans(s, d)))
     return readback.verify_readback(sent, I.damaged_store(sent)).drop("plan_sound")
 
 

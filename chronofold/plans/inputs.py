@@ -33,6 +33,17 @@ def facts(spark: SparkSession, d: str) -> DataFrame:
     return fixture.facts(spark, d)
 
 
+def attributes(*fields: str) -> Column:
+    """Only these of a span's attributes; the others need not be written on the way."""
+    return F.struct(*[F.col(f"attributes.{c}").alias(c) for c in fields]).alias("attributes")
+
+
+def store_columns(sent: DataFrame, *more: str) -> DataFrame:
+    """Of spans only what a trace store is made from and checked on."""
+    plain = ("run_id", "mode", "trace_id", "span_id", "parent_span_id", "name", "start_time_ns", "family", "seq")
+    return sent.select(*plain, *more, attributes("operation_name", "effect_source"))
+
+
 def damaged_store(sent: DataFrame) -> DataFrame:
     """What a trace store might hold of these spans; ``o_orderkey % 10`` picks the damage."""
     k, root = order_key(), F.col("family") == 0

@@ -798,7 +798,7 @@ def _(s, d):
     on="store",
 )
 def _(s, d):
-    sent = cut(I.spans(s, d))
+    sent = cut(I.store_columns(I.spans(s, d), "end_time_ns"))
     return readback.scan_traces(I.damaged_store(sent), readback.query_windows(sent), 2).select("trace_id", "span_id")
 
 
