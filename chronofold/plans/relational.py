@@ -560,7 +560,7 @@ def _(s, d):
 )
 def _(s, d):
     constant = F.lit("constant").alias("group_key")
-    seen = observations(s, d)
+    seen = cut(observations(s, d))  # read twice
     got = stats.rate_intervals(seen.unionByName(seen.select(constant, F.lit(1.0).alias("value"))))
     half = 1.959963984540054 * F.sqrt(F.col("rate") * (1 - F.col("rate")) / F.col("denominator"))
     slack = 0.1 * half + 3 / F.col("denominator")

@@ -190,7 +190,7 @@ OBSERVATIONS_SQL = """observations as (select workflow as group_key,
 
 
 def observations(s, d):
-    sent = I.spans(s, d)
+    sent = cut(I.spans(s, d).select("run_id", "mode", "family", "classification", I.attributes("workflow_version")))  # read twice
     workflow = sent.where("family = 0 and mode = 'aware'").select("run_id", F.col("attributes.workflow_version").alias("group_key"))
     return J.observations(effect_counts(sent).join(workflow, "run_id"))
 
