@@ -97,7 +97,7 @@ def _(s, d):
     on="spans",
 )
 def _(s, d):
-    sent = cut(I.spans(s, d))
+    sent = cut(I.spans(s, d).select("run_id", "mode", "span_id", "parent_span_id", "start_time_ns", "end_time_ns"))
     return trees.with_parent(sent).select("mode", "span_id", "parent_found", F.coalesce("parent_start_time_ns", F.lit(-1)).alias("parent_start"))
 
 
