@@ -634,7 +634,8 @@ def _(s, d):
     on="spans",
 )
 def _(s, d):
-    return trees.difference_rows(cut(I.spans(s, d))).select("run_id", "mode", "identity", "classification")
+    sent = cut(I.spans(s, d).select("run_id", "mode", "identity", "classification", I.attributes("attempt_id", "effect_id")))
+    return trees.difference_rows(sent).select("run_id", "mode", "identity", "classification")
 
 
 @query(
