@@ -650,7 +650,7 @@ def _(s, d):
     first = X.span_id(F.col("run_id"), F.col("mode"), F.concat(F.lit("attempt:att-"), k.cast("string"), F.lit("-1")))
     root = F.col("family") == 0
     parent = F.when(root & (k % 4 == 1), first).when(root & (k % 4 == 2), F.lit("ffffffffffffffff")).otherwise(F.col("parent_span_id"))
-    sent = cut(I.spans(s, d).withColumn("parent_span_id", parent))
+    sent = cut(I.spans(s, d).select("mode", "identity", "run_id", "span_id", parent.alias("parent_span_id")))
     return trees.with_depth(sent).select("mode", "identity", "run_id", "depth")
 
 
