@@ -250,15 +250,18 @@ def near_duplicates(
     """
     scratch = scratch or Scratch(docs.sparkSession)
     signed = scratch.keep(signatures(docs, k), "signed")
-    sound = signed.where("doc_id is not null and n > 0")
+    # Signatures are on disk once: those of all rows go as soon as those of the nodes are written.
+    named = scratch.keep(signed.select("doc_id", "n", "digest"), "named")
+    sound = named.where("doc_id is not null and n > 0")
     nodes = sound.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    found = sound.join(nodes.withColumnRenamed("node", "doc_id"), ["doc_id", "digest"])
+    found = signed.join(nodes.withColumnRenamed("node", "doc_id"), ["doc_id", "digest"])
     # An id of several texts ties their sets: each is named by its least id, which may be another's.
     several = sound.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
     several = scratch.keep(several.where("low <> high").select("doc_id"), "several")
     tied = sound.select("doc_id", "digest").join(several, "doc_id").join(nodes, "digest").where("doc_id <> node")
     tied = tied.select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
     unique = scratch.keep(found.withColumnRenamed("doc_id", "node").dropDuplicates(["node", "digest"]), "nodes")
+    scratch.drop(signed)
 
     banded = unique.select("node", F.posexplode("bands").alias("place", "band"))
     order = F.struct(F.xxhash64("node").alias("hash"), F.col("node").alias("node"))
@@ -314,10 +317,10 @@ def near_duplicates(
 
     of_set = nodes.join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     of_set = scratch.keep(of_set, "components")
-    labelled = signed.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(of_set, "digest", "left")
+    labelled = named.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(of_set, "digest", "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col("doc_id")))
     result = labelled.select("doc_id", "n_shingles", own.alias("component_id"))
     result = result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     result = scratch.keep(result, "result")
-    scratch.drop(signed, unique, shared, sets, links, grouped, at_odds, open_, rest)
+    scratch.drop(named, unique, shared, sets, links, grouped, at_odds, open_, rest)
     return result
