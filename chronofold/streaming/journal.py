@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from chronofold.functions.running import GROUP_ROWS, HotGroups
 from chronofold.functions.stats import latency_bucket
 from chronofold.functions.storage import LINES_COMPRESSION, cut
 from chronofold.names import DEFAULT_NAMING, SpanNaming
-from chronofold.operators.admission import judge_starts
+from chronofold.operators.admission import judge_recorded, recorded_starts
 from chronofold.operators.exports import span_document
 from chronofold.schemas import JOURNAL
 
@@ -58,13 +59,25 @@ def capture_lines(spans: DataFrame, path: str, checkpoint: str, *, every: str |
 
 
 def coalesce_starts(
-    requests: DataFrame, journal: Callable[[], DataFrame], sink: Callable[[DataFrame, int], None], *, checkpoint: str, watermark: str = WATERMARK
+    requests: DataFrame,
+    journal: Callable[[], DataFrame],
+    sink: Callable[[DataFrame, int], None],
+    *,
+    checkpoint: str,
+    watermark: str = WATERMARK,
+    recorded: Callable[[DataFrame], DataFrame] = recorded_starts,
 ) -> StreamingQuery:
-    """Repeated start requests of a run count once; each is judged against the journal."""
+    """Repeated start requests of a run count once; each is judged against the journal.
+
+    Each batch asks ``journal`` anew and takes the recorded starts from it. A caller whose
+    journal stands still can make them once, hand them over in its place and leave
+    ``recorded`` out by a function that returns what it is given.
+    """
     once = requests.withWatermark("time", watermark).dropDuplicatesWithinWatermark(["run_id"])
+    single = HotGroups(("run_id",), GROUP_ROWS, None)  # a run comes once, so no group is large
 
     def judge(batch: DataFrame, batch_id: int) -> None:
         # Written once: the judgement reads it more than once, and each read would run the state again.
-        sink(judge_starts(cut(batch.drop("time")), journal()), batch_id)
+        sink(judge_recorded(cut(batch.drop("time")), recorded(journal()), single), batch_id)
 
     return once.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
