@@ -788,8 +788,10 @@ def _(s, d):
 )
 def _(s, d):
     rows = readback.retained_fields(I.spans(s, d))
-    keyed = rows.withColumns({f"_k{i}": c for i, c in enumerate(readback.retained_order())})
-    return J.with_sequence(keyed, 0, [f"_k{i}" for i in range(5)]).select("trace_id", "span_id", F.col("seq").alias("place"))
+    keys = {f"_k{i}": c for i, c in enumerate(readback.retained_order())}
+    # Written once: cutting the order into ranges samples its rows first and would project them twice.
+    keyed = cut(rows.select("trace_id", "span_id", *[c.alias(n) for n, c in keys.items()]))
+    return J.with_sequence(keyed, 0, list(keys), keep=["trace_id", "span_id"]).select("trace_id", "span_id", F.col("seq").alias("place"))
 
 
 @query(

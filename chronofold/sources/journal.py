@@ -82,8 +82,8 @@ def save_bucketed(events: DataFrame, table: str, buckets: int) -> None:
     events.write.bucketBy(buckets, "run_id").sortBy("run_id", "seq").saveAsTable(table)
 
 
-def with_sequence(rows: DataFrame, start: int, order: list[str]) -> DataFrame:
-    """Give new rows the next sequence numbers.
+def with_sequence(rows: DataFrame, start: int, order: list[str], keep: list[str] | None = None) -> DataFrame:
+    """Give new rows the next sequence numbers; ``keep`` names the columns wanted of them, else all.
 
     The batch is range-partitioned by ``order``; each partition numbers its own rows and
     adds the size of the partitions before it, so no single task holds the batch.
@@ -96,6 +96,7 @@ def with_sequence(rows: DataFrame, start: int, order: list[str]) -> DataFrame:
     placed = cut(
         rows.repartitionByRange(*order)
         .sortWithinPartitions(*order)
+        .select(*(keep or rows.columns))
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_row", F.monotonically_increasing_id())
     )
