@@ -238,7 +238,10 @@ def _(s, d):
 def damaged_trees(s, d):
     """Span tables with one tree defect per run, chosen by ``(k div 12) % 8``."""
     k = I.order_key()
-    sent = cut(project(I.journal(s, d))).withColumn("_kind", F.expr("cast(substring(run_id, 5) as bigint) div 12 % 8"))
+    plain = ("run_id", "mode", "family", "identity", "name", "kind", "classification", "links")
+    ids = ("trace_id", "span_id", "parent_span_id", "start_time_ns", "end_time_ns", "duration_ns")
+    read = I.attributes("operation_name", "workflow_version", "node", "attempt_outcome", "attempt_recovery")
+    sent = cut(I.spans(s, d).select(*plain, *ids, read)).withColumn("_kind", F.expr("cast(substring(run_id, 5) as bigint) div 12 % 8"))
     kind, run, mode = F.col("_kind"), F.col("run_id"), F.col("mode")
     name = lambda n: F.concat(F.lit("attempt:att-"), k.cast("string"), F.lit(f"-{n}"))
     first, second = F.col("identity") == name(1), F.col("identity") == name(2)
