@@ -73,6 +73,13 @@ def proof_frame(spans: DataFrame, store: DataFrame, naming: SpanNaming = DEFAULT
     return verified.join(R.query_windows(spans), ["run_id", "mode"])
 
 
+def likely_runs(events: DataFrame, effects: DataFrame, contract: EffectContract = EffectContract()) -> DataFrame:
+    """The rows of ``effects`` whose run passes the gates that need no spans."""
+    single = effects.where("provider_attempts = 1 and business_executions = 1")
+    sound_events = check_registered(events, contract).where("broken is null").select("run_id")
+    return sound_events.join(single, "run_id")
+
+
 def build_documents(
     events: DataFrame,
     spans: DataFrame,
@@ -80,6 +87,7 @@ def build_documents(
     effects: DataFrame,
     provenance: DataFrame,
     *,
+    likely: DataFrame | None = None,
     contract: EffectContract = EffectContract(),
     naming: SpanNaming = DEFAULT_NAMING,
     base_url: str = "http://127.0.0.1:8080/",
@@ -90,14 +98,14 @@ def build_documents(
     """One evidence document (JSON text) per run that passes every gate.
 
     ``effects``: run_id, provider_attempts, business_executions. ``provenance``: run_id
-    and a struct of that name. The gates fix the number of events and spans of a run, so
+    and a struct of that name. ``likely``: what ``likely_runs`` gave, where it is at hand;
+    ``spans`` and ``store`` need then hold no other runs. The gates fix the number of events and spans of a run, so
     the arrays built here have a known small size.
     """
     tree = ["run_id"]
-    single = effects.where("provider_attempts = 1 and business_executions = 1")
-    sound_events = check_registered(events, contract).where("broken is null").select("run_id")
     # The cheap gates first; only runs that pass them reach the tree walk.
-    likely = cut(sound_events.join(single, tree))
+    if likely is None:
+        likely = cut(likely_runs(events, effects, contract))
     candidates = cut(spans.join(likely.select("run_id"), tree, "left_semi"))
     trees = check_trees(candidates, workflow=contract.workflow, node=contract.node, naming=naming)
     sound_trees = trees.where("broken is null").groupBy("run_id").agg(F.count("*").alias("n")).where("n = 2").select("run_id")

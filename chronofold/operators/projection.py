@@ -238,7 +238,7 @@ def _slim(events: DataFrame) -> DataFrame:
     )
 
 
-def _plain_judged(events: DataFrame) -> DataFrame:
+def _plain_judged(events: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """Events that own a span, break a rule or begin a run, with the packed number of the rule they break
     and how and when their attempt and run ended. For runs as ``_plain`` wants them.
 
@@ -255,7 +255,10 @@ def _plain_judged(events: DataFrame) -> DataFrame:
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ends = ",".join(f"'{t}'" for t in N.ATTEMPT_END_TYPES)
     next_end = f"lead(case when type in ({ends}) then struct(type, time_ns) end) ignore nulls over (partition by run_id order by seq)"
-    state = _slim(events).select(
+    slim = _slim(events)
+    if runs is not None:  # an inner join stays above the decoding, so payloads are not shuffled
+        slim = slim.join(runs, "run_id")
+    state = slim.select(
         "*",
         F.last(F.when(kind == N.ATTEMPT_STARTED, opened).when(is_end, closed), ignorenulls=True).over(before).alias("b_open"),
         F.max("seq").over(before).alias("b_seq"),
@@ -331,9 +334,9 @@ def _plain_judged(events: DataFrame) -> DataFrame:
     )
 
 
-def _plain_owners(events: DataFrame) -> DataFrame:
+def _plain_owners(events: DataFrame, runs: DataFrame | None) -> DataFrame:
     """The events that own a span in sound runs, in the columns ``span_rows`` asks for."""
-    rows = _plain_judged(events).withColumn("run_broken", F.min("broken").over(Window.partitionBy("run_id")))
+    rows = _plain_judged(events, runs).withColumn("run_broken", F.min("broken").over(Window.partitionBy("run_id")))
     sound = F.col("run_broken").isNull() & (F.col("run.attempts") > 0) & (F.col("run.end") >= F.col("run.begin"))
     return rows.where(sound & _owns_span()).select(
         "run_id",
@@ -413,10 +416,16 @@ def project(
     naming: SpanNaming = DEFAULT_NAMING,
     width: int = GROUP_ROWS,
     hot: HotGroups | None = None,
+    runs: DataFrame | None = None,
 ) -> DataFrame:
-    """The span table of every sound run; runs that break a rule give no span."""
+    """The span table of every sound run; runs that break a rule give no span.
+
+    ``runs`` (run_id, each once) names the runs to project where not all are asked for.
+    """
     if hot is None and _plain(events, width):
-        return span_rows(_plain_owners(events), modes, naming)
+        return span_rows(_plain_owners(events, runs), modes, naming)
+    if runs is not None:
+        events = events.join(runs, "run_id", "left_semi")
     hot = hot or hot_groups(events, ["run_id"], width)
     kind = F.col("type")
     sound = (

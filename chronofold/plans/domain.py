@@ -363,11 +363,13 @@ GOOD_SQL = "good as (select k, run_id from (select distinct k, run_id, c, tkey f
 
 def built(s, d):
     """Evidence documents of the runs whose traces read back exactly."""
-    events = cut(I.journal(s, d))
-    sent = cut(project(events))
+    events = I.journal(s, d)
     a = I.attempts(s, d).groupBy("run_id").agg(
         F.count("*").alias("provider_attempts"), F.count_distinct("idempotency_key").alias("business_executions")
     )
+    # Only runs that pass the gates on their events can have a document, so only they are projected.
+    likely = cut(documents.likely_runs(events, a))
+    sent = cut(project(events, runs=likely.select("run_id")))
     hashed = F.sha2("run_id", 256)
     provenance = I.runs(s, d).select(
         "run_id",
@@ -384,7 +386,7 @@ def built(s, d):
             F.expr("map_from_arrays(cast(array() as array<string>), cast(array() as array<string>))").alias("phaseReceipts"),
         ).alias("provenance"),
     )
-    return documents.build_documents(events, sent, I.damaged_store(sent), a, provenance)
+    return documents.build_documents(events, sent, I.damaged_store(sent), a, provenance, likely=likely)
 
 
 @query(
