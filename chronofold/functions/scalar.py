@@ -72,6 +72,21 @@ def nonzero_digest(text: Column, size: int) -> Column:
     return F.replace(head, F.lit(zero), F.lit(zero[:-1] + "1"))  # a condition would hash twice
 
 
+def packed_hex(text: Column) -> Column:
+    """A text as bytes; one of lower-case hex digits, as ids and hashes are, takes half its length.
+
+    The first byte tells which; ``unpacked_hex`` gives back the same text. Equal texts have
+    equal bytes, but the order of bytes is that of texts only among hex digits.
+    """
+    packed = F.concat(F.lit(b"\x01"), F.unhex(text))
+    return F.when(F.lower(F.hex(F.unhex(text))) == text, packed).otherwise(F.concat(F.lit(b"\x00"), text.cast("binary")))
+
+
+def unpacked_hex(packed: Column) -> Column:
+    rest = F.substring(packed, 2, 2**31 - 1)
+    return F.when(F.substring(packed, 1, 1) == F.lit(b"\x01"), F.lower(F.hex(rest))).otherwise(rest.cast("string"))
+
+
 def trace_id(run_id: Column, mode: Column, naming: SpanNaming = DEFAULT_NAMING) -> Column:
     return nonzero_digest(F.concat(F.lit(f"{naming.salt}:trace:"), mode, F.lit(":"), run_id), 16)
 

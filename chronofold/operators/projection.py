@@ -205,6 +205,7 @@ def _plain(events: DataFrame, width: int) -> bool:
 
 
 _FACT = ("run_id", "fact", "started_id")
+_HASHED = ("request_fingerprint", "idempotency_key_fingerprint")
 
 
 def _owns_span() -> Column:
@@ -213,7 +214,7 @@ def _owns_span() -> Column:
 
 def _slim(events: DataFrame) -> DataFrame:
     """What the projection asks of an event: tests of its own fields are made before the shuffle, and
-    fields that only some types have are one struct, null for all others."""
+    fields that only some types have are one struct, null for all others. Hashes are bytes."""
     kind = F.col("type")
     typed = D.decode_effects(events)
     fact = F.when(kind == N.EFFECT_COMPLETED, F.col("source_intent_seq")).when(
@@ -233,7 +234,7 @@ def _slim(events: DataFrame) -> DataFrame:
         _first_rule().alias("first_rule"),
         _own_rule().alias("own_rule"),
         fact.alias("fact"),
-        F.when(is_effect, F.struct(*N.IDENTITY_FIELDS)).alias("effect"),
+        F.when(is_effect, F.struct(*[X.packed_hex(F.col(c)).alias(c) if c in _HASHED else F.col(c) for c in N.IDENTITY_FIELDS])).alias("effect"),
         F.when(is_effect, F.struct("source_intent_seq", "source_effect_seq", "started_at_ns", "ended_at_ns")).alias("when"),
     )
 
@@ -345,7 +346,8 @@ def _plain_owners(events: DataFrame, runs: DataFrame | None) -> DataFrame:
         "node",
         "activation_id",
         "attempt_id",
-        *[F.col(f"effect.{c}").alias(c) for c in ("effect_id", "index", "label", "request_fingerprint", "adapter_version")],
+        *[F.col(f"effect.{c}").alias(c) for c in ("effect_id", "index", "label", "adapter_version")],
+        X.unpacked_hex(F.col("effect.request_fingerprint")).alias("request_fingerprint"),
         *[F.col(f"when.{c}").alias(c) for c in ("source_effect_seq", "started_at_ns", "ended_at_ns")],
         *[F.col(f"start.{c}").alias(c) for c in ("time_ns", "recovery", "workflow_version")],
         F.col("attempt.end_type").alias("attempt_end_type"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,8 +41,8 @@ def normalized(rows: DataFrame) -> DataFrame:
     )
 
 
-def retained_fields(spans: DataFrame, naming: SpanNaming = DEFAULT_NAMING) -> DataFrame:
-    """The seven fields of each span that a read-back can be checked on."""
+def retained_fields(spans: DataFrame, naming: SpanNaming = DEFAULT_NAMING, *more: str) -> DataFrame:
+    """The seven fields of each span that a read-back can be checked on, and ``more`` as they are."""
     service = F.concat(F.lit(f"{naming.service}-"), F.col("mode"))
     return spans.select(
         "run_id",
@@ -52,6 +54,7 @@ def retained_fields(spans: DataFrame, naming: SpanNaming = DEFAULT_NAMING) -> Da
         service.alias("service_name"),
         F.coalesce("attributes.operation_name", F.lit("")).alias("operation_name"),
         F.col("attributes.effect_source").alias("effect_source"),
+        *more,
     )
 
 
@@ -66,13 +69,14 @@ def retained_order() -> list[Column]:
     ]
 
 
-def query_windows(spans: DataFrame) -> DataFrame:
-    """The trace query of each (run, mode): id, padded time range, row limit."""
+def query_windows(spans: DataFrame, *more: Column) -> DataFrame:
+    """The trace query of each (run, mode): id, padded time range, row limit; and ``more`` aggregates."""
     return spans.groupBy("run_id", "mode").agg(
         F.min(F.lower("trace_id")).alias("trace_id"),
         X.window_start_ms(F.min("start_time_ns")).alias("start_ms"),
         X.window_end_ms(F.max("end_time_ns")).alias("end_ms"),
         X.window_limit(F.count("*")).alias("row_limit"),
+        *more,
     )
 
 
@@ -138,30 +142,63 @@ def flatten_response(responses: DataFrame, naming: SpanNaming = DEFAULT_NAMING)
     )
 
 
-def unique_rows(rows: DataFrame) -> DataFrame:
-    """One row per span, the last one that came in, with the number of copies."""
-    last = F.max_by(F.struct(*[c for c in FIELDS if c not in ("trace_id", "span_id")], "ts_ms"), "ingest_seq")
-    grouped = normalized(rows).groupBy("trace_id", "span_id").agg(last.alias("r"), F.count("*").alias("copies"))
-    return grouped.select("trace_id", "span_id", "r.*", "copies")
+CHECKED = tuple(c for c in FIELDS if c not in ("trace_id", "span_id"))
+IDS = ("trace_id", "span_id", "parent_span_id")
 
 
-def differences(spans: DataFrame, store: DataFrame, naming: SpanNaming = DEFAULT_NAMING) -> DataFrame:
-    """Full outer comparison, one row per (trace, span) of either side."""
-    sent = retained_fields(spans, naming)
-    got = unique_rows(store)
-    checked = [c for c in FIELDS if c not in ("trace_id", "span_id")]
-    joined = sent.select(
-        "trace_id", "span_id", F.lit(True).alias("sent"), *[F.col(c).alias(f"sent_{c}") for c in checked]
-    ).join(
-        got.select(
-            "trace_id",
-            "span_id",
-            F.lit(True).alias("received"),
-            "copies",
-            *[F.col(c).alias(f"got_{c}") for c in checked],
-        ),
-        ["trace_id", "span_id"],
-        "full_outer",
+def _packed(rows: DataFrame) -> DataFrame:
+    """Ids as bytes, for the shuffle."""
+    return rows.withColumns({c: X.packed_hex(F.col(c)) for c in IDS if c in rows.columns})
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: X.unpacked_hex(F.col(c)) for c in rows.columns if c.endswith(IDS)})
+
+
+def unique_rows(rows: DataFrame, fields: Sequence[str] = (*CHECKED, "ts_ms")) -> DataFrame:
+    """One row per span, the last one that came in, with ``fields`` and the number of copies."""
+    last = F.max_by(F.struct(*fields), "ingest_seq")
+    grouped = _packed(normalized(rows)).groupBy("trace_id", "span_id").agg(last.alias("r"), F.count("*").alias("copies"))
+    return _unpacked(grouped.select("trace_id", "span_id", "r.*", "copies"))
+
+
+def _compared(spans: DataFrame, store: DataFrame, naming: SpanNaming) -> DataFrame:
+    """Rows of ``differences`` with ids as bytes, and ``n_sent``, the times a span was sent.
+
+    Both sides are sorted together by span and compared in one window, since a join would
+    shuffle each by itself and a trace by its spans. Where no trace is large they are dealt
+    by trace, so that what follows per trace needs no further exchange.
+    """
+    named = F.coalesce("attributes.operation_name", F.lit("")) != ""
+    sent = retained_fields(spans.withColumn("_named", named), naming, "_named").withColumn("from_store", F.lit(False))
+    got = normalized(store).select(*FIELDS, "ingest_seq", F.lit(True).alias("from_store"))
+    both = _packed(sent.unionByName(got, allowMissingColumns=True))
+    if hot_groups(both, ["trace_id"]).keys is None:
+        both = both.repartition("trace_id")
+    ordered = Window.partitionBy("trace_id", "span_id").orderBy("from_store")
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    stored = F.col("from_store")
+    last = F.max_by(F.struct(*CHECKED), F.when(stored, F.col("ingest_seq"))).over(whole)
+    rows = both.select(
+        "*",
+        last.alias("got"),
+        F.count_if(stored).over(whole).alias("n_got"),
+        F.count_if(~stored).over(whole).alias("n_sent"),
+        F.row_number().over(ordered).alias("nth"),
+    ).where("not from_store or (n_sent = 0 and nth = 1)")
+    seen, was_sent = F.col("n_got") > 0, ~stored
+    joined = rows.select(
+        "trace_id",
+        "span_id",
+        F.when(was_sent, True).alias("sent"),
+        *[F.when(was_sent, F.col(c)).alias(f"sent_{c}") for c in CHECKED],
+        F.when(seen, True).alias("received"),
+        F.when(seen, F.col("n_got")).alias("copies"),
+        *[F.col(f"got.{c}").alias(f"got_{c}") for c in CHECKED],
+        "n_sent",
+        "run_id",
+        "mode",
+        "_named",
     )
     same = lambda c: F.col(f"sent_{c}").eqNullSafe(F.col(f"got_{c}"))
     verdict = (
@@ -176,18 +213,20 @@ def differences(spans: DataFrame, store: DataFrame, naming: SpanNaming = DEFAULT
     )
 
 
+def differences(spans: DataFrame, store: DataFrame, naming: SpanNaming = DEFAULT_NAMING) -> DataFrame:
+    """Full outer comparison, one row per (trace, span) of either side."""
+    return _unpacked(_compared(spans, store, naming).drop("n_sent", "run_id", "mode", "_named"))
+
+
 def verify_readback(spans: DataFrame, store: DataFrame, naming: SpanNaming = DEFAULT_NAMING) -> DataFrame:
     """Per sent trace: what is missing, unexpected or different, and the verdict."""
-    plans = spans.groupBy(F.lower("trace_id").alias("trace_id")).agg(
-        F.first("run_id").alias("run_id"),
-        F.first("mode").alias("mode"),
-        F.count("*").alias("spans_sent"),
-        F.count_distinct(F.lower("span_id")).alias("planned_ids"),
-        F.count_if(F.coalesce("attributes.operation_name", F.lit("")) == "").alias("unnamed"),
-    )
-    rows = differences(spans, store, naming)
+    rows = _compared(spans, store, naming)
     kind = F.col("verdict")
-    per_trace = rows.groupBy("trace_id").agg(
+    joined = rows.groupBy("trace_id").agg(
+        F.first("run_id", ignorenulls=True).alias("run_id"),
+        F.first("mode", ignorenulls=True).alias("mode"),
+        F.count_if("sent").alias("spans_sent"),
+        F.count_if(F.col("sent") & ((F.col("n_sent") > 1) | F.col("span_id").isNull() | ~F.col("_named"))).alias("_unsound"),
         F.count_if(kind == "missing").alias("missing"),
         F.count_if(kind == "unexpected").alias("unexpected"),
         F.count_if(kind == "mismatched").alias("mismatched"),
@@ -196,12 +235,13 @@ def verify_readback(spans: DataFrame, store: DataFrame, naming: SpanNaming = DEF
         F.count_if(F.col("received")).alias("spans_retrieved"),
         F.min("got_service_name").alias("_low"),
         F.max("got_service_name").alias("_high"),
-    )
+    ).where("spans_sent > 0")
+    # Nothing is known of what has no trace id.
+    told = ("missing", "unexpected", "mismatched", "attributes_different", "duplicate_rows", "spans_retrieved")
+    joined = joined.withColumns({c: F.when(F.col("trace_id").isNotNull(), F.col(c)) for c in told})
     service = F.concat(F.lit(f"{naming.service}-"), F.col("mode"))
-    joined = plans.join(per_trace, "trace_id", "left")
     identity = (F.col("missing") == 0) & (F.col("unexpected") == 0) & (F.col("mismatched") == 0)
-    sound_plan = (F.col("planned_ids") == F.col("spans_sent")) & (F.col("unnamed") == 0)
-    return joined.select(
+    return _unpacked(joined).select(
         "trace_id",
         "run_id",
         "mode",
@@ -214,7 +254,7 @@ def verify_readback(spans: DataFrame, store: DataFrame, naming: SpanNaming = DEF
         identity.alias("identity_verified"),
         (F.col("attributes_different") == 0).alias("attributes_verified"),
         F.coalesce((F.col("_low") == service) & (F.col("_high") == service), F.lit(False)).alias("service_verified"),
-        sound_plan.alias("plan_sound"),
+        (F.col("_unsound") == 0).alias("plan_sound"),
     ).withColumn(
         "verified",
         F.col("identity_verified")
