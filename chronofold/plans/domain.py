@@ -325,10 +325,9 @@ def _(s, d):
 
 def retained(s, d):
     """Proofs of every trace with one disagreement per run, chosen by ``k % 6``."""
-    sent = cut(I.spans(s, d))
+    sent = cut(I.store_columns(I.spans(s, d), "end_time_ns"))
     kind = I.order_key() % 6
-    n = sent.groupBy("run_id", "mode").agg(F.count("*").alias("n"))
-    proofs = readback.query_windows(sent).join(n, ["run_id", "mode"]).select(
+    proofs = readback.query_windows(sent, F.count("*").alias("n")).select(
         "run_id",
         "mode",
         F.concat(F.lit("trace_id = '"), "trace_id", F.when(kind == 1, " ").otherwise(""), F.lit("'")).alias("expression"),
