@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronofold import names as N
+from chronofold.functions import scalar as X
 from chronofold.functions import stats
 from chronofold.functions.joins import lookup_join
 from chronofold.functions.running import hot_groups, ordinal, running_values
@@ -858,11 +859,13 @@ def _(s, d):
     on="store",
 )
 def _(s, d):
-    sent = cut(I.spans(s, d))
+    sent = cut(I.store_columns(I.spans(s, d)))
     key = ["trace_id", "span_id"]
-    a, b = sent.select(key), I.damaged_store(sent).select(key)
-    side = lambda df, name: df.withColumn("side", F.lit(name))
-    return side(a.subtract(b), "missing").unionByName(side(b.subtract(a), "unexpected")).unionByName(side(a.intersect(b), "both"))
+    # All three sets by one aggregation: each set operation would shuffle both sides anew.
+    side = lambda df, bit: df.select(*[X.packed_hex(F.col(c)).alias(c) for c in key], F.lit(bit).alias("sides"))
+    found = side(sent, 1).unionByName(side(I.damaged_store(sent), 2)).groupBy(*key).agg(F.bit_or("sides").alias("sides"))
+    name = F.when(F.col("sides") == 1, "missing").when(F.col("sides") == 2, "unexpected").otherwise("both")
+    return found.select(*[X.unpacked_hex(F.col(c)).alias(c) for c in key], name.alias("side"))
 
 
 @query(
