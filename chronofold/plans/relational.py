@@ -338,7 +338,7 @@ def _(s, d):
     on="spans",
 )
 def _(s, d):
-    moved = cut(I.spans(s, d))
+    moved = cut(I.spans(s, d).select("run_id", "mode", "span_id", "parent_span_id", "start_time_ns", "end_time_ns", "family"))
     early = (I.order_key() % 4 == 1) & (F.col("family") == 1)
     moved = moved.withColumn("start_time_ns", F.when(early, F.col("start_time_ns") - 1_000_000_000).otherwise(F.col("start_time_ns")))
     return trees.with_parent(moved).select("mode", "span_id", F.coalesce(trees.escapes_parent(), F.lit(False)).alias("escapes"))
