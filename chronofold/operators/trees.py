@@ -7,13 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronofold.functions import scalar as X
 from chronofold.functions.joins import skew_join
-from chronofold.functions.running import GROUP_ROWS, hot_groups
+from chronofold.functions.running import GROUP_ROWS, hot_groups, null_safe_join
 from chronofold.functions.storage import cut
 from chronofold.names import DEFAULT_NAMING, SpanNaming
 
 TREE = ("run_id", "mode")
 MAX_DEPTH = 8
+FEW_SPANS = 64
+"""A tree of so many spans at most is walked as one array."""
+IDS = ("span_id", "parent_span_id")
 
 
 def _by_parent(spans: DataFrame, right: DataFrame, width: int) -> DataFrame:
@@ -30,12 +34,14 @@ def with_parent(
 
     Span ids that occur twice count once here, so a damaged table cannot multiply rows.
     """
+    spans = spans.withColumns({c: X.packed_hex(F.col(c)) for c in IDS})  # ids are shuffled as bytes
     parents = spans.groupBy(*TREE, F.col("span_id").alias("parent_span_id")).agg(
         F.lit(True).alias("parent_found"),
         *[F.max_by(f, "start_time_ns").alias(f"parent_{f}") for f in fields],
     )
     joined = _by_parent(spans, parents, width)
-    return joined.withColumn("parent_found", F.coalesce("parent_found", F.lit(False)))
+    plain = {c: X.unpacked_hex(F.col(c)) for c in IDS}
+    return joined.withColumns(plain | {"parent_found": F.coalesce("parent_found", F.lit(False))})
 
 
 def escapes_parent() -> Column:
@@ -60,10 +66,47 @@ def _inner_nodes(spans: DataFrame) -> DataFrame:
 def with_depth(spans: DataFrame, width: int = GROUP_ROWS) -> DataFrame:
     """Number of distinct ancestors, at most 8; cycles and missing parents end the walk.
 
-    The spans that are somebody's parent are written once; a fixed number of joins among
-    them goes up one ancestor each.
+    Trees of few spans are shuffled once and walked each by itself, all others by joins.
     """
+    hot = hot_groups(spans, TREE, min(FEW_SPANS, width))
+    if hot.keys is None:
+        return _depth_by_tree(spans)
+    if not hot.bounded:
+        return _depth_by_joins(spans, width)
+    few = null_safe_join(spans, F.broadcast(hot.keys), TREE, "left_anti")
+    return _depth_by_tree(few).unionByName(_depth_by_joins(hot.only(spans), width))
+
+
+def _depth_by_tree(spans: DataFrame) -> DataFrame:
+    rest = [c for c in spans.columns if c not in TREE]
+    item = F.struct(*[X.packed_hex(F.col(c)).alias(c) if c in IDS else F.col(c) for c in rest])
+    trees = spans.groupBy(*TREE).agg(F.collect_list(item).alias("_s"))
+    plain = lambda x: F.struct(*[X.unpacked_hex(x[c]).alias(c) if c in IDS else x[c].alias(c) for c in rest])
+    trees = trees.select(*TREE, F.transform("_s", plain).alias("_s"))
+    known = F.col("run_id").isNotNull() & F.col("mode").isNotNull()
+
+    def above(tip: Column) -> Column:
+        parents = F.transform(F.filter("_s", lambda s: s["span_id"] == tip), lambda s: s["parent_span_id"])
+        return F.when(known, F.array_max(parents))
+
+    def step(path: Column, _: Column) -> Column:
+        return F.array_union(path, F.filter(F.array(above(F.element_at(path, -1))), lambda x: x.isNotNull()))
+
+    rounds = F.sequence(F.lit(1), F.lit(MAX_DEPTH - 1))
+
+    def depth(s: Column) -> Column:
+        path = F.aggregate(rounds, F.array(s["parent_span_id"]), step)
+        return F.when(s["parent_span_id"].isNull(), 0).otherwise(F.size(path))
+
+    walked = F.transform("_s", lambda s: F.struct(*[s[c].alias(c) for c in rest], depth(s).alias("depth")))
+    return trees.select(*TREE, F.inline(walked)).select(*spans.columns, "depth")
+
+
+def _depth_by_joins(spans: DataFrame, width: int) -> DataFrame:
+    """The spans that are somebody's parent are written once; a fixed number of joins among
+    them goes up one ancestor each. Those without a parent end no walk that others do not."""
     inner = cut(_inner_nodes(spans))
+    inner = inner.where("parent_span_id is not null")
     up = inner.select(*TREE, F.col("span_id").alias("tip"), F.col("parent_span_id").alias("onward"))
     none = F.array().cast("array<string>")
     one = lambda c: F.when(F.col(c).isNotNull(), F.array(c)).otherwise(none)
@@ -78,7 +121,7 @@ def with_depth(spans: DataFrame, width: int = GROUP_ROWS) -> DataFrame:
     depth = F.when(F.col("parent_span_id").isNull(), 0).otherwise(
         F.least(F.lit(MAX_DEPTH), F.size(F.array_distinct(F.slice(chain, 1, MAX_DEPTH))))
     )
-    return joined.withColumn("depth", depth).drop("_path")
+    return joined.withColumn("depth", depth).select(*spans.columns, "depth")
 
 
 def reached_from_root(spans: Column, rounds: Column) -> Column:
